@@ -91,6 +91,12 @@ def method_label(fallback: str = "Unknown") -> Column:
     return first_match([(method_hit(m), F.lit(METHOD_LABELS[m])) for m in LABEL_ORDER], fallback)
 
 
+def method_label_by_ones(fallback: str = "Unknown") -> Column:
+    """Readable method where only a cell equal to one counts as a flag."""
+    pairs = [((F.trim(c) == "1"), F.lit(METHOD_LABELS[m])) for m in LABEL_ORDER for c in METHOD_FLAGS[m]]
+    return first_match(pairs, fallback)
+
+
 def expected_score(own, other, scale=RATING_SCALE) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.pow(F.lit(10.0), (col(other) - col(own)) / num(scale)))
 

@@ -50,9 +50,9 @@ def predictions(rated: DataFrame, source: DataFrame) -> DataFrame:
     return kept.withColumn("picked", picked).withColumn("correct", (picked == F.col("result")).cast("int"))
 
 
-def scored(rated: DataFrame, source: DataFrame, scale: float = S.RATING_SCALE) -> DataFrame:
+def scored(rated: DataFrame, source: DataFrame, scale: float = S.RATING_SCALE, dedup: bool = False, keys: list[str] = ()) -> DataFrame:
     """Predictions with the player's winning probability. The scale stays 400 whatever the scan used."""
-    p = predictions(rated, source)
+    p = predictions(first_per_pair(decided(rated), keys) if dedup else rated, source)
     return p.withColumns({"prob": S.expected_score("pre", "opp_pre", scale), "diff": F.col("pre") - F.col("opp_pre")})
 
 

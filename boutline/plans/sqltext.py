@@ -166,3 +166,47 @@ def sql(*ctes: str, select: str) -> str:
 
 def r6(e: str, digits: int = 6) -> str:
     return f"round({e}, {digits}) + 0.0"
+
+
+def firsts_sql(src: str, name: str = "fd") -> str:
+    return f"""{sides_sql(src, name + '_s')},
+{name} AS (SELECT who, min(day) AS d FROM {name}_s GROUP BY who)"""
+
+
+DECIDED = "result IN (0.0, 1.0) AND NOT is_draw"
+PAIR = "least(player, opponent), greatest(player, opponent), day"
+
+
+def pred_sql(src: str, dedup: bool = False, rated: str = "rated", name: str = "pred") -> str:
+    """Eligible predictions with probability; needs ``rated``."""
+    first = f" QUALIFY row_number() OVER (PARTITION BY candidate_id, {PAIR} ORDER BY seq) = 1" if dedup else ""
+    return f"""{firsts_sql(src, name + '_fd')},
+{name}_0 AS (SELECT * FROM {rated} WHERE {DECIDED}{first}),
+{name} AS (SELECT r.*, (pre > opp_pre)::INT AS picked, ((pre > opp_pre)::INT = result)::INT AS correct, pre - opp_pre AS diff, 1.0 / (1.0 + pow(10.0, -(pre - opp_pre) / 400.0)) AS prob
+  FROM {name}_0 r JOIN {name}_fd a ON a.who = r.player JOIN {name}_fd b ON b.who = r.opponent WHERE pre <> opp_pre AND r.day > a.d AND r.day > b.d)"""
+
+
+def prices_sql(odds: str = "odds", name: str = "prices") -> str:
+    return f"{name} AS (SELECT player, opponent, day, max_by(american, odds_seq) AS american FROM {odds} WHERE american IS NOT NULL GROUP BY ALL)"
+
+
+DECIMAL = "(CASE WHEN american > 0 THEN american / 100.0 + 1.0 WHEN american < 0 THEN 100.0 / abs(american) + 1.0 END)"
+
+
+def bets_sql(src: str, dedup: str = "early", fallback: str = "strict", lookback: int = 0, rated: str = "rated", odds: str = "odds", name: str = "bets") -> str:
+    first = f" QUALIFY row_number() OVER (PARTITION BY candidate_id, {PAIR} ORDER BY seq) = 1"
+    look = f" AND day > (SELECT max(day) FROM {rated}) - {lookback}" if lookback else ""
+    price = {
+        "strict": f"JOIN {name}_px o ON o.player = k.bet_on AND o.opponent = k.bet_against AND o.day = k.day",
+        "mirror": f"LEFT JOIN {name}_px o ON o.player = k.bet_on AND o.opponent = k.bet_against AND o.day = k.day LEFT JOIN {name}_px q ON q.opponent = k.bet_on AND q.player = k.bet_against AND q.day = k.day",
+        "both": f"JOIN {name}_px o ON o.player = k.bet_on AND o.opponent = k.bet_against AND o.day = k.day JOIN {name}_px q ON q.player = k.player AND q.opponent = k.opponent AND q.day = k.day",
+    }[fallback]
+    american = "coalesce(o.american, q.american)" if fallback == "mirror" else "o.american"
+    return f"""{firsts_sql(src, name + '_fd')},
+{prices_sql(odds, name + '_px')},
+{name}_0 AS (SELECT * FROM {rated} WHERE {DECIDED}{look}{first if dedup == 'early' else ''}),
+{name}_1 AS (SELECT r.*, CASE WHEN pre > opp_pre THEN player ELSE opponent END AS bet_on, CASE WHEN pre > opp_pre THEN opponent ELSE player END AS bet_against,
+    (CASE WHEN pre > opp_pre THEN result = 1 ELSE result = 0 END)::INT AS bet_won, abs(pre - opp_pre) AS diff, 1.0 / (1.0 + pow(10.0, -abs(pre - opp_pre) / 400.0)) AS prob
+  FROM {name}_0 r JOIN {name}_fd a ON a.who = r.player JOIN {name}_fd b ON b.who = r.opponent WHERE pre <> opp_pre AND r.day > a.d AND r.day > b.d{first if dedup == 'late' else ''}),
+{name} AS (SELECT *, 1.0 AS stake, CASE WHEN bet_won = 1 THEN decimal ELSE 0.0 END AS payout, CASE WHEN bet_won = 1 THEN decimal - 1.0 ELSE -1.0 END AS profit
+  FROM (SELECT *, {DECIMAL} AS decimal FROM (SELECT k.*, {american} AS american FROM {name}_1 k {price})) WHERE decimal IS NOT NULL)"""
