@@ -35,11 +35,12 @@ def with_prior_history(df: DataFrame, source: DataFrame, keys: list[str] = ()) -
     return joined.filter((F.col("day") > F.col("first_day")) & (F.col("day") > F.col("opp_first_day"))).drop("first_day", "opp_first_day")
 
 
-def within_lookback(df: DataFrame, days: int | None) -> DataFrame:
-    """Rows later than the last day minus ``days``; no limit for zero or None."""
+def within_lookback(df: DataFrame, days: int | None, source: DataFrame | None = None) -> DataFrame:
+    """Rows later than the last day minus ``days``; no limit for zero or None. The last day is read from ``source`` where
+    that is cheaper than ``df`` (the unrated contests of a rated table)."""
     if not days:
         return df
-    cut = df.agg(F.date_sub(F.max("day"), days).alias("_cut"))
+    cut = (df if source is None else source).agg(F.date_sub(F.max("day"), days).alias("_cut"))
     return df.join(F.broadcast(cut), F.col("day") > F.col("_cut"), "inner").drop("_cut")
 
 
@@ -147,7 +148,7 @@ def bet_records(
     """
     if dedup not in ("early", "late"):
         raise ValueError(f"unknown dedup {dedup!r}")
-    df = decided(within_lookback(rated, lookback))
+    df = decided(within_lookback(rated, lookback, source))
     if dedup == "early":
         df = first_per_pair(df, keys)
     df = with_prior_history(picks(df), source)
