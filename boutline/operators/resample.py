@@ -157,8 +157,9 @@ def roi_per_replicate(drawn: DataFrame) -> DataFrame:
 
 def swing_pairs(rois: DataFrame, swing: float) -> DataFrame:
     """Pairs of replicates at least ``swing`` apart, counted with a range frame instead of a pair list."""
-    w = W.orderBy("roi").rangeBetween(W.unboundedPreceding, -swing)
-    g = rois.withColumn("far", F.count(F.lit(1)).over(w)).agg(F.sum("far").alias("pairs"), F.count(F.lit(1)).alias("n"))
+    scale = 10**9  # whole units: a range frame needs them
+    w = W.orderBy("_r").rangeBetween(W.unboundedPreceding, -round(swing * scale))
+    g = rois.withColumn("_r", F.round(F.col("roi") * scale).cast("long")).withColumn("far", F.count(F.lit(1)).over(w)).agg(F.sum("far").alias("pairs"), F.count(F.lit(1)).alias("n"))
     return g.select("pairs", (F.try_divide(F.col("pairs"), F.col("n") * (F.col("n") - 1) / 2) * 100.0).alias("share"))
 
 
@@ -177,7 +178,6 @@ def bet_detail(bets: DataFrame, rated: DataFrame, odds: DataFrame, books: list[s
         .groupBy(F.least("player", "opponent").alias("_a"), F.greatest("player", "opponent").alias("_b"), "day")
         .agg(*[F.max_by(c, "seq").alias(f"_{c}") for c in ("player", "pre", "post", "opp_pre", "opp_post", "method", "round")])
     )
-    prices = odds.groupBy(F.col("player").alias("bet_on"), F.col("opponent").alias("bet_against"), "day").agg(*[F.min_by(b, "odds_seq").alias(b) for b in books])
     b = bets.select("seq", "day", "bet_on", "bet_against", "bet_won", "diff", "prob", "american", "decimal", "stake", "payout", "profit")
     keyed = b.withColumns({"_a": F.least("bet_on", "bet_against"), "_b": F.greatest("bet_on", "bet_against")}).join(stored, ["_a", "_b", "day"], "left")
     same = F.col("_player") == F.col("bet_on")
@@ -189,7 +189,15 @@ def bet_detail(bets: DataFrame, rated: DataFrame, odds: DataFrame, books: list[s
         }
     )
     out = out.withColumns({"on_change": F.col("on_post") - F.col("on_pre"), "against_change": F.col("against_post") - F.col("against_pre")})
-    return out.join(prices, ["bet_on", "bet_against", "day"], "left").drop(*[c for c in out.columns if c.startswith("_")])
+    priced = out.join(first_prices(odds, books), ["_a", "_b", "day"], "left").select("*", *[F.col(f"_price.{b}").alias(b) for b in books])
+    return priced.drop(*[c for c in priced.columns if c.startswith("_")])
+
+
+def first_prices(odds: DataFrame, columns: list[str]) -> DataFrame:
+    """Prices of the first odds row of each unordered pair and day, nulls included, as a struct column ``_price``."""
+    return odds.groupBy(F.least("player", "opponent").alias("_a"), F.greatest("player", "opponent").alias("_b"), "day").agg(
+        F.min_by(F.struct(*columns), "odds_seq").alias("_price")
+    )
 
 
 def unbet(rated: DataFrame, source: DataFrame, bets: DataFrame, odds: DataFrame) -> DataFrame:
@@ -199,14 +207,10 @@ def unbet(rated: DataFrame, source: DataFrame, bets: DataFrame, odds: DataFrame)
     pair = lambda a, b: [F.least(a, b).alias("_a"), F.greatest(a, b).alias("_b"), "day"]
     keyed = valid.select("*", F.least("player", "opponent").alias("_a"), F.greatest("player", "opponent").alias("_b"))
     left = keyed.join(bets.select(*pair("bet_on", "bet_against")).distinct(), ["_a", "_b", "day"], "left_anti")
-    # the first odds row speaks for its own direction; the mirrored direction borrows it if it has none
-    first = odds.groupBy("player", "opponent", "day").agg(F.min_by(F.struct("american"), "odds_seq").alias("_p"))
-    direct = first.select("player", "opponent", "day", F.col("_p").alias("_direct"))
-    mirror = first.select(F.col("opponent").alias("player"), F.col("player").alias("opponent"), "day", F.col("_p").alias("_mirror"))
-    priced = left.join(direct, ["player", "opponent", "day"], "left").join(mirror, ["player", "opponent", "day"], "left")
-    price = F.coalesce("_direct", "_mirror")["american"]
+    priced = left.join(first_prices(odds, ["american"]), ["_a", "_b", "day"], "left")
+    price = F.col("_price.american")
     reason = S.first_match([(price.isNull() | (price == 0), F.lit("No odds available")), (F.col("pre") == F.col("opp_pre"), F.lit("Equal Elo ratings"))], "Odds data mismatch")
-    return priced.withColumns({"american": price, "reason": reason}).drop("_a", "_b", "_direct", "_mirror")
+    return priced.withColumns({"american": price, "reason": reason}).drop("_a", "_b", "_price")
 
 
 def event_summary(bets: DataFrame, others: DataFrame) -> DataFrame:
