@@ -11,18 +11,19 @@ from .scalar import col, first_match
 TIER_EDGES = (-200.0, -100.0, 0.0, 100.0, 200.0)
 
 # Bucket names in report order.
-EXPERIENCE = ("Novice", "Experienced", "Veteran", "Unknown")
-LAYOFF = ("Recent", "Medium", "Long", "Very Long", "Unknown")
+EXPERIENCE = ("Unknown", "Novice", "Experienced", "Veteran")
+LAYOFF = ("Recent", "Medium", "Long", "Very Long")
 QUALITY = ("Lower-tier", "Mid-tier", "Elite")
 MARGIN = (
-    "Heavy Favorite (300+)",
-    "Strong Favorite (200-300)",
-    "Moderate Favorite (100-200)",
-    "Slight Favorite (0-100)",
-    "Slight Underdog (-100-0)",
-    "Moderate Underdog (-200--100)",
-    "Heavy Underdog (-200+)",
+    "Huge favorite (>300)",
+    "Large favorite (200-300)",
+    "Small favorite (100-200)",
+    "Close (0-100)",
+    "Close underdog (0-100)",
+    "Large underdog (100-200)",
+    "Very large underdog (200+)",
 )
+METHODS = ("KO/TKO", "Submission", "Unanimous Decision", "Majority Decision", "Split Decision", "Other")
 GAPS = ("0-3", "4-10", "11-20", "21+")
 OPPONENT_BOUTS = ("0-4", "5-15", "16+")
 
