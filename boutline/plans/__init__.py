@@ -28,4 +28,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import scalars, ratings, betting, metrics, lookups, splits, sweeps, resampling, diagnostics  # noqa: F401
+    from . import scalars, ratings, betting, metrics, lookups, splits, sweeps, resampling, diagnostics, trends  # noqa: F401
