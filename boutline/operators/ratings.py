@@ -265,6 +265,7 @@ def scan_blocks(prepared: DataFrame, keys: list[str], limit: int = MAX_GROUP_ROW
             known = players.withColumn("rating", F.lit(None).cast("double"))
         else:
             known = players.join(state, [*keys, "who"], "left")
+        known = known.toDF(*known.columns)
 
         recur = _recurrence()
 
