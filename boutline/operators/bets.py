@@ -40,8 +40,8 @@ def within_lookback(df: DataFrame, days: int | None, source: DataFrame | None =
     that is cheaper than ``df`` (the unrated contests of a rated table)."""
     if not days:
         return df
-    cut = (df if source is None else source).agg(F.date_sub(F.max("day"), days).alias("_cut"))
-    return df.join(F.broadcast(cut), F.col("day") > F.col("_cut"), "inner").drop("_cut")
+    cut = (df if source is None else source).agg(F.date_sub(F.max("day"), days)).scalar()
+    return df.filter(F.col("day") > cut)
 
 
 def predictions(rated: DataFrame, source: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import buckets as B
 from ..functions import scalar as S
 from ..session import materialize
-from .prefix import month_slice, running
+from .prefix import day_slice, running, value_slices
 
 PICK_EPS = 1e-15
 BET_EPS = 1e-10
@@ -178,8 +178,8 @@ def calibration_all(scored: DataFrame, keys: list[str]) -> DataFrame:
 
 def auc(scored: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Exact area under the ROC curve by rank sums over distinct scores; null with one class only."""
-    counted = scored.groupBy(*keys, "prob").agg(F.sum("result").alias("pos"), F.sum(1.0 - F.col("result")).alias("neg"))
-    ranked = running(counted, list(keys), F.floor(F.col("prob") * 1024), ["prob"], {"below": ("sum", F.col("neg"))}, inclusive=False)
+    counted = materialize(scored.groupBy(*keys, "prob").agg(F.sum("result").alias("pos"), F.sum(1.0 - F.col("result")).alias("neg")))
+    ranked = running(counted, list(keys), value_slices(counted, "prob"), ["prob"], {"below": ("sum", F.col("neg"))}, inclusive=False)
     wins = F.sum(F.col("pos") * (F.coalesce("below", F.lit(0.0)) + F.col("neg") / 2.0))
     return ranked.groupBy(*keys).agg(F.try_divide(wins, F.sum("pos") * F.sum("neg")).alias("auc"))
 
@@ -226,11 +226,11 @@ def roi_by_decile(bets: DataFrame, keys: list[str] = ()) -> DataFrame:
 def drawdown_series(bets: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Cumulative profit, its running peak and the drawdown after each bet, in (day, seq) order.
 
-    Two-level: inside a month with a window, across months with one total row per month. The running peak starts at the first
+    Two-level: inside a day with a window, across days with one total row per day. The running peak starts at the first
     value, so a first loss is not a drawdown.
     """
     keys = list(keys)
-    rows = bets.select(*keys, "day", "seq", "profit", month_slice("day").alias("_slice"))
+    rows = bets.select(*keys, "day", "seq", "profit", day_slice("day").alias("_slice"))
     w = W.partitionBy(*keys, "_slice").orderBy("day", "seq").rowsBetween(W.unboundedPreceding, 0)
     local = rows.withColumn("_local", F.sum("profit").over(w)).withColumn("_top", F.max("_local").over(w))
     totals = local.groupBy(*keys, "_slice").agg(F.sum("profit").alias("_sum"), F.max("_local").alias("_high"))
@@ -248,7 +248,7 @@ def max_drawdown(bets: DataFrame, keys: list[str] = ()) -> DataFrame:
     keys = list(keys)
     series = materialize(drawdown_series(bets, keys))
     under = F.col("drawdown") > 0
-    marked = running(series, keys, month_slice("day"), ["day", "seq"], {"peaks": ("sum", (~under).cast("long"))})
+    marked = running(series, keys, day_slice("day"), ["day", "seq"], {"peaks": ("sum", (~under).cast("long"))})
     # a stretch is the run of rows after the same number of peaks
     runs = marked.groupBy(*keys, "peaks").agg(F.count_if(under).alias("length"))
     longest = runs.groupBy(*keys).agg(F.max("length").alias("duration"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..session import materialize
 from . import history as H
 from .bets import attach_prices, decided, first_per_pair, picks, price_table, settle
 from .ratings import both_sides, sides, with_candidates
@@ -15,6 +16,8 @@ def ratings_as_of(contests: DataFrame, hist: DataFrame, keys: list[str] = (), da
     """Add ``rating`` and ``opp_rating``: each side's rating after its last contest strictly before ``day``; null if none."""
     keys = list(keys)
     probes = sides(contests.select(*keys, "seq", F.col(day).alias("day"), "player", "opponent")).select(*keys, "seq", "day", "side", F.col("who").alias("player"))
+    # both branches of the running maximum read the history, so the scan behind it is written once
+    hist = materialize(hist.select(*keys, "player", "day", "seq", "side", "post"))
     found = H.as_of(probes, hist, [*keys, "player"], {"rating": F.col("post")}, ["seq", "side"])
     return both_sides(contests, found, ["rating"], on=(*keys, "seq"))
 

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 _AGG = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
 
 
@@ -38,7 +40,7 @@ def running(
 
     ``slice_col`` must be a non-decreasing function of the order (a month of the date, a band of a score). The number of
     slices of one key is bounded by the range of that function, never by the number of rows. With ``inclusive`` false the
-    current row is left out.
+    current row is left out. Keys and slices must not be null.
     """
     frame = W.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
     before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
@@ -50,7 +52,8 @@ def running(
         *[(F.max if k == "max" else F.min if k == "min" else F.sum)(f"_t_{n}").over(before).alias(f"_c_{n}") for n, (k, _) in columns.items()],
     )
     local = staged.select("*", *[_AGG[k](f"_v_{n}").over(frame).alias(f"_l_{n}") for n, (k, _) in columns.items()])
-    cond = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_slice").eqNullSafe(F.col("_k_slice"))]
+    # plain equality keeps the window's partitioning, so the big side is not shuffled again
+    cond = [F.col(k) == F.col(f"_k_{k}") for k in keys] + [F.col("_slice") == F.col("_k_slice")]
     joined = local.join(carry, cond, "left")
     out = [_combine(k, F.col(f"_c_{n}"), F.col(f"_l_{n}")).alias(n) for n, (k, _) in columns.items()]
     return joined.select(*[F.col(c) for c in df.columns], *out)
@@ -62,23 +65,26 @@ def month_slice(day) -> Column:
     return F.year(d) * 12 + F.month(d)
 
 
-def week_slice(day) -> Column:
-    d = F.col(day) if isinstance(day, str) else day
-    return F.floor(F.datediff(d, F.lit("1970-01-01").cast("date")) / 7)
+def day_slice(day) -> Column:
+    """Every day its own slice: for series without keys, where one slice must stay small and their number is the calendar's."""
+    return F.datediff(F.col(day) if isinstance(day, str) else day, F.lit("1970-01-01").cast("date"))
+
 
+def value_slices(df: DataFrame, value: str, slices: int = 128) -> Column:
+    """Slices of about equal weight over ``value``, cut at its approximate percentiles. ``slices`` numbers come to the driver."""
+    cuts = df.agg(F.percentile_approx(value, [i / slices for i in range(1, slices)], 10_000)).first()[0] or []
+    return F.size(F.filter(F.lit([float(c) for c in sorted(set(cuts))]), lambda c: c < F.col(value))) if cuts else F.lit(0)
 
-def exact_quantiles(df: DataFrame, value: str, qs: list[float], bands: int = 4096) -> DataFrame:
+
+def exact_quantiles(df: DataFrame, value: str, qs: list[float]) -> DataFrame:
     """One row with columns ``q0, q1, ...``: quantiles with linear interpolation, without gathering the values.
 
     Distinct values are counted first (partial aggregation), then ranked with a sliced running count; only the rows next to
     each wanted rank survive into the last aggregate.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    span = counted.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
-    banded = counted.join(F.broadcast(span), F.lit(True), "inner").withColumn(
-        "width", F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / bands).otherwise(1.0)
-    )
-    ranked = running(banded, [], F.floor((F.col("v") - F.col("lo")) / F.col("width")), ["v"], {"upto": ("sum", F.col("n"))})
+    counted = materialize(df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n")))
+    total = counted.agg(F.sum("n")).scalar()
+    ranked = running(counted, [], value_slices(counted, "v"), ["v"], {"upto": ("sum", F.col("n"))}).withColumn("total", total)
     out = []
     for i, q in enumerate(qs):
         pos = (F.col("total") - 1) * F.lit(float(q))

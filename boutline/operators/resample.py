@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..session import materialize
 from . import bets as K
-from .prefix import month_slice, running
+from .prefix import day_slice, running
 from .sweep import best_of
 
 
@@ -138,7 +138,7 @@ def bootstrap_rows(rows: DataFrame, size: int, n_replicates: int, seed: int = 42
     n = base.count()
     if n < size:
         raise ValueError(f"{n} rows are too few to draw {size}")
-    numbered = running(base, [], month_slice("day"), ["day", "seq"], {"pos": ("count", F.lit(1))}, inclusive=False)
+    numbered = running(base, [], day_slice("day"), ["day", "seq"], {"pos": ("count", F.lit(1))}, inclusive=False)
     reps = F.explode(F.sequence(F.lit(0), F.lit(n_replicates - 1))).alias("replicate")
     spark = rows.sparkSession
     if n < 4 * size:

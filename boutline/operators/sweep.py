@@ -61,9 +61,9 @@ def evaluate(contests: DataFrame, odds: DataFrame, candidates: list[dict], lookb
 def train_val_side(df: DataFrame, source: DataFrame, lookback: int, validation: float) -> DataFrame:
     """Rows of the look-back window tagged ``train`` (up to the middle, inclusive) or ``val``."""
     train_days = int(lookback * (1 - validation))
-    cut = source.agg(F.date_sub(F.max("day"), lookback).alias("_from")).withColumn("_mid", F.date_add("_from", train_days))
-    tagged = df.join(F.broadcast(cut), F.col("day") > F.col("_from"), "inner")
-    return tagged.withColumn("side", F.when(F.col("day") <= F.col("_mid"), "train").otherwise("val")).drop("_from", "_mid")
+    start = source.agg(F.date_sub(F.max("day"), lookback)).scalar()
+    inside = df.filter(F.col("day") > start)
+    return inside.withColumn("side", F.when(F.col("day") <= F.date_add(start, train_days), "train").otherwise("val"))
 
 
 def evaluate_train_val(contests: DataFrame, odds: DataFrame, candidates: list[dict], lookback: int = 365, validation: float = 0.5, threshold: float = 2.0) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..session import materialize
-from .prefix import month_slice, running
+from .prefix import day_slice, running
 
 
 def exponential_average(df: DataFrame, value: str, span: float, order: list[str] = ("day", "seq"), name: str = "ema") -> DataFrame:
@@ -23,7 +23,7 @@ def exponential_average(df: DataFrame, value: str, span: float, order: list[str]
     a = 2.0 / (span + 1.0)
     keep = 1.0 - a
     length = max(1, math.ceil(41.5 / -math.log(keep))) if 0.0 < keep < 1.0 else 1
-    numbered = running(df, [], month_slice("day"), list(order), {"_pos": ("count", F.lit(1))}, inclusive=False)
+    numbered = running(df, [], day_slice("day"), list(order), {"_pos": ("count", F.lit(1))}, inclusive=False)
     i = F.col("_pos") % length
     weight = F.when(F.col("_pos") == 0, 1.0).otherwise(a)
     blocked = materialize(numbered.withColumns({"_block": F.floor(F.col("_pos") / length), "_i": i, "_x": weight * F.col(value) * F.pow(F.lit(keep), -i)}))

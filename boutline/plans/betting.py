@@ -9,6 +9,7 @@ from ..operators import bets as K
 from ..operators import metrics as M
 from ..operators import ratings as R
 from ..operators.prefix import exact_quantiles
+from ..session import materialize
 from . import query
 from . import sqltext as T
 
@@ -19,12 +20,12 @@ RATED_OC = (T.OC, T.scan_sql("oc", CAND))
 
 
 def rated_events(t, carry=CARRY):
-    c = t.events_contests()
+    c = materialize(t.events_contests())
     return c, R.rate(c, CAND, carry=carry)
 
 
 def rated_orders(t, carry=CARRY):
-    c = t.orders_contests()
+    c = materialize(t.orders_contests())
     return c, R.rate(c, CAND, carry=carry)
 
 
@@ -167,9 +168,8 @@ def prices_from_contests(t):
 def accuracy_cutoff(t):
     c, rated = rated_events(t)
     micros = lambda x: F.expr(f"unix_micros(cast({x} as timestamp))").cast("double")
-    cut = exact_quantiles(c.select(micros("played_at").alias("x")), "x", [0.8])
-    p = K.predictions(rated, c).join(F.broadcast(cut), F.lit(True), "inner").withColumn("played_at", micros("played_at"))
-    a = M.accuracy_after(p, F.col("q0"))
+    cut = exact_quantiles(c.select(micros("played_at").alias("x")), "x", [0.8]).scalar()
+    a = M.accuracy_after(K.predictions(rated, c).withColumn("played_at", micros("played_at")), cut)
     return a.select(r6("accuracy").alias("accuracy"), r6("later_accuracy").alias("later_accuracy"), "later_rows")
 
 

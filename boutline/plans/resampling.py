@@ -38,7 +38,7 @@ wr AS (SELECT w.window_num, w.train_fights, w.test_fights, b.candidate_id, coale
     ),
 )
 def rolling_backtest(t):
-    c = t.orders_contests()
+    c = materialize(t.orders_contests())
     odds = t.odds(c)
     bets = K.bet_records(R.rate(c, WINDOW_CANDS, carry=["result", "is_draw"]), c, odds, Z.KEYS)
     g = B.rolling_backtest(bets, c.select("day"), odds.select("day"))
@@ -64,7 +64,7 @@ _TRAIN_BETS = (T.bets_sql("tr", lookback=90, name="tb"), "tq AS (SELECT candidat
     ),
 )
 def param_robustness(t):
-    c = t.orders_contests()
+    c = materialize(t.orders_contests())
     train = materialize(train_part(c))
     odds = t.odds(c)
     rated = materialize(R.rate(train, ROBUST, carry=["result", "is_draw"]))
@@ -147,11 +147,11 @@ UNION ALL SELECT 'rating_gap', count(*), {T.r6('avg(abs(pre - opp_pre))')}, {T.r
 )
 def market_shift(t):
     """Price and rating-gap distributions before and in the holdout."""
-    c = t.orders_contests()
+    c = materialize(t.orders_contests())
     hold = t.holdout(c, HOLD_DAYS)
-    start = hold.agg(F.min("day").alias("_start"))
-    odds = t.odds(c).join(F.broadcast(start), F.col("day") < F.col("_start"), "inner").select(F.col("american").alias("x"))
-    gaps = R.rate(c, CAND).join(F.broadcast(start), F.col("day") >= F.date_sub("_start", 90), "inner").select(F.abs(F.col("pre") - F.col("opp_pre")).alias("x"))
+    start = hold.agg(F.min("day")).scalar()
+    odds = t.odds(c).filter(F.col("day") < start).select(F.col("american").alias("x"))
+    gaps = R.rate(c, CAND).filter(F.col("day") >= F.date_sub(start, 90)).select(F.abs(F.col("pre") - F.col("opp_pre")).alias("x"))
 
     def line(name, df, signs=True):
         df = materialize(df.filter(F.col("x").isNotNull()))
@@ -175,7 +175,7 @@ def market_shift(t):
     ),
 )
 def accuracy_vs_roi(t):
-    c = t.orders_contests()
+    c = materialize(t.orders_contests())
     train = materialize(train_part(c))
     odds = t.odds(c)
     rated = materialize(R.rate(train, CAND, carry=["result", "is_draw"]))

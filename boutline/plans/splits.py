@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fitness as FIT
 from ..functions.scalar import r6
 from ..operators import splits as X
+from ..session import materialize
 from . import query
 from . import sqltext as T
 from .betting import _rounded
@@ -92,7 +93,7 @@ _SR = f"SELECT candidate_id, split_id, bets, {T.r6('wagered')} AS wagered, {T.r6
 
 
 def split_rois(t, window, candidates):
-    c = t.orders_contests()
+    c = materialize(t.orders_contests())
     splits = X.make_splits(c, 12, window, 12)
     return X.split_roi(X.split_bets(c, t.odds(c), candidates, splits, window), candidates, splits)
 

@@ -10,6 +10,7 @@ from ..operators import oos as O
 from ..operators import ratings as R
 from ..operators import sweep as Z
 from ..operators.prefix import exact_quantiles
+from ..session import materialize
 from . import query
 from . import sqltext as T
 from .betting import DAILY, EXTENDED, PM, _rounded
@@ -29,11 +30,11 @@ gr AS (SELECT candidate_id, avg(correct) AS accuracy, avg(correct) FILTER (WHERE
     ),
 )
 def k_grid_sweep(t):
-    c = t.events_contests()
+    c = materialize(t.events_contests())
     micros = lambda x: F.expr(f"unix_micros(cast({x} as timestamp))").cast("double")
-    cut = exact_quantiles(c.select(micros("played_at").alias("x")), "x", [0.8])
+    cut = exact_quantiles(c.select(micros("played_at").alias("x")), "x", [0.8]).scalar()
     rated = R.rate(c, GRID, carry=["result", "is_draw", "played_at"]).withColumn("played_at", micros("played_at"))
-    g = Z.grid_accuracy(rated.join(F.broadcast(cut), F.lit(True), "inner"), c, F.col("q0"))
+    g = Z.grid_accuracy(rated, c, cut)
     params = c.sparkSession.createDataFrame([(i, x["k"], x["use_method"]) for i, x in enumerate(GRID)], "candidate_id int, k double, use_method double")
     return _rounded(Z.best_of(g.join(F.broadcast(params), "candidate_id"), "later_accuracy", ["use_method"]))
 
@@ -46,7 +47,7 @@ OOS_GRID = Z.k_grid(20, 400, 40)
     T.sql(*HOLD, T.scan_sql("tr", OOS_GRID), _LATEST_SQL, oos_pred_sql("hold", min_bouts=0), select=f"SELECT candidate_id, count(*) AS n, {T.r6('avg(correct)')} AS accuracy FROM oq GROUP BY candidate_id"),
 )
 def k_oos_sweep(t):
-    c = t.orders_contests()
+    c = materialize(t.orders_contests())
     train = train_part(c)
     p = O.oos_predictions(R.rate(train, OOS_GRID), train, t.holdout(c, HOLD_DAYS), OOS_GRID, min_bouts=0, match=False)
     return _rounded(O.oos_accuracy(p).select("candidate_id", "n", "accuracy"))
@@ -71,7 +72,7 @@ _EVAL_TAIL = (
     ),
 )
 def evaluate_candidates(t):
-    c = t.orders_contests()
+    c = materialize(t.orders_contests())
     e = Z.evaluate(c, t.odds(c), CANDS, LOOKBACK)
     return _rounded(e.select("candidate_id", "roi", "bets", "trend", "sharpe", "accuracy", "log_loss", "brier", "n"))
 
@@ -89,7 +90,7 @@ tf AS (SELECT *, train_roi - val_roi AS gap, CASE WHEN train_roi - val_roi > 2.0
     ),
 )
 def evaluate_train_val(t):
-    c = t.orders_contests()
+    c = materialize(t.orders_contests())
     return _rounded(Z.evaluate_train_val(c, t.odds(c), CANDS, 730, 0.5))
 
 
@@ -107,7 +108,7 @@ _NAMES = [x["name"] for x in CONFIGS]
     ),
 )
 def config_ranking(t):
-    c = t.events_contests()
+    c = materialize(t.events_contests())
     e = Z.evaluate(c, t.odds(c), _CONFIG_CANDS, decay=True, moves=True)
     return _rounded(Z.rank_configs(e, _NAMES))
 
@@ -124,7 +125,7 @@ GENERATIONS = [{"k": 20.0 + 35.0 * i, "w_ko": 1.0 + (i % 5) / 5.0, "w_sdec": 0.6
     ),
 )
 def sweep_summary(t):
-    c = t.orders_contests()
+    c = materialize(t.orders_contests())
     bets = K.bet_records(R.rate(c, GENERATIONS, carry=["result", "is_draw"]), c, t.odds(c), Z.KEYS)
     e = bets.groupBy("candidate_id").agg((F.sum("profit") / F.sum("stake") * 100.0).alias("fitness"))
     return _rounded(Z.generation_stats(e.withColumn("generation", F.floor(F.col("candidate_id") / 4).cast("int")), ["generation"]))
@@ -133,7 +134,7 @@ def sweep_summary(t):
 @query("search_generation")
 def search_generation(t):
     """Two generations of a seeded search on train/validation fitness; each generation is one Spark job."""
-    c = t.orders_contests()
+    c = materialize(t.orders_contests())
     odds = t.odds(c)
     log = Z.search(lambda cands: Z.evaluate_train_val(c, odds, cands, 730, 0.5), Z.search_bounds(), population=6, generations=2)
     rows = [(x["generation"], x["candidate_id"], float(x["fitness"]), x["k"]) for x in log]

@@ -124,7 +124,7 @@ class Tables:
 
     def holdout(self, contests: DataFrame, days: int) -> DataFrame:
         """Contests of the last ``days`` days with names spelt differently: plain, shouted, with a middle token, or unknown."""
-        last = contests.agg(F.date_sub(F.max("day"), days).alias("cut"))
+        cut = contests.agg(F.date_sub(F.max("day"), days)).scalar()
         seq = F.col("seq")
 
         def respell(name: str, tag: str) -> Column:
@@ -136,6 +136,6 @@ class Tables:
 
         base = F.when(seq % 7 != 0, F.when(seq % 3 == 0, -(seq * 37 % 300 + 100)).otherwise(seq * 53 % 300 + 100)).cast("double")
         return (
-            contests.join(F.broadcast(last), F.col("day") > F.col("cut"), "inner")
+            contests.filter(F.col("day") > cut)
             .select("seq", "played_at", "day", respell("player", "N").alias("player"), respell("opponent", "O").alias("opponent"), "result", "is_draw", base.alias("american"), (-base).alias("opp_american"))
         )
