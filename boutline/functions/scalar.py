@@ -62,6 +62,14 @@ def text_flag(c) -> Column:
     return F.coalesce(trimmed.isin("1", "true") | F.coalesce(trimmed.try_cast("double") == 1.0, F.lit(False)), F.lit(False))
 
 
+def epoch_micros(c) -> Column:
+    """Microseconds since 1970 of a timestamp without zone, whatever the session's zone."""
+    t = col(c)
+    days = F.datediff(F.to_date(t), F.lit("1970-01-01").cast("date"))
+    clock = F.hour(t) * 3600 + F.minute(t) * 60
+    return (days.cast("double") * 86400.0 + clock) * 1e6 + F.extract(F.lit("SECOND"), t).cast("double") * 1e6
+
+
 def number_flag(c) -> Column:
     return F.coalesce(col(c) == 1, F.lit(False))
 

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import fitness as FIT
 from ..session import materialize
+from ..sources.contests import FLAGS
 from . import bets as K
+from . import consistency as C
 from . import metrics as M
-from .ratings import rate
+from .ratings import bout_counts, rate
 
 KEYS = ["candidate_id"]
 
@@ -58,6 +60,26 @@ def evaluate(contests: DataFrame, odds: DataFrame, candidates: list[dict], lookb
     )
 
 
+def evaluate_everything(contests: DataFrame, odds: DataFrame, candidates: list[dict], lookback: int | None = None, weights: dict | None = None) -> DataFrame:
+    """ROI metrics plus calibration, AUC and consistency of every candidate, and the weighted search fitness on top.
+
+    One scan for all candidates; the scored table and the bets are written once and every metric aggregates them by candidate.
+    """
+    thin = contests.select("seq", "day", "player", "opponent")
+    rated = materialize(rate(contests, candidates, carry=["result", "is_draw", "played_at", *FLAGS]))
+    bets = materialize(K.bet_records(rated, contests, odds, KEYS, lookback))
+    roi = M.roi_extended(bets, KEYS).withColumn("roi", F.try_divide(F.col("profit"), F.col("wagered")) * 100.0).select(*KEYS, "roi", "trend", "sharpe", "bets")
+    bouts = bout_counts(thin).select("seq", "bouts", "opp_bouts")
+    scored = materialize(K.scored(K.within_lookback(rated, lookback, contests), contests).join(bouts, "seq"))
+    spread = C.spread(C.by_bucket(scored, C.dimensions(), KEYS), KEYS)
+    parts = [M.expected_calibration_error(scored, KEYS), M.auc(scored, KEYS), C.overall(spread, KEYS), M.probability_metrics(scored, KEYS).drop("n"), roi]
+    out = rated.sparkSession.range(len(candidates)).select(F.col("id").cast("int").alias("candidate_id"))
+    for p in parts:
+        out = out.join(p, KEYS, "left")
+    out = out.withColumn("roi", F.coalesce("roi", F.lit(0.0)))
+    return out.withColumn("fitness", FIT.search_fitness("roi", "trend", "sharpe", "ece", "consistency_variance", "auc", weights))
+
+
 def train_val_side(df: DataFrame, source: DataFrame, lookback: int, validation: float) -> DataFrame:
     """Rows of the look-back window tagged ``train`` (up to the middle, inclusive) or ``val``."""
     train_days = int(lookback * (1 - validation))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalar as S
 from ..functions.scalar import r6
 from ..operators import bets as K
 from ..operators import metrics as M
@@ -83,7 +84,7 @@ def lookback_filter(t):
 @query("quantile_cutoff", T.sql(T.EV, T.OC, select="SELECT 'events' AS source, round(quantile_cont(epoch_us(played_at)::DOUBLE, 0.8) / 1e6, 3) + 0.0 AS cutoff FROM ev UNION ALL SELECT 'orders', round(quantile_cont(epoch_us(played_at)::DOUBLE, 0.8) / 1e6, 3) + 0.0 FROM oc"))
 def quantile_cutoff(t):
     def cut(name, c):
-        micros = c.select(F.expr("unix_micros(cast(played_at as timestamp))").cast("double").alias("x"))
+        micros = c.select(S.epoch_micros("played_at").alias("x"))
         return exact_quantiles(micros, "x", [0.8]).select(F.lit(name).alias("source"), r6(F.col("q0") / 1e6, 3).alias("cutoff"))
 
     return cut("events", t.events_contests()).unionByName(cut("orders", t.orders_contests()))
@@ -167,9 +168,8 @@ def prices_from_contests(t):
 )
 def accuracy_cutoff(t):
     c, rated = rated_events(t)
-    micros = lambda x: F.expr(f"unix_micros(cast({x} as timestamp))").cast("double")
-    cut = exact_quantiles(c.select(micros("played_at").alias("x")), "x", [0.8]).scalar()
-    a = M.accuracy_after(K.predictions(rated, c).withColumn("played_at", micros("played_at")), cut)
+    cut = exact_quantiles(c.select(S.epoch_micros("played_at").alias("x")), "x", [0.8]).scalar()
+    a = M.accuracy_after(K.predictions(rated, c).withColumn("played_at", S.epoch_micros("played_at")), cut)
     return a.select(r6("accuracy").alias("accuracy"), r6("later_accuracy").alias("later_accuracy"), "later_rows")
 
 

@@ -128,28 +128,31 @@ def auc_roc(t):
     return _rounded(M.auc(scored_orders(t)))
 
 
-@query(
-    "precision_recall",
-    T.sql(*PRED_OC, select=f"""SELECT {T.r6("avg(result) FILTER (WHERE prob > 0.5)")} AS favorite_precision, {T.r6("count(*) FILTER (WHERE prob > 0.5 AND result = 1) / count(*) FILTER (WHERE result = 1)")} AS favorite_recall,
-  count(*) FILTER (WHERE prob > 0.5) AS favorites, {T.r6("avg(1 - result) FILTER (WHERE prob <= 0.5)")} AS underdog_precision, count(*) FILTER (WHERE prob <= 0.5) AS underdogs FROM pred"""),
-)
+_PR = f"""{T.r6("avg(result) FILTER (WHERE prob > 0.5)")} AS favorite_precision, {T.r6("count(*) FILTER (WHERE prob > 0.5 AND result = 1) / count(*) FILTER (WHERE result = 1)")} AS favorite_recall,
+  count(*) FILTER (WHERE prob > 0.5) AS favorites, {T.r6("avg(1 - result) FILTER (WHERE prob <= 0.5)")} AS underdog_precision, count(*) FILTER (WHERE prob <= 0.5) AS underdogs"""
+
+
+@query("precision_recall", T.sql(*PRED_OC, select=f"SELECT {_PR} FROM pred"))
 def precision_recall(t):
     return _rounded(M.precision_recall(scored_orders(t)))
 
 
-@query(
-    "confidence_separation",
-    T.sql(*PRED_EV, select=f"SELECT {T.r6('avg(prob) FILTER (WHERE result = 1)')} AS winners, {T.r6('avg(prob) FILTER (WHERE result = 0)')} AS losers, {T.r6('avg(prob) FILTER (WHERE result = 1) - avg(prob) FILTER (WHERE result = 0)')} AS separation FROM pred"),
-)
+_SEPARATION = f"{T.r6('avg(prob) FILTER (WHERE result = 1)')} AS winners, {T.r6('avg(prob) FILTER (WHERE result = 0)')} AS losers, {T.r6('avg(prob) FILTER (WHERE result = 1) - avg(prob) FILTER (WHERE result = 0)')} AS separation"
+
+
+@query("confidence_separation", T.sql(*PRED_EV, select=f"SELECT {_SEPARATION} FROM pred"))
 def confidence_separation(t):
     return _rounded(M.confidence_separation(scored_events(t)))
 
 
+_DECILE_SQL = "dc AS (SELECT greatest(ceil(prob * 10) - 1, 0)::INT AS bin, count(*) AS bets, sum(profit) / sum(stake) * 100 AS roi, avg(bet_won) AS win_rate, sum(stake)::DOUBLE AS wagered FROM bets GROUP BY ALL)"
+
+
 @query(
     "roi_by_decile",
     T.sql(
         *BETS_EV,
-        "dc AS (SELECT greatest(ceil(prob * 10) - 1, 0)::INT AS bin, count(*) AS bets, sum(profit) / sum(stake) * 100 AS roi, avg(bet_won) AS win_rate, sum(stake)::DOUBLE AS wagered FROM bets GROUP BY ALL)",
+        _DECILE_SQL,
         select=f"""SELECT bin, bets, {T.r6('roi')} AS roi, {T.r6('win_rate')} AS win_rate, {T.r6('wagered')} AS wagered, (bin * 10) || '-' || ((bin + 1) * 10) || '%' AS decile,
   (bin = arg_max(bin, (roi, -bin)) OVER ())::INT AS is_best, (bin = arg_min(bin, (roi, bin)) OVER ())::INT AS is_worst FROM dc""",
     ),
@@ -222,7 +225,14 @@ def performance(scored, bets, keys):
     return M.auc(scored, keys).join(M.precision_recall(scored, keys), keys).join(M.confidence_separation(scored, keys), keys).join(edge, keys)
 
 
-@query("performance_bundle")
+@query(
+    "performance_bundle",
+    T.sql(
+        *PRED_OC, T.odds_sql("oc"), T.bets_sql("oc"), _AUC_SQL, _DECILE_SQL,
+        select=f"""SELECT 0 AS candidate_id, (SELECT {T.r6(_AUC)} FROM ar) AS auc, {_PR}, {_SEPARATION},
+  (SELECT arg_max(bin * 10 || '-' || (bin + 1) * 10 || '%', (roi, -bin)) FROM dc) AS best_decile, (SELECT arg_min(bin * 10 || '-' || (bin + 1) * 10 || '%', (roi, bin)) FROM dc) AS worst_decile FROM pred""",
+    ),
+)
 def performance_bundle(t):
     c, rated = rated_orders(t)
     rated = materialize(rated)

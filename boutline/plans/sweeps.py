@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalar as S
 from ..functions.scalar import r6
 from ..operators import bets as K
 from ..operators import oos as O
 from ..operators import ratings as R
+from ..operators import splits as X
 from ..operators import sweep as Z
 from ..operators.prefix import exact_quantiles
 from ..session import materialize
 from . import query
 from . import sqltext as T
 from .betting import DAILY, EXTENDED, PM, _rounded
+from ..functions import fitness as FIT
+from .metrics import _ALL_DIMS, _BOUTS_SQL
 from .lookups import HOLD, HOLD_DAYS, _LATEST_SQL, oos_pred_sql, train_part
 
 GRID = Z.k_grid()
@@ -31,9 +35,8 @@ gr AS (SELECT candidate_id, avg(correct) AS accuracy, avg(correct) FILTER (WHERE
 )
 def k_grid_sweep(t):
     c = materialize(t.events_contests())
-    micros = lambda x: F.expr(f"unix_micros(cast({x} as timestamp))").cast("double")
-    cut = exact_quantiles(c.select(micros("played_at").alias("x")), "x", [0.8]).scalar()
-    rated = R.rate(c, GRID, carry=["result", "is_draw", "played_at"]).withColumn("played_at", micros("played_at"))
+    cut = exact_quantiles(c.select(S.epoch_micros("played_at").alias("x")), "x", [0.8]).scalar()
+    rated = R.rate(c, GRID, carry=["result", "is_draw", "played_at"]).withColumn("played_at", S.epoch_micros("played_at"))
     g = Z.grid_accuracy(rated, c, cut)
     params = c.sparkSession.createDataFrame([(i, x["k"], x["use_method"]) for i, x in enumerate(GRID)], "candidate_id int, k double, use_method double")
     return _rounded(Z.best_of(g.join(F.broadcast(params), "candidate_id"), "later_accuracy", ["use_method"]))
@@ -140,3 +143,51 @@ def search_generation(t):
     rows = [(x["generation"], x["candidate_id"], float(x["fitness"]), x["k"]) for x in log]
     table = c.sparkSession.createDataFrame(rows, "generation int, candidate_id int, fitness double, k double")
     return table.select("generation", "candidate_id", r6("fitness").alias("fitness"), r6("k").alias("k"))
+
+
+_WEIGHTS = {"roi": 0.4, "calibration": 0.2, "consistency": 0.2, "auc": 0.2}
+_PER = "PARTITION BY candidate_id"
+_FULL_SQL = (
+    T.bets_sql("oc", lookback=LOOKBACK), DAILY, EXTENDED, f"look AS (SELECT * FROM rated WHERE day > (SELECT max(day) FROM oc) - {LOOKBACK})", T.pred_sql("oc", rated="look"), *_BOUTS_SQL,
+    "ex AS (SELECT candidate_id, regr_slope(cum_roi, x) AS trend, avg(roi) / stddev_samp(roi) * sqrt(52) AS sharpe, sum(bets)::BIGINT AS bets, sum(profit) / sum(stake) * 100 AS roi FROM dx GROUP BY ALL)",
+    "bi AS (SELECT candidate_id, least(floor(prob * 10), 9) AS bin, count(*) AS n, abs(avg(prob) - avg(result)) AS gap FROM pred GROUP BY ALL)",
+    "be AS (SELECT candidate_id, sum(n * gap) / sum(n) AS ece FROM bi GROUP BY ALL)",
+    "au AS (SELECT candidate_id, prob, sum(result) AS pos, sum(1 - result) AS neg FROM pred GROUP BY ALL)",
+    f"ar AS (SELECT *, coalesce(sum(neg) OVER ({_PER} ORDER BY prob ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM au)",
+    "ax AS (SELECT candidate_id, sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)) AS auc FROM ar GROUP BY ALL)",
+    "dm AS (" + " UNION ALL ".join(f"SELECT candidate_id, '{d}' AS dimension, {e} AS bucket, avg(((prob > 0.5)::INT = result)::INT) AS accuracy FROM (SELECT * FROM pred JOIN bc USING (seq)) GROUP BY ALL" for d, e in _ALL_DIMS) + ")",
+    "cv AS (SELECT candidate_id, avg(v) AS variance FROM (SELECT candidate_id, dimension, CASE WHEN count(*) > 1 THEN var_pop(accuracy) END AS v FROM dm GROUP BY ALL) GROUP BY ALL)",
+    f"pm AS (SELECT candidate_id, {PM} FROM pred GROUP BY ALL)",
+    "fz AS (SELECT * FROM ex JOIN be USING (candidate_id) JOIN ax USING (candidate_id) JOIN cv USING (candidate_id) JOIN pm USING (candidate_id))",
+)
+_FITNESS_SQL = "greatest(0.0, least(10.0, (roi + 20.0) / 5.0)) * 0.4 + greatest(0.0, least(10.0, (coalesce(trend, 0) + 1.0) * 5.0)) * 0.1 + greatest(0.0, least(10.0, (coalesce(sharpe, 0) + 2.0) * 2.0)) * 0.1 + 10.0 / (1.0 + ece * 50.0) * 0.2 + 10.0 / (1.0 + variance * 500.0) * 0.2 + greatest(0.0, least(10.0, (auc - 0.5) * 20.0)) * 0.2"
+
+
+@query(
+    "evaluate_everything",
+    T.sql(
+        T.OC, T.odds_sql("oc"), T.scan_sql("oc", CANDS), *_FULL_SQL,
+        select=f"SELECT candidate_id, bets, {T.r6('roi')} AS roi, {T.r6('trend')} AS trend, {T.r6('sharpe')} AS sharpe, {T.r6('ece')} AS ece, {T.r6('auc')} AS auc, {T.r6('variance')} AS consistency_variance, accuracy, {T.r6(_FITNESS_SQL)} AS fitness FROM fz",
+    ),
+)
+def evaluate_everything(t):
+    """All metrics of a search run and the weighted fitness, for every candidate at once."""
+    c = materialize(t.orders_contests())
+    e = Z.evaluate_everything(c, t.odds(c), CANDS, LOOKBACK, _WEIGHTS)
+    return _rounded(e.select("candidate_id", "bets", "roi", "trend", "sharpe", "ece", "auc", "consistency_variance", "accuracy", "fitness"))
+
+
+@query("search_splits")
+def search_splits(t):
+    """A seeded search whose fitness is the split ROI's mean less its spread; each generation is one job over all splits."""
+    c = materialize(t.orders_contests())
+    odds = materialize(t.odds(c))
+    splits = X.make_splits(c, 12, "expanding", 12)
+
+    def score(cands):
+        s = X.split_statistics(X.split_roi(X.split_bets(c, odds, cands, splits), cands, splits))
+        return s.select("candidate_id", FIT.split_fitness("mean", "std").alias("fitness"))
+
+    log = Z.search(score, Z.search_bounds(), population=5, generations=2)
+    table = c.sparkSession.createDataFrame([(x["generation"], x["candidate_id"], float(x["fitness"]), x["k"]) for x in log], "generation int, candidate_id int, fitness double, k double")
+    return table.select("generation", "candidate_id", r6("fitness").alias("fitness"), r6("k").alias("k"))

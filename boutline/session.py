@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL_DIRS: dict[str, str] = {}
+
 
 def local_session(cpus: int | str = "*", app: str = "boutline", shuffle_partitions: int = 8) -> SparkSession:
     """Session for tests and the benchmark. On a cluster the submitter's settings are used instead."""
@@ -31,9 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if sc.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _LOCAL_DIRS[sc.applicationId]
 
 
 def materialize(df: DataFrame) -> DataFrame:
