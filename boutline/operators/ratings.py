@@ -14,6 +14,7 @@ computed by Spark beforehand. What is left is the recurrence itself, which exist
 from __future__ import annotations
 
 import json
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..session import materialize
+from ..session import StepTable, materialize, shared_dir
 from .prefix import month_slice, running
 
 MAX_GROUP_ROWS = 2_000_000
@@ -236,9 +237,6 @@ def _block_of(bounds: list[tuple]) -> Column:
 
 
 def _write_blocks(prepared: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame, int]:
-    from ..session import shared_dir
-    import uuid
-
     bounds = block_bounds(prepared, keys, limit)
     path = f"{shared_dir(prepared.sparkSession).rstrip('/')}/boutline-blocks-{uuid.uuid4().hex}"
     tagged = prepared.withColumn("_block", _block_of(bounds))
@@ -255,9 +253,8 @@ def _next_state(state: DataFrame | None, fresh: DataFrame, keys: list[str]) -> D
 
 def scan_blocks(prepared: DataFrame, keys: list[str], limit: int = MAX_GROUP_ROWS) -> DataFrame:
     blocks, n = _write_blocks(prepared, keys, limit)
-    key_types = {f.name: f.dataType.simpleString() for f in prepared.schema}
     schema = _rated_schema(prepared)
-    state, rated = None, []
+    state, rated = None, StepTable(prepared.sparkSession)
     for b in range(n):
         part = blocks.filter(F.col("_block") == b).drop("_block")
         players = part.select(*keys, F.explode(F.array("player", "opponent")).alias("who")).distinct()
@@ -273,17 +270,13 @@ def scan_blocks(prepared: DataFrame, keys: list[str], limit: int = MAX_GROUP_ROW
             start = start[start["rating"].notna()]
             return recur(contests, dict(zip(start["who"], start["rating"])))
 
-        done = materialize(part.groupBy(*keys).cogroup(known.groupBy(*keys)).applyInPandas(run, schema))
-        rated.append(done)
+        done = rated.add(part.groupBy(*keys).cogroup(known.groupBy(*keys)).applyInPandas(run, schema))
         if b + 1 < n:
             long = sides(done.select(*keys, "day", "seq", "player", "opponent", "post", "opp_post"))
             post = F.when(F.col("side") == 0, F.col("post")).otherwise(F.col("opp_post"))
             fresh = long.groupBy(*keys, "who").agg(F.max_by(post, F.struct("day", "seq", "side")).alias("rating"))
             state = materialize(_next_state(state, fresh, keys))
-    out = rated[0]
-    for r in rated[1:]:
-        out = out.unionByName(r)
-    return out.select(*[c for c in prepared.columns if c in key_types and c not in _WORK], *_OUT)
+    return rated.whole(done.schema)
 
 
 def scan_waves(prepared: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
@@ -292,7 +285,8 @@ def scan_waves(prepared: DataFrame, keys: list[str], limit: int | None = None) -
         blocks, n = _write_blocks(prepared, keys, limit)
     else:
         blocks, n = materialize(prepared.withColumn("_block", F.lit(0))), 1
-    state, rated = None, []
+    state, rated = None, StepTable(prepared.sparkSession)
+    columns = [*[c for c in prepared.columns if c not in _WORK], *_OUT]
     ends = [*keys, "seq", "side"]
     for b in range(n):
         part = blocks.filter(F.col("_block") == b).drop("_block")
@@ -319,7 +313,7 @@ def scan_waves(prepared: DataFrame, keys: list[str], limit: int | None = None) -
             wave = materialize(ready)
             if wave.isEmpty():
                 break
-            rated.append(wave.drop("_na", "_nb", *_WORK))
+            done = rated.add(wave.select(*columns))
             moved = sides(wave.select(*keys, "player", "opponent", "post", "opp_post", "_na", "_nb")).select(
                 *keys, "who",
                 F.when(F.col("side") == 0, F.col("post")).otherwise(F.col("opp_post")).alias("rating"),
@@ -330,10 +324,7 @@ def scan_waves(prepared: DataFrame, keys: list[str], limit: int | None = None) -
         state = _next_state(state, current.select(*keys, "who", "rating"), keys)
         if b + 1 < n:
             state = materialize(state)
-    out = rated[0]
-    for r in rated[1:]:
-        out = out.unionByName(r)
-    return out.select(*[c for c in prepared.columns if c not in _WORK], *_OUT)
+    return rated.whole(done.schema)
 
 
 def choose_scan(prepared: DataFrame, keys: list[str], limit: int) -> str:

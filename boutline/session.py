@@ -38,6 +38,26 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[sc.applicationId]
 
 
+class StepTable:
+    """A table a loop writes step by step into one shared folder and that is read back as a whole, so neither the plan nor the
+    lineage grows with the number of steps."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.path = f"{shared_dir(spark).rstrip('/')}/boutline-{uuid.uuid4().hex}"
+        self.steps = 0
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write one step and return it as read back."""
+        part = f"{self.path}/_step={self.steps}"
+        df.write.parquet(part)
+        self.steps += 1
+        return self.spark.read.schema(df.schema).parquet(part)
+
+    def whole(self, schema) -> DataFrame:
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(self.path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
