@@ -7,8 +7,8 @@ computed by Spark beforehand. What is left is the recurrence itself, which exist
   run in parallel.
 * ``blocks``  - a longer history is cut into consecutive blocks of that size. Each block is a bounded co-group of its contests with
   the ratings of the players who take part in it; the state table is written to the shared folder between blocks.
-* ``waves``   - no Python: contests whose two players have no earlier open contest are rated together by joins, wave by wave.
-  Right for wide histories (many players, few contests each).
+* ``waves``   - contests whose two players have no earlier open contest are rated together by joins, wave by wave and without
+  Python, as long as waves are wide; what remains (the chains of a few busy players) goes through ``blocks``.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import scalar as S
 from ..session import StepTable, materialize, shared_dir
@@ -251,10 +252,10 @@ def _next_state(state: DataFrame | None, fresh: DataFrame, keys: list[str]) -> D
     return kept.unionByName(fresh)
 
 
-def scan_blocks(prepared: DataFrame, keys: list[str], limit: int = MAX_GROUP_ROWS) -> DataFrame:
-    blocks, n = _write_blocks(prepared, keys, limit)
-    schema = _rated_schema(prepared)
-    state, rated = None, StepTable(prepared.sparkSession)
+def _play_blocks(rows: DataFrame, keys: list[str], limit: int, state: DataFrame | None, rated: StepTable) -> StructType:
+    """Play ``rows`` in order, block by block, starting from ``state`` (keys, who, rating)."""
+    blocks, n = _write_blocks(rows, keys, limit)
+    schema = _rated_schema(rows)
     for b in range(n):
         part = blocks.filter(F.col("_block") == b).drop("_block")
         players = part.select(*keys, F.explode(F.array("player", "opponent")).alias("who")).distinct()
@@ -263,7 +264,6 @@ def scan_blocks(prepared: DataFrame, keys: list[str], limit: int = MAX_GROUP_ROW
         else:
             known = players.join(state, [*keys, "who"], "left")
         known = known.toDF(*known.columns)
-
         recur = _recurrence()
 
         def run(contests: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
@@ -276,65 +276,73 @@ def scan_blocks(prepared: DataFrame, keys: list[str], limit: int = MAX_GROUP_ROW
             post = F.when(F.col("side") == 0, F.col("post")).otherwise(F.col("opp_post"))
             fresh = long.groupBy(*keys, "who").agg(F.max_by(post, F.struct("day", "seq", "side")).alias("rating"))
             state = materialize(_next_state(state, fresh, keys))
-    return rated.whole(done.schema)
+    return done.schema
+
+
+def scan_blocks(prepared: DataFrame, keys: list[str], limit: int = MAX_GROUP_ROWS) -> DataFrame:
+    rated = StepTable(prepared.sparkSession)
+    return rated.whole(_play_blocks(prepared, keys, limit, None, rated))
+
+
+def _numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with how many open contests each side has before this one."""
+    long = sides(rows.select(*keys, "seq", "day", "player", "opponent")).select(*keys, "seq", "day", "side", "who")
+    counted = running(long, [*keys, "who"], month_slice("day"), ["day", "seq", "side"], {"nth": ("count", F.lit(1))}, inclusive=False)
+    nth = counted.groupBy(*keys, "seq").agg(
+        F.max(F.when(F.col("side") == 0, F.col("nth"))).alias("_na"), F.max(F.when(F.col("side") == 1, F.col("nth"))).alias("_nb")
+    )
+    return rows.join(nth, [*keys, "seq"])
+
+
+def _play_wave(open_rows: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
+    """Contests whose two players have no earlier open contest, with their ratings after."""
+    a = current.select(*keys, F.col("who").alias("player"), F.col("rating").alias("pre"), F.col("done").alias("_na"))
+    o = current.select(*keys, F.col("who").alias("opponent"), F.col("rating").alias("opp_pre"), F.col("done").alias("_nb"))
+    ready = open_rows.join(a, [*keys, "player", "_na"]).join(o, [*keys, "opponent", "_nb"])
+    ready = ready.withColumns({"adj_pre": F.col("pre") * F.col("_fa"), "adj_opp_pre": F.col("opp_pre") * F.col("_fb")})
+    gain = F.col("_s") - S.expected_score("adj_pre", "adj_opp_pre", F.col("_scale"))
+    opp_gain = 1.0 - F.col("_s") - S.expected_score("adj_opp_pre", "adj_pre", F.col("_scale"))
+    return ready.withColumns(
+        {"post": (F.col("pre") + F.col("_k") * gain) * F.col("_ba"), "opp_post": (F.col("opp_pre") + F.col("_k") * opp_gain) * F.col("_bb")}
+    )
 
 
-def scan_waves(prepared: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
-    """Join-only form. With ``limit`` the history is first cut into blocks so that each wave reads one block, not the whole table."""
-    if limit:
-        blocks, n = _write_blocks(prepared, keys, limit)
-    else:
-        blocks, n = materialize(prepared.withColumn("_block", F.lit(0))), 1
-    state, rated = None, StepTable(prepared.sparkSession)
+def scan_waves(prepared: DataFrame, keys: list[str], limit: int = MAX_GROUP_ROWS, min_wave_rows: int | None = None) -> DataFrame:
+    """Join-only waves while they are wide, bounded blocks for what is left.
+
+    A wave costs a few joins whatever its size, so it pays only while it holds many contests. The first waves of a wide history
+    take most of it; the long chains of a few busy players remain, and those are played in order from the ratings reached.
+    """
+    rated = StepTable(prepared.sparkSession)
     columns = [*[c for c in prepared.columns if c not in _WORK], *_OUT]
-    ends = [*keys, "seq", "side"]
-    for b in range(n):
-        part = blocks.filter(F.col("_block") == b).drop("_block")
-        long = sides(part.select(*keys, "seq", "day", "player", "opponent")).select(*keys, "seq", "day", "side", "who")
-        numbered = running(long, [*keys, "who"], month_slice("day"), ["day", "seq", "side"], {"nth": ("count", F.lit(1))}, inclusive=False)
-        nth = numbered.select(*ends, "nth").groupBy(*keys, "seq").agg(
-            F.max(F.when(F.col("side") == 0, F.col("nth"))).alias("_na"), F.max(F.when(F.col("side") == 1, F.col("nth"))).alias("_nb")
-        )
-        open_rows = materialize(part.join(nth, [*keys, "seq"]))
-        start = long.select(*keys, "who").distinct()
-        known = start.withColumn("rating", F.lit(S.BASE_RATING)) if state is None else start.join(state, [*keys, "who"], "left").withColumn("rating", F.coalesce("rating", F.lit(S.BASE_RATING)))
-        current = materialize(known.withColumn("done", F.lit(0).cast("long")))
-        while True:
-            a = current.select(*keys, F.col("who").alias("player"), F.col("rating").alias("pre"), F.col("done").alias("_na"))
-            o = current.select(*keys, F.col("who").alias("opponent"), F.col("rating").alias("opp_pre"), F.col("done").alias("_nb"))
-            ready = open_rows.join(a, [*keys, "player", "_na"]).join(o, [*keys, "opponent", "_nb"])
-            xa, xb = F.col("pre") * F.col("_fa"), F.col("opp_pre") * F.col("_fb")
-            ready = ready.withColumns({"adj_pre": xa, "adj_opp_pre": xb}).withColumns(
-                {
-                    "post": (F.col("pre") + F.col("_k") * (F.col("_s") - S.expected_score("adj_pre", "adj_opp_pre", F.col("_scale")))) * F.col("_ba"),
-                    "opp_post": (F.col("opp_pre") + F.col("_k") * (1.0 - F.col("_s") - S.expected_score("adj_opp_pre", "adj_pre", F.col("_scale")))) * F.col("_bb"),
-                }
-            )
-            wave = materialize(ready)
-            if wave.isEmpty():
-                break
-            done = rated.add(wave.select(*columns))
-            moved = sides(wave.select(*keys, "player", "opponent", "post", "opp_post", "_na", "_nb")).select(
-                *keys, "who",
-                F.when(F.col("side") == 0, F.col("post")).otherwise(F.col("opp_post")).alias("rating"),
-                (F.when(F.col("side") == 0, F.col("_na")).otherwise(F.col("_nb")) + 1).alias("done"),
-            )
-            current = materialize(_next_state(current, moved, keys))
-            open_rows = materialize(open_rows.join(wave.select(*keys, "seq"), [*keys, "seq"], "left_anti"))
-        state = _next_state(state, current.select(*keys, "who", "rating"), keys)
-        if b + 1 < n:
-            state = materialize(state)
+    n_keys = prepared.select(*keys).distinct().count()
+    least = n_keys * WAVE_SECONDS / STEP_SECONDS if min_wave_rows is None else min_wave_rows
+    open_rows = materialize(_numbered(prepared, keys))
+    who = open_rows.select(*keys, F.explode(F.array("player", "opponent")).alias("who")).distinct()
+    current = materialize(who.withColumns({"rating": F.lit(S.BASE_RATING), "done": F.lit(0).cast("long")}))
+    left = open_rows.count()
+    while left:
+        wave = materialize(_play_wave(open_rows, current, keys))
+        size = wave.count()
+        done = rated.add(wave.select(*columns))
+        moved = sides(wave.select(*keys, "player", "opponent", "post", "opp_post", "_na", "_nb")).select(
+            *keys, "who",
+            F.when(F.col("side") == 0, F.col("post")).otherwise(F.col("opp_post")).alias("rating"),
+            (F.when(F.col("side") == 0, F.col("_na")).otherwise(F.col("_nb")) + 1).alias("done"),
+        )
+        current = materialize(_next_state(current, moved, keys))
+        open_rows = materialize(open_rows.join(wave.select(*keys, "seq"), [*keys, "seq"], "left_anti"))
+        left -= size
+        if left and size < least:
+            _play_blocks(open_rows.drop("_na", "_nb").select(*prepared.columns), keys, limit, current.select(*keys, "who", "rating"), rated)
+            break
     return rated.whole(done.schema)
 
 
-def choose_scan(prepared: DataFrame, keys: list[str], limit: int) -> str:
-    """Bounded groups when the longest history fits; else waves for wide histories and blocks for deep ones."""
-    thin = prepared.select(*keys, "player", "opponent")
-    per_key = thin.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if per_key <= limit:
-        return "grouped"
-    depth = thin.select(*keys, F.explode(F.array("player", "opponent")).alias("who")).groupBy(*keys, "who").count().agg(F.max("count")).first()[0]
-    return "waves" if 4 * depth * WAVE_SECONDS < per_key * STEP_SECONDS else "blocks"
+def choose_scan(rows: DataFrame, keys: list[str], limit: int) -> str:
+    """Bounded groups when the longest history fits one, else waves (which turn to blocks where the history gets deep)."""
+    longest = rows.select(*keys).groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    return "grouped" if longest <= limit else "waves"
 
 
 def rate(

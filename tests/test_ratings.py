@@ -37,15 +37,21 @@ def test_block_bounds_split_a_heavy_day(spark):
 
 
 def test_waves_equal_row_by_row(spark):
-    rows = contest_rows(14, players=8)
-    same(collected(R.rate(contests(spark, rows), [{"k": 32.0}], strategy="waves", max_group_rows=8)), plain_scan(rows))
+    rows = contest_rows(12, players=8)
+    same(collected(R.scan_waves(R.scan_input(contests(spark, rows), [{"k": 32.0}]), ["candidate_id"], min_wave_rows=0)), plain_scan(rows))
+
+
+def test_waves_hand_the_rest_to_blocks(spark):
+    rows = contest_rows(60, players=30, hot="p0")
+    out = R.scan_waves(R.scan_input(contests(spark, rows), [{"k": 32.0}]), ["candidate_id"], limit=20, min_wave_rows=9)
+    same(collected(out), plain_scan(rows))
 
 
 def test_strategy_choice(spark):
-    c = contests(spark, ROWS)
-    p = R.scan_input(c, [{"k": 32.0}])
+    p = R.scan_input(contests(spark, ROWS), [{"k": 32.0}])
     assert R.choose_scan(p, ["candidate_id"], 1000) == "grouped"
-    assert R.choose_scan(p, ["candidate_id"], 10) == "blocks"
+    assert R.choose_scan(p, ["candidate_id"], 10) == "waves"
+    same(collected(R.rate(contests(spark, ROWS), [{"k": 32.0}], max_group_rows=70)), plain_scan(ROWS))
 
 
 def test_partitioning_of_the_input_does_not_matter(spark):
