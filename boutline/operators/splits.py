@@ -7,12 +7,13 @@ import datetime as dt
 import json
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import history as H
 from .bets import attach_prices, decided, first_per_pair, picks, price_table, settle
-from .oos import latest_for_both, ratings_as_of
-from .ratings import rate
+from .oos import latest_for_both
+from .ratings import rate, with_candidates
 
 MIN_TRAIN_ROWS = 10
 
@@ -99,26 +100,41 @@ def make_splits_by_offset(contests: DataFrame, offset: str, window: str = "expan
     return make_splits(contests, months, window, months * min_train_periods)
 
 
+def frozen_ratings(hist: DataFrame, splits: list[dict]) -> DataFrame:
+    """Rating of every player at the start of every split: (candidate_id, split_id, player, rating).
+
+    The history is first reduced, map-side, to the last rating per player and stretch between two starts; each of those is valid from
+    its own split up to the player's next one. Windows see at most one row per split and player.
+    """
+    starts = F.from_json(F.lit(json.dumps([s["val_start"] for s in splits])), "array<date>")
+    # the first split that starts after the contest
+    seen_from = F.size(F.filter(starts, lambda v: v <= F.col("day")))
+    last = (
+        hist.withColumn("_from", seen_from)
+        .filter(F.col("_from") < len(splits))
+        .groupBy("candidate_id", "player", "_from")
+        .agg(F.max_by("post", F.struct("day", "seq", "side")).alias("rating"))
+    )
+    w = W.partitionBy("candidate_id", "player").orderBy("_from")
+    until = F.coalesce(F.lead("_from").over(w), F.lit(len(splits))) - 1
+    spans = last.withColumn("_until", until)
+    return spans.select("candidate_id", "player", "rating", F.explode(F.sequence(F.col("_from"), F.col("_until"))).alias("split_id"))
+
+
 def split_bets(contests: DataFrame, odds: DataFrame, candidates: list[dict], splits: list[dict], window: str = "expanding") -> DataFrame:
     """Bets of every candidate on every validation window with ratings frozen at its start.
 
-    Expanding windows share one scan per candidate: the frozen rating is the as-of rating at the window's start, because a rating
+    Expanding windows share one scan per candidate: the frozen rating is the last one before the window's start, because a rating
     before a day never depends on later contests. Rolling windows start empty, so they are scanned per (candidate, split).
     """
     keys = ["candidate_id", "split_id"]
     val = first_per_pair(decided(tag(contests.select("seq", "day", "player", "opponent", "result", "is_draw"), splits).filter(F.col("side") == "val")), ["split_id"])
     if window == "expanding":
-        from .ratings import with_candidates
-
-        hist = H.history(rate(contests, candidates), ["candidate_id"])
-        cards = with_candidates(val, candidates).drop("c")
-        faced = ratings_as_of(cards, hist, ["candidate_id"], day="val_start")
+        latest = frozen_ratings(H.history(rate(contests, candidates), ["candidate_id"]), splits)
     else:
         train = tag(contests, splits).filter(F.col("side") == "train").drop("side", "val_start")
         latest = H.latest_ratings(H.history(rate(train, candidates, keys=["split_id"]), keys), keys)
-        from .ratings import with_candidates
-
-        faced = latest_for_both(with_candidates(val, candidates).drop("c"), latest, keys)
+    faced = latest_for_both(with_candidates(val, candidates).drop("c"), latest, keys)
     known = faced.filter(F.col("rating").isNotNull() & F.col("opp_rating").isNotNull()).withColumns({"pre": F.col("rating"), "opp_pre": F.col("opp_rating")})
     return settle(attach_prices(picks(known), price_table(odds), "mirror"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import r6
 from ..operators import history as H
 from ..operators import ratings as R
+from ..session import materialize
 from . import query
 from . import sqltext as T
 
@@ -40,17 +41,17 @@ def rating_scan_mov(t):
 
 @query("rating_scan_decay", T.sql(T.OC, T.scan_sql("oc", DECAY, decay=True), select=_ADJ_SQL))
 def rating_scan_decay(t):
-    return _show(R.rate(t.orders_contests(), DECAY, decay=True), True)
+    return _show(R.rate(materialize(t.orders_contests()), DECAY, decay=True), True)
 
 
 @query("rating_scan_multiphase", T.sql(T.OC, T.scan_sql("oc", PHASED, decay=True), select=_ADJ_SQL))
 def rating_scan_multiphase(t):
-    return _show(R.rate(t.orders_contests(), PHASED, decay=True), True)
+    return _show(R.rate(materialize(t.orders_contests()), PHASED, decay=True), True)
 
 
 @query("rating_scan_weight", T.sql(T.EV, T.scan_sql("ev", MOVES, moves=True), select=_ADJ_SQL))
 def rating_scan_weight(t):
-    return _show(R.rate(t.events_contests(), MOVES, moves=True), True)
+    return _show(R.rate(materialize(t.events_contests()), MOVES, moves=True), True)
 
 
 @query(
