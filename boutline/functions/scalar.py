@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,10 +48,6 @@ def first_match(pairs, default=None) -> Column:
     return out.otherwise(F.lit(default) if not isinstance(default, Column) else default)
 
 
-def parse_double(c) -> Column:
-    return F.expr("try_cast({} as double)".format(c)) if isinstance(c, str) else c.try_cast("double")
-
-
 def text_flag(c) -> Column:
     """Truth of a text cell: ``1``, ``true`` in any case, or a number equal to one; anything else is false."""
     c = col(c)
@@ -198,10 +191,6 @@ def brier_term(p, y) -> Column:
     return F.pow(col(p) - col(y), F.lit(2.0))
 
 
-def all_of(conds) -> Column:
-    return reduce(and_, conds)
-
-
 def r6(c, digits: int = 6) -> Column:
     """Round for reporting; adding zero turns a negative zero into zero."""
     return F.round(col(c), digits) + F.lit(0.0)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions import buckets as B
 from ..functions import scalar as S
 from ..operators import diagnostics as D

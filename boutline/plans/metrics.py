@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..functions.scalar import r6
 from ..operators import bets as K
 from ..operators import consistency as C
 from ..operators import metrics as M

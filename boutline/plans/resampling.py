@@ -7,7 +7,6 @@ import random
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..functions.scalar import r6
 from ..operators import bets as K
 from ..operators import metrics as M
 from ..operators import oos as O
@@ -18,8 +17,8 @@ from ..operators.prefix import exact_quantiles
 from ..session import materialize
 from . import query
 from . import sqltext as T
-from .betting import BETS_EV, BOOKS, CAND, CARRY, PM, RATED_EV, _rounded, bets_events, rated_events
-from .lookups import HOLD, HOLD_DAYS, OOS_BETS_SQL, OOS_COLS, _LATEST_SQL, train_part
+from .betting import BETS_EV, BOOKS, CAND, CARRY, RATED_EV, _rounded, rated_events
+from .lookups import HOLD, HOLD_DAYS, OOS_BETS_SQL, _LATEST_SQL, train_part
 from .metrics import FLAGS
 
 WINDOW_CANDS = [{"k": 32.0}, {"k": 170.0}, {"k": 250.0, "use_method": 0.0}]
