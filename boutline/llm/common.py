@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,17 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``size`` bytes of a text column each (or one row), to bound what a task holds of them as Python objects."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = upto[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(upto, before + size, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn

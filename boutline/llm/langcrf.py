@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import slices
+
 WORD = re.compile(r"[^\W\d_]+")
 SEGMENT = 32
 UNKNOWN = "und"
@@ -62,7 +64,7 @@ class Crf:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Scores of distinct words; remembered up to a fixed number of words."""
-        if len(self.seen) > 300_000:
+        if len(self.seen) > 200_000:
             self.seen.clear()
         new = [w for w in words if w not in self.seen]
         if new:
@@ -254,7 +256,7 @@ def predict(docs: DataFrame, model: Crf, text: str = "text", carry: list[str] |
 
     def run(batches):
         crf = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, whole.num_columns - 1)):
             names, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
             lists = [words_of(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             rows = [i for i, w in enumerate(lists) if any(c.isalpha() for x in w for c in x)]
