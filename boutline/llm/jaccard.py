@@ -3,10 +3,12 @@
 1. Documents with the same shingle set are one class (128-bit key); only classes are compared.
 2. A fixed-size table of token counts over all documents gives the first order, rare tokens first. Two classes that are similar enough share
    one of each other's first tokens in *every* order, so classes meet in buckets of first tokens of that order.
-3. Every class is first compared with one member of its buckets only (the one most buckets propose); for a group of near copies this
-   already joins them, without pairs among them.
+3. Every class is first compared with one member of its buckets only (the one most buckets propose). A bucket proposes its most
+   central member, the one whose first tokens are the most common; in a group of near copies that is the text the others were
+   made from, so this already joins them, without pairs among them.
 4. Buckets that still hold several components are compared in full across components (members of the largest component in a bucket
-   only with the others). Those candidates must also share first tokens under the other orders; what is left is verified exactly.
+   only with the others). A pair must share enough first tokens for its sizes (what is not shared there cannot be made up for by the
+   rest, ``least_shared``), and first tokens under the other orders too; what is left is verified exactly.
 
 No link is lost: a link lies in a common bucket, and is there either inside one component already or compared in step 4. Buckets are
 range-partitioned by (token, class), so a token of a third of all documents spreads over many tasks and is streamed, never gathered.
@@ -26,7 +28,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..session import materialize
 from .common import text_or_empty
@@ -43,6 +44,14 @@ def needed(n, percent: int):
     return (percent * n + 99) // 100
 
 
+def least_shared(x, y, percent: int):
+    """Least number of common first tokens of two similar sets of sizes x and y, as columns. The set whose first tokens end earlier in the order
+    shares none of its other first tokens, so the intersection is at most the common first tokens and that set's rest."""
+    both = F.floor((F.lit(percent) * (x + y) + F.lit(99 + percent)) / F.lit(100 + percent))
+    rest = F.floor((F.lit(percent) * F.greatest(x, y) + F.lit(99)) / F.lit(100)) - 1
+    return F.greatest(both - rest, F.lit(1))
+
+
 def _key(tokens: np.ndarray) -> tuple[int, int]:
     h = xxhash.xxh3_128_intdigest(tokens.tobytes())
     return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
@@ -103,71 +112,74 @@ def _prefixes(width: int, percent: int, counts):
     def run(batches):
         weights = counts.value
         for batch in batches:
-            k1, k2, sizes, firsts = [], [], [], []
+            k1, k2, sizes, central, firsts = [], [], [], [], []
             for text in batch.column(0).to_pylist():
                 s = shingle_set(text, width)
                 if len(s):
                     a, b = _key(s)
+                    f = first_tokens(s, percent, weights)
                     k1.append(a)
                     k2.append(b)
                     sizes.append(len(s))
-                    firsts.append(first_tokens(s, percent, weights).view(np.int64))
+                    central.append(int(1000 * np.log(weights[(f & np.uint64(COUNTERS - 1)).astype(np.int64)]).mean()))
+                    firsts.append(f.view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(f) for f in firsts])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(firsts) if firsts else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sizes, pa.int64()), lists], names=["k1", "k2", "n", "firsts"])
+            yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sizes, pa.int64()), pa.array(central, pa.int64()), lists], names=["k1", "k2", "n", "central", "firsts"])
 
     return run
 
 
-_MEMBERS = pa.schema([("token", pa.int64()), ("k1", pa.int64()), ("n", pa.int64()), ("pivot", pa.int64()), ("pivot_n", pa.int64()), ("edge", pa.int32())])
+_MEMBERS = pa.schema([(c, pa.int64()) for c in ("token", "central", "k1", "n", "top_central", "top", "top_n")] + [("edge", pa.bool_())])
 
 
 def _members(batches):
-    """Stream rows sorted by (token, k1): members of buckets with at least two, with the bucket's first member as pivot. The first
-    and last bucket of a task may go on elsewhere and are always reported, marked by the task's number."""
-    from pyspark import TaskContext
+    """Stream rows sorted by (token, central descending, k1): members of buckets with at least two, with the first member as the bucket's
+    top. The first and last bucket of a task may go on elsewhere; their rows are always reported, and marked."""
+    first = prior = None
+    waiting: tuple | None = None  # the last row so far, not reported yet
+    top = np.zeros(3, np.int64)  # central, k1 and n of the open bucket's first row
+
+    def out(rows: np.ndarray, tops: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*rows, *tops, edge)], schema=_MEMBERS)
 
-    part = TaskContext.get().partitionId()
-    held, opened = None, True  # the latest bucket's rows in this task so far, and whether it is the task's first
+    ended: list[pa.RecordBatch] = []  # rows of the open bucket in the latest batch
     for batch in batches:
         if not batch.num_rows:
             continue
-        t, k, n = (batch.column(i).to_numpy() for i in range(3))
-        if held is not None:
-            t, k, n = (np.concatenate([h, x]) for h, x in zip(held[:3], (t, k, n)))
-        starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(t))))
-        pivot, pivot_n = k[starts][run], n[starts][run]
-        if held is not None:
-            pivot[run == 0], pivot_n[run == 0] = held[3], held[4]
-        size = np.diff(np.append(starts, len(t)))[run]
-        done = run < run[-1]
-        first = (run == 0) & opened
-        keep = done & ((size > 1) | first)
-        if held is not None:
-            keep[0] &= not held[5]  # the held row was reported already
-            keep |= done & (run == 0) & held[5]
-            keep[0] &= not held[5]
-        if keep.any():
-            yield _batch(t, k, n, pivot, pivot_n, np.where(first, part, -1), keep)
-        last = np.flatnonzero(~done)
-        opened = opened and run[-1] == 0
-        if len(last) > 1:
-            # report all of the open bucket but hold its first row, so a long bucket is never gathered
-            skip = 1 if held is not None and run[-1] == 0 and held[5] else 0
-            rows = np.zeros(len(t), np.bool_)
-            rows[last[skip:]] = True
-            yield _batch(t, k, n, pivot, pivot_n, np.full(len(t), part), rows)
-            held = (t[last[:1]], k[last[:1]], n[last[:1]], pivot[last[0]], pivot_n[last[0]], True)
+        rows = np.stack([batch.column(i).to_numpy() for i in range(4)])
+        t = rows[0]
+        same = t[1:] == t[:-1]
+        goes_on = prior is not None and t[0] == prior
+        if first is None:
+            first = t[0]
+        if waiting is not None and goes_on:
+            ended.append(out(*waiting))
+        starts = np.flatnonzero(np.concatenate([[not goes_on], ~same]))
+        run = np.cumsum(np.concatenate([[0 if goes_on else 1], (~same).astype(np.int64)]))  # 0: the bucket open before
+        tops = np.concatenate([top[:, None], rows[1:][:, starts]], 1)[:, run]
+        keep = np.concatenate([[goes_on], same]) | np.append(same, False) | (t == first)
+        open_ = t == t[-1]
+        if not goes_on or not open_[0]:
+            for b in ended:  # that bucket ended inside this task
+                yield b if first == b.column(0)[0].as_py() else b.set_column(7, "edge", pa.array(np.zeros(b.num_rows, np.bool_)))
+            ended = []
         else:
-            reported = held is not None and run[-1] == 0 and held[5]
-            held = (t[last], k[last], n[last], pivot[last[0]], pivot_n[last[0]], reported)
-    if held is not None and not held[5]:
-        yield _batch(held[0], held[1], held[2], np.array([held[3]]), np.array([held[4]]), np.array([part]), np.array([True]))
-
-
-def _batch(t, k, n, pivot, pivot_n, edge, keep):
-    return pa.RecordBatch.from_arrays([pa.array(x[keep], f.type) for x, f in zip((t, k, n, pivot, pivot_n, edge), _MEMBERS)], schema=_MEMBERS)
+            for b in ended:
+                yield b
+            ended = []
+        now = keep & ~open_
+        if now.any():
+            yield out(rows[:, now], tops[:, now], t[now] == first)
+        now = keep & open_
+        if now.any():
+            ended = [out(rows[:, now], tops[:, now], np.ones(int(now.sum()), np.bool_))]
+        last = np.array([len(t) - 1])
+        waiting = None if keep[-1] else (rows[:, last], tops[:, last], np.ones(1, np.bool_))
+        prior, top = t[-1], tops[:, -1]
+    yield from ended
+    if waiting is not None:
+        yield out(*waiting)
 
 
 def _texts(width: int):
@@ -208,23 +220,24 @@ def similar_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     counts = spark.sparkContext.broadcast(_token_counts(digests))  # COUNTERS numbers
     members = digests.filter(F.col("chunk").isNull()).select("doc_id", "n", "k1", "k2")
 
-    prefixes = rows.select("text").mapInArrow(_prefixes(width, percent, counts), "k1 long, k2 long, n long, firsts array<long>")
-    classes = prefixes.groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("firsts").alias("firsts"))
-    placed = classes.select(F.explode("firsts").alias("token"), "k1", "n")
-    placed = placed.repartitionByRange("token", "k1").sortWithinPartitions("token", "k1")
-    buckets = materialize(placed.mapInArrow(_members, "token long, k1 long, n long, pivot long, pivot_n long, edge int"))
-
-    fits = F.least("n", "pivot_n") * 100 >= F.lit(percent) * F.greatest("n", "pivot_n")
-    votes = buckets.filter((F.col("k1") != F.col("pivot")) & fits).groupBy("k1", "pivot").agg(F.count("token").alias("votes"))
-    best = votes.groupBy("k1").agg(F.max(F.struct("votes", "pivot")).alias("b")).select(F.col("k1").alias("x"), F.col("b.pivot").alias("y"))
-    # a bucket cut by task borders has one pivot per task, at most two such buckets a task: chain them
-    ends = buckets.filter(F.col("edge") >= 0).groupBy("token", "edge").agg(F.min(F.struct("pivot", "pivot_n")).alias("p"))
-    ends = ends.select("token", F.col("p.pivot").alias("x"), F.lag("p.pivot").over(W.partitionBy("token").orderBy("edge")).alias("y")).filter("x <> y").select("x", "y")
-    first = materialize(best.unionAll(ends).distinct())
+    prefixes = rows.select("text").mapInArrow(_prefixes(width, percent, counts), "k1 long, k2 long, n long, central long, firsts array<long>")
+    classes = prefixes.groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("central").alias("central"), F.first("firsts").alias("firsts"))
+    order = [F.col("token"), F.col("central").desc(), F.col("k1")]
+    placed = classes.select(F.explode("firsts").alias("token"), "central", "k1", "n").repartitionByRange(*order).sortWithinPartitions(*order)
+    buckets = materialize(placed.mapInArrow(_members, "token long, central long, k1 long, n long, top_central long, top long, top_n long, edge boolean"))
+
+    # a bucket cut by task borders takes the first of its tops; at most two such buckets a task
+    cut = buckets.filter("edge").groupBy("token").agg(F.max(F.struct("top_central", "top", "top_n")).alias("t"))
+    tops = F.broadcast(cut.select("token", F.col("t.top").alias("all_top"), F.col("t.top_n").alias("all_top_n")))
+    proposed = buckets.join(tops, "token", "left").select("k1", "n", F.coalesce("all_top", "top").alias("top"), F.coalesce("all_top_n", "top_n").alias("top_n"))
+    votes = proposed.groupBy("k1", "n", "top", "top_n").agg(F.count(F.lit(1)).alias("votes"))
+    # tokens of a class that anybody else may hold among the first ones
+    held = materialize(votes.groupBy("k1").agg(F.sum("votes").alias("held"), F.max(F.when((F.col("k1") != F.col("top")) & (F.col("votes") >= least_shared(F.col("n"), F.col("top_n"), percent)), F.struct("votes", "top"))).alias("b")))
+    first = held.filter(F.col("b").isNotNull()).select(F.col("k1").alias("x"), F.col("b.top").alias("y"))
 
     ids = members.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"))
-    wanted = materialize(buckets.filter("k1 <> pivot").select(F.explode(F.array("k1", "pivot")).alias("k1")).unionAll(ends.select("x")).unionAll(ends.select("y")).distinct())
-    wanted = ids.join(wanted, "k1", "left_semi")
+    # alike classes of equal size must share some first tokens; those of other sizes at least one
+    wanted = ids.join(held.select("k1"), "k1", "left_semi")
     texts = rows.join(wanted.select("doc_id").distinct(), rows.doc_id.eqNullSafe(wanted.doc_id), "left_semi").select("text").mapInArrow(_texts(width), "k1 long, k2 long, text string")
     texts = materialize(texts.join(wanted, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]))
 
@@ -236,21 +249,21 @@ def similar_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
         return found.select(F.struct(F.col("x1").alias("k1"), F.col("x2").alias("k2")).alias("u"), F.struct(F.col("y1").alias("k1"), F.col("y2").alias("k2")).alias("v"))
 
     links = materialize(verified(first))
-    roots = components(links)
-    labels = materialize(
-        wanted.select("k1", "k2").join(roots.select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), "root"), ["k1", "k2"], "left")
-        .select("k1", F.coalesce("root", F.struct("k1", "k2")).alias("label"))
-    )
-    mixed = buckets.join(labels, "k1").select("token", "k1", "n", "label")
+    # labels of one component each: where two steps towards the tops lead
+    step = links.select(F.col("u.k1").alias("k1"), F.col("v.k1").alias("up")).groupBy("k1").agg(F.min("up").alias("up"))
+    second_step = step.select(F.col("k1").alias("up"), F.col("up").alias("upper"))
+    labels = held.select("k1", "held").join(step, "k1", "left").join(second_step, "up", "left").select("k1", "held", F.coalesce("upper", "up", "k1").alias("label"))
+    mixed = buckets.select("token", "k1", "n").join(labels, "k1")
     per_label = mixed.groupBy("token", "label").agg(F.count("k1").alias("c"))
     major = per_label.groupBy("token").agg(F.max(F.struct("c", "label")).alias("b"), F.count("label").alias("labels")).filter("labels > 1")
     open_ = materialize(mixed.join(major.select("token", F.col("b.label").alias("major")), "token"))
-    few = open_.filter("label <> major").select("token", F.col("k1").alias("x"), F.col("n").alias("x_n"), F.col("label").alias("x_label"))
-    every = open_.select("token", F.col("k1").alias("y"), F.col("n").alias("y_n"), F.col("label").alias("y_label"))
-    crossing = few.join(every, "token").filter(
-        (F.col("x_label") != F.col("y_label")) & (F.least("x_n", "y_n") * 100 >= F.lit(percent) * F.greatest("x_n", "y_n"))
-    )
-    second = crossing.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().join(first, ["x", "y"], "left_anti")
+    few = open_.filter("label <> major").select("token", F.col("k1").alias("x"), F.col("n").alias("x_n"), F.col("held").alias("x_held"), F.col("label").alias("x_label"))
+    every = open_.select("token", F.col("k1").alias("y"), F.col("n").alias("y_n"), F.col("held").alias("y_held"), F.col("label").alias("y_label"), (F.col("label") == F.col("major")).alias("y_major"))
+    shared = least_shared(F.col("x_n"), F.col("y_n"), percent)
+    fits = F.least("x_n", "y_n") * 100 >= F.lit(percent) * F.greatest("x_n", "y_n")
+    once = F.col("y_major") | (F.col("x") < F.col("y"))
+    crossing = few.join(every, "token").filter((F.col("x_label") != F.col("y_label")) & once & fits & (F.least("x_held", "y_held") >= shared))
+    second = crossing.groupBy("x", "y", "x_n", "y_n").agg(F.count(F.lit(1)).alias("votes")).filter(F.col("votes") >= shared).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     all_links = links.unionAll(verified(second))
     final = components(all_links)
     named = final.select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), F.col("root.k1").alias("r1"), F.col("root.k2").alias("r2"))
