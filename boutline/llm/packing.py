@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import materialize
+from .common import slices
 from .tokens import encoder
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many of it), largest first
@@ -195,7 +196,7 @@ def _pieces(path: str, end_id: int, capacity: int):
         part = TaskContext.get().partitionId()
         ranks = np.zeros(capacity + 1, np.int64)
         tool = encoder(path)
-        for batch in batches:
+        for batch in (x for whole in batches for x in slices(whole, 1)):
             ids, counts = tool.encode(batch.column(1))
             out = {k: [] for k in ("row", "piece", "start", "length", "crc", "rank")}
             ends = np.cumsum(counts)
