@@ -22,6 +22,15 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def carried(names: list[str] | None) -> Column:
+    """Columns that pass through an operator, as one struct ``row``, so that no name of theirs meets one of the operator's."""
+    return F.struct(*[F.col(f"`{n}`") for n in names]).alias("row") if names else F.struct(F.lit(0).alias("none")).alias("row")
+
+
+def unpacked(names: list[str] | None) -> list[Column]:
+    return [F.col(f"row.`{n}`").alias(n) for n in names or []]
+
+
 def slices(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``size`` bytes of a text column each (or one row), to bound what a task holds of them as Python objects."""
     upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

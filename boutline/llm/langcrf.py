@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import slices
+from .common import carried, slices, unpacked
 
 WORD = re.compile(r"[^\W\d_]+")
 SEGMENT = 32
@@ -248,27 +248,27 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", id: str =
     return fit([(r[0], r[1]) for r in got], **fitting)
 
 
-def predict(docs: DataFrame, model: Crf, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """``carry`` columns plus ``lang_pred`` and ``score``."""
-    carry = carry or []
+def predict(docs: DataFrame, model: Crf, text: str = "text", carry: list[str] | None = None, nested: bool = False) -> DataFrame:
+    """``carry`` columns (or with ``nested`` one struct ``row`` of them) plus ``lang_pred`` and ``score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*carry).schema.add("lang_pred", "string").add("score", "double")
+    rows = docs.select(carried(carry), F.col(text).alias("text"))
+    schema = rows.select("row").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches):
         crf = shared.value
-        for batch in (part for whole in batches for part in slices(whole, whole.num_columns - 1)):
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             names, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
-            lists = [words_of(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            rows = [i for i, w in enumerate(lists) if any(c.isalpha() for x in w for c in x)]
-            if rows and crf.languages:
-                coded = pa.array([x for i in rows for x in lists[i]], pa.string()).dictionary_encode()
+            lists = [words_of(t) for t in batch.column(1).to_pylist()]
+            known = [i for i, w in enumerate(lists) if any(c.isalpha() for x in w for c in x)]
+            if known and crf.languages:
+                coded = pa.array([x for i in known for x in lists[i]], pa.string()).dictionary_encode()
                 e = crf.emissions(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-                lengths = np.array([len(lists[i]) for i in rows])
+                lengths = np.array([len(lists[i]) for i in known])
                 p = crf.posteriors(e, lengths)
                 mean = np.add.reduceat(p, np.cumsum(lengths) - lengths) / lengths[:, None]
-                best = mean.argmax(1)
-                for i, b, m in zip(rows, best, mean):
+                for i, b, m in zip(known, mean.argmax(1), mean):
                     names[i], scores[i] = crf.languages[b], min(1.0, float(m[b]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names), pa.array(scores)], names=[*carry, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(scores)], names=["row", "lang_pred", "score"])
 
-    return docs.select(*carry, F.col(text).alias("_text")).mapInArrow(run, schema)
+    found = rows.mapInArrow(run, schema)
+    return found if nested else found.select(*unpacked(carry), "lang_pred", "score")

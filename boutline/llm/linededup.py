@@ -12,7 +12,6 @@ own text. A null ``doc_id`` is one document, smaller than all others. Other colu
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 
 import numpy as np
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import text_or_empty
+from .common import carried, text_or_empty, unpacked
 
 BLANKS = b" \t\n\x0b\x0c\r"
 KEYED = "hi long, lo long, doc_id long, row_hash long, n_lines int, positions array<int>"
@@ -141,30 +140,26 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
 def _lines_of(batches):
     for batch in batches:
         n_lines, n_dropped, kept = [], [], []
-        for text, bits in zip(batch.column("_text").to_pylist(), batch.column("_bits").to_pylist()):
+        for text, bits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             lines = text.split("\n")
             keep = np.ones(len(lines), np.bool_) if bits is None else np.unpackbits(np.frombuffer(zlib.decompress(bits), np.uint8), count=len(lines)).astype(np.bool_)
             n_lines.append(len(lines))
             n_dropped.append(int(len(lines) - keep.sum()))
             kept.append(text if bits is None else "\n".join([x for x, k in zip(lines, keep) if k]))
-        rest = [(n, batch.column(n)) for n in batch.schema.names if n not in ("_text", "_bits")]
-        names = [n for n, _ in rest] + ["n_lines", "n_dropped", "kept_text"]
-        yield pa.RecordBatch.from_arrays([c for _, c in rest] + [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], names=names)
+        columns = [batch.column(0), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, names=["row", "n_lines", "n_dropped", "kept_text"])
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, carry: list[str]) -> DataFrame:
-    """``carry`` columns of every document plus ``n_lines``, ``n_dropped`` and ``kept_text``. Documents without a bitmap keep all."""
-    left = docs.select(*carry, F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(text_or_empty()).alias("_row"), text_or_empty().alias("_text"))
-    right = bitmaps.select(F.col("doc_id").alias("_rdoc"), F.col("row_hash").alias("_rrow"), F.col("keep_bitmap").alias("_bits"))
-    joined = left.join(right, F.col("_doc").eqNullSafe(F.col("_rdoc")) & (F.col("_row") == F.col("_rrow")), "left").select(*carry, "_text", "_bits")
-    schema = joined.select(*carry).schema.add("n_lines", "long").add("n_dropped", "long").add("kept_text", "string")
-    return joined.mapInArrow(_lines_of, schema)
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, carry: list[str], nested: bool = False) -> DataFrame:
+    """``carry`` columns of every document (or with ``nested`` one struct ``row`` of them) plus ``n_lines``, ``n_dropped`` and ``kept_text``.
+    Documents without a bitmap keep all."""
+    left = docs.select(carried(carry), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text_or_empty()).alias("hash"), text_or_empty().alias("text"))
+    right = bitmaps.select(F.col("doc_id").alias("other_doc"), F.col("row_hash").alias("other_hash"), F.col("keep_bitmap").alias("bits"))
+    joined = left.join(right, F.col("doc").eqNullSafe(F.col("other_doc")) & (F.col("hash") == F.col("other_hash")), "left").select("row", "text", "bits")
+    found = joined.mapInArrow(_lines_of, joined.select("row").schema.add("n_lines", "long").add("n_dropped", "long").add("kept_text", "string"))
+    return found if nested else found.select(*unpacked(carry), "n_lines", "n_dropped", "kept_text")
 
 
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
-
-
-def line_dedup(docs: DataFrame, carry: list[str], min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+def line_dedup(docs: DataFrame, carry: list[str], min_chars: int = 20, min_docs: int = 3, nested: bool = False) -> DataFrame:
     """Bitmaps and their application in one go."""
-    return apply_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs), carry)
+    return apply_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs), carry, nested)

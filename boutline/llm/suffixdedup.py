@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import text_or_empty
+from .common import carried, text_or_empty, unpacked
 from .shingles import mix, powers, prefix_sums
 from .suffixes import suffix_array
 
@@ -311,28 +311,26 @@ def repeated_spans(docs: DataFrame, length: int = 200, crowded: int = CROWDED) -
 
 def _apply(batches):
     for batch in batches:
-        removed, runs, kept = [], [], []
-        for text, spans in zip(batch.column("_text").to_pylist(), batch.column("_spans").to_pylist()):
+        sizes, removed, runs, kept = [], [], [], []
+        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             data = text.encode()
             turn = np.zeros(len(data) + 1, np.int32)
             if spans:
                 np.add.at(turn, [s["lo"] for s in spans], 1)
                 np.add.at(turn, [s["hi"] for s in spans], -1)
             gone = np.cumsum(turn[:-1]) > 0
+            sizes.append(len(data))
             removed.append(int(gone.sum()))
             runs.append(int((np.diff(np.concatenate([[0], gone.view(np.int8)])) == 1).sum()))
             kept.append(np.frombuffer(data, np.uint8)[~gone].tobytes() if spans else data)
-        rest = [(n, batch.column(n)) for n in batch.schema.names if n not in ("_text", "_spans")]
-        sizes = pa.array([len(t.encode()) for t in batch.column("_text").to_pylist()], pa.int64())
-        columns = [c for _, c in rest] + [sizes, pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=[n for n, _ in rest] + ["n_bytes", "n_removed", "n_spans", "kept"])
+        columns = [batch.column(0), *[pa.array(x, pa.int64()) for x in (sizes, removed, runs)], pa.array(kept, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, carry: list[str] | None = None, crowded: int = CROWDED) -> DataFrame:
     """``carry`` columns, ``n_bytes``, ``n_removed``, ``n_spans`` and the bytes ``kept`` of every document."""
-    carry = carry or []
-    spans = repeated_spans(docs, length, crowded).select(F.col("doc_id").alias("_d"), F.col("row_hash").alias("_h"), F.col("spans").alias("_spans"))
-    left = docs.select(*carry, F.col("doc_id").cast("long").alias("_doc"), text_or_empty().alias("_text"), F.hash(text_or_empty()).alias("_row"))
-    joined = left.join(spans, left._doc.eqNullSafe(spans._d) & (left._row == spans._h), "left").select(*carry, "_text", "_spans")
-    schema = joined.select(*carry).schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
-    return joined.mapInArrow(_apply, schema)
+    spans = repeated_spans(docs, length, crowded).select(F.col("doc_id").alias("d"), F.col("row_hash").alias("h"), "spans")
+    left = docs.select(carried(carry), F.col("doc_id").cast("long").alias("doc"), text_or_empty().alias("text"), F.hash(text_or_empty()).alias("hash"))
+    joined = left.join(spans, left.doc.eqNullSafe(spans.d) & (left.hash == spans.h), "left").select("row", "text", "spans")
+    schema = joined.select("row").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
+    return joined.mapInArrow(_apply, schema).select(*unpacked(carry), "n_bytes", "n_removed", "n_spans", "kept")

@@ -19,6 +19,9 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import carried, unpacked
 
 # Element names of HTML by their role, and words that mark page furniture in class names and ids.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -109,16 +112,18 @@ def _blocks(html: str) -> list[tuple[_Element, str]]:
         if tag is None:
             continue
         tag = tag.lower()
-        if tag not in INLINE:
-            flush()
         if m["end"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
+                    if tag not in INLINE:
+                        flush()
                     del stack[i:]
                     break
                 if stack[i].tag in SECTIONS and tag not in SECTIONS and tag != "html":
                     break
             continue
+        if tag not in INLINE:
+            flush()
         if tag in VOID:
             continue
         attrs = m["attrs"]
@@ -195,14 +200,12 @@ def main_text(html: str | None, share: float = 0.5) -> str:
 
 def extract(pages: DataFrame, column: str = "html", carry: list[str] | None = None, share: float = 0.5) -> DataFrame:
     """``carry`` columns plus ``text`` and ``n_chars`` of every page."""
-    carry = carry or []
-    schema = pages.select(*carry).schema.add("text", "string").add("n_chars", "long")
+    rows = pages.select(carried(carry), F.col(column).alias("html"))
+    schema = rows.select("row").schema.add("text", "string").add("n_chars", "long")
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(h, share) for h in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*carry, "text", "n_chars"]
-            )
+            texts = [main_text(h, share) for h in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["row", "text", "n_chars"])
 
-    return pages.select(*carry, pages[column].alias("_html")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(*unpacked(carry), "text", "n_chars")

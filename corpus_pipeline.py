@@ -28,26 +28,26 @@ LEAST_SCORE = 0.3  # mean posterior below which no language is taken as the text
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters or without a language that stands out."""
-    scored = predict(docs, trained(docs), "text", docs.columns)
-    return scored.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    scored = predict(docs, trained(docs), "text", docs.columns, nested=True)
+    return scored.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out repeated lines; a document that loses all of them stays, with an empty text."""
-    kept = line_dedup(docs, docs.columns)
+    kept = line_dedup(docs, docs.columns, nested=True)
     changed = F.col("n_dropped") > 0
-    new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text"))}
+    new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("row.text"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return kept.withColumns(new).select(*docs.columns)
+        new["n_chars"] = F.when(changed, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return kept.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of every group of texts that are 0.8 alike in their shingles of five words."""
     found = similar_components(docs, width=5, percent=80)
     stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    left = docs.withColumn("_hash", F.xxhash64("text"))
-    return left.join(stay, left["doc_id"].eqNullSafe(stay["_stays"]), "left_semi").dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.struct(*docs.columns).alias("row"))
+    return rows.join(stay, rows["id"].eqNullSafe(stay["_stays"]), "left_semi").dropDuplicates(["id", "hash"]).select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
