@@ -73,36 +73,97 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]
     return [(p, n) for groups in by_room.values() for p, n in groups]
 
 
-def fillings(counts: dict[int, int], lengths: list[int], space: int, most: int, limit: int = 1500, keep: int = 8) -> list[tuple[int, Pattern]]:
-    """Undominated fillings of ``space`` with waste of at most ``most``, least waste and largest pieces first: (waste, pattern)."""
+def fillings(counts: dict[int, int], lengths: list[int], space: int, most: int, limit: int = 300, keep: int = 4) -> list[tuple[int, Pattern]]:
+    """Undominated fillings of ``space`` with waste of at most ``most``, least waste and largest pieces first: (waste, pattern).
+
+    The last one or two pieces of a full sequence are looked up rather than searched for; ``limit`` bounds the steps otherwise.
+    """
     found: list[tuple[int, Pattern]] = []
     budget = limit
+    n = len(lengths)
+
+    def ends(at: int, left: int, chosen: Pattern) -> bool:
+        """Record fillings that one or two more pieces complete."""
+        if counts.get(left, 0) and left <= lengths[at]:
+            found.append((0, (*chosen, (left, 1))))
+            return True
+        for i in range(bisect_left(lengths, -left, at, key=lambda x: -x), n):
+            x = lengths[i]
+            y = left - x
+            if y > x:
+                return False
+            if counts[x] and (counts[x] > 1 if y == x else counts.get(y, 0)):
+                found.append((0, (*chosen, (x, 2)) if y == x else (*chosen, (x, 1), (y, 1))))
+                return True
+        return False
 
     def search(at: int, left: int, chosen: Pattern):
         nonlocal budget
         budget -= 1
-        fits = next((i for i in range(at, len(lengths)) if lengths[i] <= left and counts[lengths[i]]), None) if at < len(lengths) else None
-        if fits is None:
+        if left == 0:
+            found.append((0, chosen))
+            return
+        fits = bisect_left(lengths, -left, at, key=lambda x: -x)
+        while fits < n and not counts[lengths[fits]]:
+            fits += 1
+        if fits == n:
             if left <= most and not _dominated(counts, lengths, left, chosen):
                 found.append((left, chosen))
             return
-        for i in range(fits, len(lengths)):
-            if budget <= 0 or any(w == 0 for w, _ in found[-1:]):
-                return
+        if ends(fits, left, chosen) and len(found) >= keep:
+            return
+        for i in range(fits, n):
             x = lengths[i]
-            if not counts[x]:
-                continue
-            # pieces below the waste still allowed cannot repair what is left open by skipping larger ones: the rest must be able to fill
-            for m in range(min(counts[x], left // x), 0, -1):
-                search(i + 1, left - m * x, (*chosen, (x, m)))
-                if budget <= 0 or (found and found[-1][0] == 0):
-                    return
+            if counts[x]:
+                for m in range(min(counts[x], left // x), 0, -1):
+                    if budget <= 0 or len(found) >= keep:
+                        return
+                    search(i + 1, left - m * x, (*chosen, (x, m)))
 
     search(0, space, ())
+    if not any(w == 0 for w, _ in found):
+        found += balanced(counts, lengths, space)
+    if not found:
+        # the steps did not suffice: the greedy filling stands in
+        left, chosen = space, []
+        for x in lengths:
+            m = min(counts[x], left // x)
+            if m:
+                chosen.append((x, m))
+                left -= m * x
+        if left <= most:
+            found.append((left, tuple(chosen)))
     found.sort(key=lambda f: (f[0], [-x for x, _ in f[1]]))
     return found[:keep]
 
 
+def balanced(counts: dict[int, int], lengths: list[int], space: int) -> list[tuple[int, Pattern]]:
+    """A full filling from many pieces of like length: as many as their mean allows, each near what is left per piece, the last two looked up."""
+    live = [x for x in reversed(lengths) if counts[x] and x <= space]  # ascending
+    if not live:
+        return []
+    for k in range(-(-space // live[-1]), -(-space // live[-1]) + 3):
+        left, taken = space, {}
+        for r in range(k, 2, -1):
+            at = bisect_left(live, left / r)
+            near = [x for x in live[max(at - 8, 0) : at + 8] if counts[x] > taken.get(x, 0) and x < left]
+            if not near:
+                break
+            x = min(near, key=lambda v: abs(v - left / r))
+            taken[x] = taken.get(x, 0) + 1
+            left -= x
+        else:
+            for x in live:
+                y = left - x
+                if y < x:
+                    break
+                if counts[x] > taken.get(x, 0) + (x == y) and counts.get(y, 0) > taken.get(y, 0):
+                    taken[x] = taken.get(x, 0) + 1
+                    taken[y] = taken.get(y, 0) + 1
+                    return [(0, tuple(sorted(taken.items(), reverse=True)))]
+    return []
+
+
 def _dominated(counts: dict[int, int], lengths: list[int], left: int, chosen: Pattern) -> bool:
     """Whether an unused piece could stand in for a chosen one or for a pair of them and fill more."""
     used = dict(chosen)
@@ -125,19 +186,22 @@ class _Search:
     nodes: int
 
     def run(self, counts: dict[int, int]) -> list[tuple[Pattern, int]]:
-        self._step(dict(counts), sorted(counts, reverse=True), [], 0, 0)
+        self._descend(dict(counts), sorted(counts, reverse=True))
         return self.best
 
-    def _step(self, counts, lengths, done, bins, waste):
-        """Iterative along first choices, recursive over alternatives."""
-        stack = [(counts, lengths, done, bins, waste)]
+    def _descend(self, counts: dict[int, int], lengths: list[int]) -> None:
+        """Depth first; the latest choices are revised first. Patterns so far are linked pairs (earlier ones, latest)."""
+        stack = [(counts, lengths, None, 0, 0)]
         total = sum(k * v for k, v in counts.items())
         while stack and self.nodes > 0 and self.best_bins > self.lower:
             counts, lengths, done, bins, waste = stack.pop()
             lengths = [x for x in lengths if counts[x]]
             if not lengths:
                 if bins < self.best_bins:
-                    self.best, self.best_bins = done, bins
+                    self.best, self.best_bins = [], bins
+                    while done:
+                        done, latest = done
+                        self.best.append(latest)
                 continue
             self.nodes -= 1
             allowed = (self.best_bins - 1) * self.capacity - total - waste
@@ -156,10 +220,10 @@ class _Search:
                 after = dict(counts)
                 for k, m in pattern.items():
                     after[k] -= m * times
-                stack.append((after, lengths, [*done, (tuple(sorted(pattern.items(), reverse=True)), times)], bins + times, waste + lost * times))
+                stack.append((after, lengths, (done, (tuple(sorted(pattern.items(), reverse=True)), times)), bins + times, waste + lost * times))
 
 
-def solve(counts: dict[int, int], capacity: int, nodes: int = 20_000) -> list[tuple[Pattern, int]]:
+def solve(counts: dict[int, int], capacity: int, nodes: int = 10_000) -> list[tuple[Pattern, int]]:
     """Patterns and their numbers of copies that hold exactly the given pieces."""
     whole = counts.get(capacity, 0)
     open_ = {k: v for k, v in counts.items() if v and k < capacity}
@@ -218,7 +282,7 @@ def _pieces(path: str, end_id: int, capacity: int):
     return run
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, nodes: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, nodes: int = 10_000) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, _rank long, _part int"
     pieces = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(path, end_id, capacity), schema))
