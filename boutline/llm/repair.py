@@ -191,7 +191,7 @@ def _shards(path: str, end_id: int, shard_ids: int, min_count: int, max_rounds:
             docs, sizes, chunks, held, number = [], [], [], 0, number + 1
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["part", "shard", "n_docs", "n_ids", "data"])
 
-        for batch in (x for whole in batches for x in slices(whole, 1)):
+        for batch in (x for whole in batches for x in slices(whole, 1, 32 << 20)):
             ids, counts = tool.encode(batch.column(1))
             ids = np.insert(ids, np.cumsum(counts), np.uint32(end_id))
             counts = counts + 1
