@@ -31,7 +31,7 @@ from .suffixes import suffix_array
 
 ANCHOR = 64  # bytes of the strings that compete for anchor
 BUCKET = 60_000  # symbols of one suffix array, unless a single anchor's contexts need more
-CROWDED = 512
+CROWDED = 4096  # contexts of one anchor that one task sorts: at most about 1.4 MB
 
 _CONTEXTS = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("row_hash", pa.int32()), ("start", pa.int32()), ("size", pa.int32())])
 _CONTEXT_SQL = "anchor long, content long, doc_id long, row_hash int, start int, size int"
