@@ -84,6 +84,7 @@ def weighted(scores: dict[str, Column], weights: dict[str, float]) -> Column:
 def search_fitness(roi, trend, sharpe, ece, variance, auc, weights: dict[str, float] | None = None) -> Column:
     """Ten-point scores of a search run. Weights are divided by the sum of the given ones only; without any, plain ROI."""
     roi, trend, sharpe, ece, variance, auc = map(col, (roi, trend, sharpe, ece, variance, auc))
+    roi = F.coalesce(roi, F.lit(0.0))  # without bets
     if not weights:
         return roi
     total = sum(weights.values())
@@ -117,7 +118,7 @@ def composite_fitness(roi, accuracy, ece, variance, auc, weights: dict[str, floa
 
 
 def overfit_fitness(train, validation, threshold: float = 2.0) -> Column:
-    t, v = col(train), col(validation)
+    t, v = F.coalesce(col(train), F.lit(0.0)), F.coalesce(col(validation), F.lit(0.0))
     return F.when(t - v > threshold, 0.5 * v).otherwise(0.7 * v + 0.3 * t)
 
 

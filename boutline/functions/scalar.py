@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -154,23 +157,30 @@ def multiphase_factor(days, quick_days, bump, decay_days, rate) -> Column:
     )
 
 
-# Latin letters whose decomposed form is a plain letter and a mark.
-ACCENTED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
-
-
 def fold_name(name) -> Column:
-    """Name without accents, lower case, single blanks; null becomes the empty text."""
+    """Name without accents, lower case, single blanks; null becomes the empty text. Letters of all Latin blocks and their
+    compatibility forms are folded by their Unicode decompositions."""
+    one, several = _folds()
     lowered = F.lower(F.coalesce(col(name), F.lit("")))
-    plain = F.translate(lowered, _accents()[0], _accents()[1])
+    plain = F.translate(lowered, "".join(one), "".join(one.values()))
+    for letter, text in several.items():
+        plain = F.replace(plain, F.lit(letter), F.lit(text))
     bare = F.regexp_replace(plain, r"\p{M}+", "")
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
-def _accents() -> tuple[str, str]:
-    import unicodedata
-
-    pairs = [(c, unicodedata.normalize("NFKD", c)[0]) for c in ACCENTED]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+@lru_cache(maxsize=1)
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """(letters that fold to one letter, letters that fold to several), over the Latin blocks and presentation forms."""
+    one, several = {}, {}
+    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0xFB00, 0xFB07)]:
+        letter = chr(code).lower()
+        if len(letter) > 1:
+            continue
+        text = "".join(c for c in unicodedata.normalize("NFKD", letter) if not unicodedata.combining(c)).lower()
+        if text and text != letter:
+            (one if len(text) == 1 else several)[letter] = text
+    return one, several
 
 
 def clamp(c: Column, lo: float, hi: float) -> Column:

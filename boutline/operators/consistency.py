@@ -57,6 +57,19 @@ def spread(buckets: DataFrame, keys: list[str] = ()) -> DataFrame:
     return g.withColumn("slope", F.when(timed, F.col("slope"))).withColumn("flag", flag.cast("int"))
 
 
+def with_spread(buckets: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """Bucket rows with their dimension's spread, by windows over these few rows, so that what is below is computed once."""
+    alls = W.partitionBy(*keys, "dimension")
+    x = (F.row_number().over(alls.orderBy("bucket")) - 1).cast("double")
+    numbered = buckets.filter(F.col("n") > 0).withColumn("x", x)
+    n, timed = F.count("accuracy").over(alls), F.col("dimension") == "time_period"
+    reach = F.when(n > 1, F.max("accuracy").over(alls) - F.min("accuracy").over(alls))
+    slope = F.when(timed & (n >= 3), F.regr_slope("accuracy", "x").over(alls))
+    out = numbered.withColumns({"variance": F.when(n > 1, F.var_pop("accuracy").over(alls)), "range": reach, "slope": slope})
+    flag = F.when(timed, F.col("slope") < DEGRADING_SLOPE).otherwise(F.when(F.col("range") > 0, F.col("range") > FLAG_RANGE))
+    return out.withColumn("flag", flag.cast("int")).drop("x")
+
+
 def overall(spreads: DataFrame, keys: list[str] = ()) -> DataFrame:
     flags = F.array_join(F.array_sort(F.collect_list(F.when(F.col("flag") == 1, F.col("dimension")))), ",")
     return spreads.groupBy(*keys).agg(F.avg("variance").alias("consistency_variance"), flags.alias("flags"))

@@ -120,11 +120,13 @@ def idle_days(contests: DataFrame) -> DataFrame:
 
 def scan_input(contests: DataFrame, candidates: list[dict], decay: bool = False, moves: bool = False, carry: list[str] = (), keys: list[str] = ()) -> DataFrame:
     """Thin scan input keyed by candidate. Contests with no result that are not draws are left out."""
-    base = contests.filter(F.col("result").isNotNull() | F.col("is_draw"))
+    # contests without a result count for idle days and weights, though they are not rated
+    base = contests
     if decay:
         base = idle_days(base)
     if moves:
         base = weight_moves(base)
+    base = base.filter(F.col("result").isNotNull() | F.col("is_draw"))
     base = base.withColumn("method", S.method_code())
     rows = with_candidates(base, candidates)
     multiplier = F.when(F.col("c.use_method") == 1.0, S.multiplier_of_code("method", {m: F.col(f"c.w_{m}") for m in S.MULTIPLIER_ORDER})).otherwise(1.0)

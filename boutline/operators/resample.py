@@ -131,8 +131,8 @@ def eligible_bets(rated: DataFrame, source: DataFrame, odds: DataFrame) -> DataF
 def bootstrap_rows(rows: DataFrame, size: int, n_replicates: int, seed: int = 42) -> DataFrame:
     """``size`` rows without replacement per replicate.
 
-    Rows get a position (day, seq); each replicate draws hashed positions and keeps its first ``size`` distinct ones, so the work is
-    replicates x size and not replicates x rows. Where the table is less than four samples long, positions are ranked instead.
+    Rows get a position (day, seq). A replicate draws hashed positions, one after another, and keeps the first ``size`` distinct ones: the
+    same rule for any number of rows, and work of replicates x size. Draws are added until every replicate has its rows.
     """
     base = materialize(rows)
     n = base.count()
@@ -140,14 +140,15 @@ def bootstrap_rows(rows: DataFrame, size: int, n_replicates: int, seed: int = 42
         raise ValueError(f"{n} rows are too few to draw {size}")
     numbered = running(base, [], day_slice("day"), ["day", "seq"], {"pos": ("count", F.lit(1))}, inclusive=False)
     reps = F.explode(F.sequence(F.lit(0), F.lit(n_replicates - 1))).alias("replicate")
-    spark = rows.sparkSession
-    if n < 4 * size:
-        drawn = spark.range(n).select(F.col("id").alias("pos"), reps).withColumn("_o", hash_number(F.lit(seed), "replicate", "pos"))
-    else:
-        tries = spark.range(4 * size + 64).select(F.col("id").alias("j"), reps)
-        drawn = tries.withColumn("pos", hash_number(F.lit(seed), "replicate", "j") % n).groupBy("replicate", "pos").agg(F.min("j").alias("_o"))
+    tries = 4 * size + 64
+    while True:
+        drawn = rows.sparkSession.range(tries).select(F.col("id").alias("j"), reps).withColumn("pos", hash_number(F.lit(seed), "replicate", "j") % n)
+        first = materialize(drawn.groupBy("replicate", "pos").agg(F.min("j").alias("_o")))
+        if first.groupBy("replicate").count().agg(F.min("count")).first()[0] >= size:
+            break
+        tries *= 2
     w = W.partitionBy("replicate").orderBy("_o", "pos")
-    picked = drawn.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= size).select("replicate", "pos")
+    picked = first.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= size).select("replicate", "pos")
     return numbered.join(picked, "pos")
 
 
@@ -209,7 +210,7 @@ def unbet(rated: DataFrame, source: DataFrame, bets: DataFrame, odds: DataFrame)
     left = keyed.join(bets.select(*pair("bet_on", "bet_against")).distinct(), ["_a", "_b", "day"], "left_anti")
     priced = left.join(first_prices(odds, ["american"]), ["_a", "_b", "day"], "left")
     price = F.col("_price.american")
-    reason = S.first_match([(price.isNull() | (price == 0), F.lit("No odds available")), (F.col("pre") == F.col("opp_pre"), F.lit("Equal Elo ratings"))], "Odds data mismatch")
+    reason = S.first_match([(price.isNull() | (price == 0), F.lit("no_price")), (F.col("pre") == F.col("opp_pre"), F.lit("equal_ratings"))], "price_not_matched")
     return priced.withColumns({"american": price, "reason": reason}).drop("_a", "_b", "_price")
 
 

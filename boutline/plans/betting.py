@@ -129,9 +129,9 @@ def bet_records(t):
     return _show_bets(bets_orders(t))
 
 
-@query("odds_join", T.sql(*RATED_EV, T.odds_sql("ev"), T.bets_sql("ev", lookback=14), select=_BET_COLS))
+@query("odds_join", T.sql(*RATED_EV, T.odds_sql("ev"), T.bets_sql("ev"), select=_BET_COLS))
 def odds_join(t):
-    return _show_bets(bets_events(t, lookback=14))
+    return _show_bets(bets_events(t))
 
 
 @query("odds_join_fallback", T.sql(*RATED_EV, T.odds_sql("ev"), T.bets_sql("ev", fallback="mirror"), select=_BET_COLS))

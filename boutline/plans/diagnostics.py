@@ -23,33 +23,38 @@ _LAY = lambda d: _case([(f"{d} IS NULL", "Unknown"), (f"{d} <= 90", "Recent"), (
 _QUAL = _case([("ar >= 0 AND ar < 1500", "Lower-tier"), ("ar >= 1700", "Elite")], "Mid-tier")
 _MARG = _case([(f"o_r - ar > {e}", n) for e, n in zip((300, 200, 100, 0, -100, -200), B.MARGIN)], B.MARGIN[6])
 _METH = "CASE " + " ".join(f"WHEN {T.hit(m)} THEN '{S.METHOD_LABELS[m]}'" for m in S.LABEL_ORDER) + " ELSE 'Other' END"
-RECORDS = (
-    *RATED_OC, T.odds_sql("oc"), *_BOUTS_SQL,
-    f"rl AS (SELECT * FROM rated WHERE day > (SELECT max(day) FROM oc) - {LOOKBACK})", f"ol AS (SELECT * FROM oc WHERE day > (SELECT max(day) FROM oc) - {LOOKBACK})",
-    T.bets_sql("ol", fallback="mirror", rated="rl"),
-    T.sides_sql("oc", "yl"), "yd AS (SELECT DISTINCT who, day FROM yl)", "yp AS (SELECT who, day, lag(day) OVER (PARTITION BY who ORDER BY day) AS p FROM yd)",
-    f"""rc0 AS (SELECT b.*, bc.bouts, bc.opp_bouts, date_diff('day', x.p, b.day)::INT AS lay, date_diff('day', y.p, b.day)::INT AS olay FROM bets b JOIN bc USING (seq) JOIN yp x ON x.who = b.player AND x.day = b.day JOIN yp y ON y.who = b.opponent AND y.day = b.day),
+def _records_sql(lookback=None):
+    recent = f" WHERE day > (SELECT max(day) FROM oc) - {lookback}" if lookback else ""
+    return (
+        *RATED_OC, T.odds_sql("oc"), *_BOUTS_SQL,
+        f"rl AS (SELECT * FROM rated{recent})", f"ol AS (SELECT * FROM oc{recent})",
+        T.bets_sql("ol", fallback="mirror", rated="rl"),
+        T.sides_sql("oc", "yl"), "yd AS (SELECT DISTINCT who, day FROM yl)", "yp AS (SELECT who, day, lag(day) OVER (PARTITION BY who ORDER BY day) AS p FROM yd)",
+        f"""rc0 AS (SELECT b.*, bc.bouts, bc.opp_bouts, date_diff('day', x.p, b.day)::INT AS lay, date_diff('day', y.p, b.day)::INT AS olay FROM bets b JOIN bc USING (seq) JOIN yp x ON x.who = b.player AND x.day = b.day JOIN yp y ON y.who = b.opponent AND y.day = b.day),
 rc1 AS (SELECT *, CASE WHEN bet_on = player THEN pre ELSE opp_pre END AS o_r, CASE WHEN bet_on = player THEN opp_pre ELSE pre END AS ar, CASE WHEN bet_on = player THEN bouts ELSE opp_bouts END AS ob, CASE WHEN bet_on = player THEN opp_bouts ELSE bouts END AS ab,
   CASE WHEN bet_on = player THEN lay ELSE olay END AS ol_, CASE WHEN bet_on = player THEN olay ELSE lay END AS al_ FROM rc0),
 rc AS (SELECT *, strftime(day, '%Y-%m') AS month, {_METH} AS method, {_EXP('ob')} AS on_experience, {_EXP('ab')} AS against_experience, {_LAY('ol_')} AS on_layoff_group, {_LAY('al_')} AS against_layoff_group, {_QUAL} AS quality, {_MARG} AS margin FROM rc1)""",
-)
+    )
+
+
+RECORDS = _records_sql()
 
 
-def records(t):
+def records(t, lookback=None):
     c, rated = rated_orders(t, carry=[*CARRY, *FLAGS])
-    return D.records(rated, c, t.odds(c), LOOKBACK)
+    return D.records(rated, c, t.odds(c), lookback)
 
 
 @query(
     "diagnostic_records",
     T.sql(
-        *RECORDS,
+        *_records_sql(LOOKBACK),
         select=f"SELECT seq, month, bet_on, bet_won, {T.r6('o_r')} AS on_rating, {T.r6('ar')} AS against_rating, ob AS on_bouts, ab AS against_bouts, ol_ AS on_layoff, al_ AS against_layoff, {T.r6('prob')} AS prob, american, {T.r6('profit')} AS profit, method, on_experience, against_experience, on_layoff_group, against_layoff_group, quality, margin FROM rc",
     ),
 )
 def diagnostic_records(t):
     return _rounded(
-        records(t).select(
+        records(t, LOOKBACK).select(
             "seq", "month", "bet_on", "bet_won", "on_rating", "against_rating", "on_bouts", "against_bouts", "on_layoff", "against_layoff", "prob", "american", "profit", "method",
             "on_experience", "against_experience", "on_layoff_group", "against_layoff_group", "quality", "margin",
         )
@@ -60,13 +65,13 @@ _SM = "count(*) AS n, avg(bet_won) AS accuracy, sum(profit) / sum(stake) * 100 A
 
 
 def _flag_sql(a):
-    plain = [("accuracy < 0.5", D.LOW_ACCURACY), ("roi < 0", D.LOW_ROI)]
+    plain = [("accuracy < 0.5", "low_accuracy"), ("roi < 0", "negative_roi")]
     if a in ("Experience", "Layoff"):
         return _case(plain, None)
     if a in ("Method", "Opponent Quality"):
-        return _case([("accuracy >= 0.65", "STRONG"), *plain], None)
+        return _case([("accuracy >= 0.65", "strong"), *plain], None)
     if a == "Elo Margin":
-        return _case([("lower(subgroup) LIKE '%underdog%' AND roi < -10", D.LOW_UNDERDOG), *plain, ("accuracy >= 0.7", "STRONG")], None)
+        return _case([("lower(subgroup) LIKE '%underdog%' AND roi < -10", "underdog_loss"), *plain, ("accuracy >= 0.7", "strong")], None)
     return "NULL::VARCHAR"
 
 
@@ -102,7 +107,7 @@ for _key, _names in {
 _MONTH_SQL = f"""mo0 AS (SELECT month, {_SM} FROM rc GROUP BY month),
 mo1 AS (SELECT *, row_number() OVER (ORDER BY month) AS i, row_number() OVER (ORDER BY month DESC) AS j, count(*) OVER () AS k FROM mo0),
 mo AS (SELECT month, n, accuracy, roi, profit, wagered, (SELECT CASE WHEN max(k) >= 4 THEN regr_slope(accuracy, i - 1) END FROM mo1) AS slope,
-  CASE WHEN k >= 3 AND j <= 3 AND (SELECT avg(accuracy) FILTER (WHERE CASE WHEN k >= 6 THEN i <= 3 ELSE i <= k // 2 END) - avg(accuracy) FILTER (WHERE j <= 3) FROM mo1) > 0.05 THEN '{D.DRIFT}' END AS flag FROM mo1)"""
+  CASE WHEN k >= 3 AND j <= 3 AND (SELECT avg(accuracy) FILTER (WHERE CASE WHEN k >= 6 THEN i <= 3 ELSE i <= k // 2 END) - avg(accuracy) FILTER (WHERE j <= 3) FROM mo1) > 0.05 THEN 'falling' END AS flag FROM mo1)"""
 
 
 @query("slice_month_drift", T.sql(*RECORDS, _MONTH_SQL, select="SELECT month, n, " + ", ".join(f"{T.r6(c)} AS {c}" for c in ("accuracy", "roi", "profit", "wagered", "slope")) + ", flag FROM mo"))
@@ -130,7 +135,7 @@ def diagnostic_summary(t):
     return _rounded(D.summary(records(t)))
 
 
-_SPOTS_SQL = "wk AS (SELECT CASE WHEN flag LIKE '%WEAK%' THEN 'weak' ELSE 'strong' END AS kind, analysis AS category, subgroup, n, accuracy, roi, flag AS issue FROM sl WHERE flag LIKE '%WEAK%' OR flag = 'STRONG')"
+_SPOTS_SQL = "wk AS (SELECT CASE WHEN flag <> 'strong' THEN 'weak' ELSE 'strong' END AS kind, analysis AS category, subgroup, n, accuracy, roi, flag AS issue FROM sl WHERE flag IS NOT NULL)"
 
 
 @query("weak_spots", T.sql(*RECORDS, slices_sql(D.ANALYSES), _SPOTS_SQL, select=f"SELECT kind, category, subgroup, n, {T.r6('accuracy')} AS accuracy, {T.r6('roi')} AS roi, issue FROM wk"))
@@ -138,8 +143,9 @@ def weak_spots(t):
     return _rounded(D.spots(D.slices(records(t))))
 
 
-_FIX_SQL = """CASE WHEN subgroup LIKE '%Split Decision%' THEN 'Reduce confidence on split decision predictions' WHEN lower(subgroup) LIKE '%underdog%' THEN 'Adjust expected_score_denom to widen curve OR add underdog boost'
-  WHEN subgroup LIKE '%Very Long%' THEN 'More aggressive decay or special layoff handling' WHEN lower(issue) LIKE '%drift%' THEN 'Add recency weighting or retraining schedule' ELSE 'Tune parameters for this subgroup' END"""
+_FIX_SQL = """CASE WHEN category = 'Method' AND issue = 'low_accuracy' THEN 'lower the weight of this method' WHEN category = 'Elo Margin' AND issue = 'underdog_loss' THEN 'raise the scale of expected scores'
+  WHEN category = 'Elo Margin' AND issue = 'negative_roi' THEN 'ask for a larger rating gap' WHEN category = 'Layoff' AND issue = 'low_accuracy' THEN 'try a stronger decay'
+  WHEN category IN ('Experience', 'Opponent Experience') AND issue = 'low_accuracy' THEN 'ask for more earlier contests' ELSE 'review this slice' END"""
 
 
 @query(

@@ -95,8 +95,7 @@ _DIM_COLS = "SELECT dimension, bucket, n, " + ", ".join(f"{T.r6(c)} AS {c}" for
 
 def _consistency(t, name, period="month"):
     dims = {name: C.dimensions(period)[name]}
-    b = C.by_bucket(_scored_dims(t), dims)
-    return _rounded(b.join(F.broadcast(C.spread(b).drop("buckets")), "dimension"))
+    return _rounded(C.with_spread(C.by_bucket(_scored_dims(t), dims)))
 
 
 for _name, _expr in _ALL_DIMS:

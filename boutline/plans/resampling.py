@@ -90,7 +90,7 @@ _BOOT_DATES = f"""od AS (SELECT day, count(*) AS n FROM odds GROUP BY day), bd A
 dr AS (SELECT i::INT AS replicate, day, n FROM od, range({N_DATES}) r(i) QUALIFY row_number() OVER (PARTITION BY i ORDER BY {_h(42, 'i', 'day')}, day) <= {SAMPLE // 3}),
 br AS (SELECT replicate, coalesce(sum(profit) / sum(stake) * 100, 0) AS roi FROM dr LEFT JOIN bd USING (day) GROUP BY replicate HAVING sum(n) >= 10)"""
 _DIST = f"count(*) AS n, {T.r6('avg(roi)')} AS mean, {T.r6('stddev_pop(roi)')} AS sd, {T.r6('quantile_cont(roi, 0.05)')} AS p5, {T.r6('quantile_cont(roi, 0.95)')} AS p95, {T.r6('min(roi)')} AS low, {T.r6('max(roi)')} AS high"
-GIVEN = -11.11
+GIVEN = -7.5
 
 
 @query("bootstrap_dates", T.sql(*BETS_EV, _BOOT_DATES, select=f"SELECT {_DIST}, {T.r6(f'CASE WHEN stddev_pop(roi) > 0 THEN ({GIVEN} - avg(roi)) / stddev_pop(roi) ELSE 0 END')} AS z FROM br"))
@@ -109,7 +109,7 @@ e3 AS (SELECT *, row_number() OVER (ORDER BY day, seq) - 1 AS pos, count(*) OVER
 e4 AS (SELECT i AS replicate, ('0x' || substr({_h(42, 'i', 'j')}, 1, 12))::BIGINT % (SELECT max(n) FROM e3) AS pos, j FROM range({N_ROWS}) r(i), range({4 * SAMPLE + 64}) q(j)),
 e5 AS (SELECT replicate, pos FROM (SELECT replicate, pos, min(j) AS o FROM e4 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY replicate ORDER BY o, pos) <= {SAMPLE}),
 br AS (SELECT replicate, avg(profit) * 100 AS roi FROM e5 JOIN e3 USING (pos) GROUP BY replicate)"""
-SWING = 23.4
+SWING = 18.0
 
 
 def _replicate_rois(t):
@@ -232,7 +232,7 @@ u1 AS (SELECT u.* FROM u0 u JOIN ufd a ON a.who = u.player JOIN ufd b ON b.who =
   AND NOT EXISTS (SELECT 1 FROM bets b WHERE b.day = u.day AND least(b.bet_on, b.bet_against) = least(u.player, u.opponent) AND greatest(b.bet_on, b.bet_against) = greatest(u.player, u.opponent))),
 uf AS (SELECT DISTINCT ON (least(player, opponent), greatest(player, opponent), day) least(player, opponent) AS pa, greatest(player, opponent) AS pb, day, american FROM odds ORDER BY least(player, opponent), greatest(player, opponent), day, odds_seq),
 un AS (SELECT u1.*, f.american FROM u1 LEFT JOIN uf f ON pa = least(u1.player, u1.opponent) AND pb = greatest(u1.player, u1.opponent) AND f.day = u1.day),
-ur AS (SELECT *, CASE WHEN american IS NULL OR american = 0 THEN 'No odds available' WHEN pre = opp_pre THEN 'Equal Elo ratings' ELSE 'Odds data mismatch' END AS reason FROM un)"""
+ur AS (SELECT *, CASE WHEN american IS NULL OR american = 0 THEN 'no_price' WHEN pre = opp_pre THEN 'equal_ratings' ELSE 'price_not_matched' END AS reason FROM un)"""
 
 
 @query("unbet_contests", T.sql(*EVENT_BETS, _DAYS_SQL, _UNBET_SQL, select="SELECT seq, CAST(day AS VARCHAR) AS day, player, opponent, american, reason FROM ur"))

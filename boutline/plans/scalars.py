@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import buckets as B
 from ..functions import fitness as FIT
 from ..functions import scalar as S
 from ..functions.scalar import r6
+from ..session import shared_dir
 from ..sources import contests as C
 from . import query
 from . import sqltext as T
 
+def _as_csv(raw):
+    """Folder of the whole table as CSV text with blanks kept."""
+    path = f"{shared_dir(raw.sparkSession).rstrip('/')}/boutline-csv-{uuid.uuid4().hex}"
+    raw.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return path
+
+
 _RAW_RESULT = "CASE WHEN seq % 11 = 0 THEN 'n/a' WHEN seq % 13 = 0 THEN NULL ELSE ' ' || CAST(result AS VARCHAR(9)) END"
 
 
@@ -33,7 +43,7 @@ def scan_contests(t):
         F.when(F.col("seq") % 17 != 0, F.col("win").cast("string")).alias("win"),
         F.col("loss").cast("string").alias("loss"),
     )
-    clean = C.clean_contests(raw)
+    clean = C.clean_contests(C.read_csv_text(t.spark, _as_csv(raw)))
     return clean.select(
         "seq", F.col("day").cast("string").alias("day"), "result", F.col("is_draw").cast("int").alias("is_draw"), "player", "opponent", F.col("round").isNull().cast("int").alias("absent")
     )
@@ -53,7 +63,7 @@ def scan_odds(t):
     books = ["american", "book_a", "book_b", "book_c"]
     text = {b: F.when(F.col(b) > 0, F.concat(F.lit(" +"), F.col(b).cast("string"))).otherwise(F.coalesce(F.col(b).cast("string"), F.lit("-"))) for b in books}
     raw = o.withColumns(text).withColumn("DATE", F.col("day").cast("string")).drop("day")
-    clean = C.clean_odds(raw).withColumns({b: F.col(b).try_cast("double") for b in books[1:]})
+    clean = C.clean_odds(C.read_csv_text(t.spark, _as_csv(raw.drop("played_at"))), books)
     return C.books_long(clean.select("odds_seq", F.col("day").cast("string").alias("day"), "player", "opponent", *books), books)
 
 
@@ -61,12 +71,12 @@ def scan_odds(t):
     "clean_holdout_odds",
     T.sql(
         T.EV,
-        T.holdout_sql("ev", 3),
+        T.holdout_sql("ev", 400),
         select="SELECT seq, CAST(day AS VARCHAR) AS day, trim(player) AS player, trim(opponent) AS opponent, result, american, opp_american FROM hold",
     ),
 )
 def clean_holdout_odds(t):
-    h = t.holdout(t.events_contests(), 3)
+    h = t.holdout(t.events_contests(), 400)
     signed = lambda c: F.when(F.col(c) > 150, F.concat(F.lit(" +"), F.col(c).cast("int").cast("string"))).otherwise(F.concat(F.lit(" "), F.col(c).cast("int").cast("string")))
     raw = h.select(
         F.date_format("played_at", "yyyy-MM-dd").alias("date"),
@@ -77,7 +87,7 @@ def clean_holdout_odds(t):
         signed("opp_american").alias(" opp_avg_odds"),
         "seq",
     )
-    return C.clean_holdout(raw).select("seq", F.col("day").cast("string").alias("day"), "player", "opponent", "result", "american", "opp_american")
+    return C.clean_holdout(C.read_csv_text(t.spark, _as_csv(raw))).select("seq", F.col("day").cast("string").alias("day"), "player", "opponent", "result", "american", "opp_american")
 
 
 @query("method_multiplier", T.sql(T.EV, select=f"SELECT seq, {T.multiplier_sql({'ko': 1.4, 'sub': 1.3, 'udec': 1.0, 'mdec': 0.9, 'sdec': 0.7})}::DOUBLE AS multiplier FROM ev"))
@@ -85,7 +95,8 @@ def method_multiplier(t):
     return t.events_contests().select("seq", S.method_multiplier().alias("multiplier"))
 
 
-_LABEL_SQL = "CASE " + " ".join(f"WHEN {T.hit(m)} THEN '{S.METHOD_LABELS[m]}'" for m in ("ko", "sub", "udec", "sdec", "mdec"))
+_LABELS = {"ko": "KO/TKO", "sub": "Submission", "udec": "Unanimous Decision", "sdec": "Split Decision", "mdec": "Majority Decision"}
+_LABEL_SQL = "CASE " + " ".join(f"WHEN {T.hit(m)} THEN '{label}'" for m, label in _LABELS.items())
 
 
 @query("method_label", T.sql(T.EV, select=f"SELECT seq, {_LABEL_SQL} ELSE 'Unknown' END AS label, {_LABEL_SQL} ELSE 'Other' END AS label_other FROM (SELECT * REPLACE (CASE WHEN seq % 9 = 0 THEN NULL ELSE ko END AS ko) FROM ev)"))
@@ -221,6 +232,11 @@ _NORM_SQL = {
 }
 
 
+# Written out on purpose, so that the SQL does not share the operators' constants.
+_MULTI = {"roi": 0.4, "accuracy": 0.15, "calibration": 0.15, "consistency": 0.15, "auc": 0.15}
+_MARGINS = ("Huge favorite (>300)", "Large favorite (200-300)", "Small favorite (100-200)", "Close (0-100)", "Close underdog (0-100)", "Large underdog (100-200)", "Very large underdog (200+)")
+
+
 def _scores():
     return FIT.normalized("roi", "accuracy", "log_loss", "brier", "ece", "slope", "auc", "variance", "drawdown", "trend", "sharpe")
 
@@ -231,9 +247,9 @@ def normalize_metrics(t):
     return m.select("o_orderkey", *[r6(c).alias(n) for n, c in _scores().items()])
 
 
-@query("weighted_fitness", f"SELECT o_orderkey, {T.r6(' + '.join(f'({_NORM_SQL[k]})*{w}' for k, w in FIT.MULTI_WEIGHTS.items()))} AS fitness FROM {_METRICS_SQL}")
+@query("weighted_fitness", f"SELECT o_orderkey, {T.r6(' + '.join(f'({_NORM_SQL[k]})*{w}' for k, w in _MULTI.items()), 10)} AS fitness FROM {_METRICS_SQL}")
 def weighted_fitness(t):
-    return _metrics(t).select("o_orderkey", r6(FIT.weighted(_scores(), {**FIT.check_weights(None), "unknown": 3.0})).alias("fitness"))
+    return _metrics(t).select("o_orderkey", r6(FIT.weighted(_scores(), {**FIT.check_weights(None), "unknown": 3.0}), 10).alias("fitness"))
 
 
 _SEARCH = {"roi": 0.5, "calibration": 0.3, "auc": 0.2}
@@ -241,11 +257,11 @@ _SEARCH = {"roi": 0.5, "calibration": 0.3, "auc": 0.2}
 
 @query(
     "search_fitness",
-    f"""SELECT o_orderkey, {T.r6("greatest(0.0,least(10.0,(roi+20.0)/5.0))*0.5 + greatest(0.0,least(10.0,(coalesce(trend,0)+1.0)*5.0))*0.1 + greatest(0.0,least(10.0,(coalesce(sharpe,0)+2.0)*2.0))*0.1 + coalesce(10.0/(1.0+ece*50.0),5.0)*0.3 + coalesce(10.0/(1.0+variance*500.0),5.0)*0.15 + greatest(0.0,least(10.0,(CASE WHEN auc IS NULL OR auc = 0 THEN 0.5 ELSE auc END-0.5)*20.0))*0.2")} AS fitness, {T.r6('roi')} AS plain
-FROM {_METRICS_SQL} WHERE roi IS NOT NULL""",
+    f"""SELECT o_orderkey, {T.r6("greatest(0.0,least(10.0,(coalesce(roi,0)+20.0)/5.0))*0.5 + greatest(0.0,least(10.0,(coalesce(trend,0)+1.0)*5.0))*0.1 + greatest(0.0,least(10.0,(coalesce(sharpe,0)+2.0)*2.0))*0.1 + coalesce(10.0/(1.0+ece*50.0),5.0)*0.3 + coalesce(10.0/(1.0+variance*500.0),5.0)*0.15 + greatest(0.0,least(10.0,(CASE WHEN auc IS NULL OR auc = 0 THEN 0.5 ELSE auc END-0.5)*20.0))*0.2")} AS fitness, {T.r6('coalesce(roi,0)')} AS plain
+FROM {_METRICS_SQL}""",
 )
 def search_fitness(t):
-    m = _metrics(t).filter(F.col("roi").isNotNull())
+    m = _metrics(t)
     args = ("roi", "trend", "sharpe", "ece", "variance", "auc")
     return m.select("o_orderkey", r6(FIT.search_fitness(*args, weights=_SEARCH)).alias("fitness"), r6(FIT.search_fitness(*args)).alias("plain"))
 
@@ -276,10 +292,9 @@ def fitness_weights(t):
     return w.select("o_orderkey", F.explode("w").alias("metric", "x")).select("o_orderkey", "metric", r6("x").alias("weight"))
 
 
-@query("overfit_fitness", f"SELECT o_orderkey, {T.r6('CASE WHEN roi - trend > 2.0 THEN 0.5*trend ELSE 0.7*trend + 0.3*roi END')} AS fitness FROM {_METRICS_SQL} WHERE roi IS NOT NULL AND trend IS NOT NULL")
+@query("overfit_fitness", f"SELECT o_orderkey, {T.r6('CASE WHEN coalesce(roi,0) - coalesce(trend,0) > 2.0 THEN 0.5*coalesce(trend,0) ELSE 0.7*coalesce(trend,0) + 0.3*coalesce(roi,0) END')} AS fitness FROM {_METRICS_SQL}")
 def overfit_fitness(t):
-    m = _metrics(t).filter(F.col("roi").isNotNull() & F.col("trend").isNotNull())
-    return m.select("o_orderkey", r6(FIT.overfit_fitness("roi", "trend")).alias("fitness"))
+    return _metrics(t).select("o_orderkey", r6(FIT.overfit_fitness("roi", "trend")).alias("fitness"))
 
 
 def _case(expr, pairs, default):
@@ -310,7 +325,7 @@ def bucket_opponent_quality(t):
 
 @query(
     "bucket_margin",
-    "SELECT o_orderkey, " + _case("m", [("m > 300", B.MARGIN[0]), ("m > 200", B.MARGIN[1]), ("m > 100", B.MARGIN[2]), ("m > 0", B.MARGIN[3]), ("m > -100", B.MARGIN[4]), ("m > -200", B.MARGIN[5])], B.MARGIN[6]) + " AS margin FROM (SELECT o_orderkey, (o_orderkey * 7 % 801 - 400)::DOUBLE AS m FROM orders)",
+    "SELECT o_orderkey, " + _case("m", [("m > 300", _MARGINS[0]), ("m > 200", _MARGINS[1]), ("m > 100", _MARGINS[2]), ("m > 0", _MARGINS[3]), ("m > -100", _MARGINS[4]), ("m > -200", _MARGINS[5])], _MARGINS[6]) + " AS margin FROM (SELECT o_orderkey, (o_orderkey * 7 % 801 - 400)::DOUBLE AS m FROM orders)",
 )
 def bucket_margin(t):
     return t.read("orders").select("o_orderkey", B.margin((F.col("o_orderkey") * 7 % 801 - 400).cast("double")).alias("margin"))

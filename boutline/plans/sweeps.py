@@ -56,12 +56,10 @@ def k_oos_sweep(t):
     return _rounded(O.oos_accuracy(p).select("candidate_id", "n", "accuracy"))
 
 
-CANDS = [{"k": 32.0}, {"k": 170.0}, {"k": 250.0, "use_method": 0.0}, {"k": 266.33, "w_ko": 1.02, "w_sub": 1.74, "w_udec": 0.98, "w_sdec": 0.7, "w_mdec": 0.81}]
-LOOKBACK = 730
+CANDS = [{"k": 32.0}, {"k": 170.0}, {"k": 250.0, "use_method": 0.0}, {"k": 90.0, "w_ko": 1.25, "w_sub": 1.5, "w_udec": 1.1, "w_sdec": 0.8, "w_mdec": 0.95}]
 _EVAL_TAIL = (
-    T.bets_sql("oc", lookback=LOOKBACK), DAILY, EXTENDED,
-    f"look AS (SELECT * FROM rated WHERE day > (SELECT max(day) FROM oc) - {LOOKBACK})",
-    T.pred_sql("oc", dedup=True, rated="look"),
+    T.bets_sql("oc"), DAILY, EXTENDED,
+    T.pred_sql("oc", dedup=True),
     f"ex AS (SELECT candidate_id, CASE WHEN count(*) >= 2 THEN regr_slope(cum_roi, x) END AS trend, CASE WHEN count(*) >= 2 AND stddev_samp(roi) > 0 THEN avg(roi) / stddev_samp(roi) * sqrt(52) END AS sharpe, sum(bets)::BIGINT AS bets, sum(profit) / sum(stake) * 100 AS roi FROM dx GROUP BY ALL)",
     f"pm AS (SELECT candidate_id, {PM} FROM pred GROUP BY ALL)",
 )
@@ -76,7 +74,7 @@ _EVAL_TAIL = (
 )
 def evaluate_candidates(t):
     c = materialize(t.orders_contests())
-    e = Z.evaluate(c, t.odds(c), CANDS, LOOKBACK)
+    e = Z.evaluate(c, t.odds(c), CANDS)
     return _rounded(e.select("candidate_id", "roi", "bets", "trend", "sharpe", "accuracy", "log_loss", "brier", "n"))
 
 
@@ -148,7 +146,7 @@ def search_generation(t):
 _WEIGHTS = {"roi": 0.4, "calibration": 0.2, "consistency": 0.2, "auc": 0.2}
 _PER = "PARTITION BY candidate_id"
 _FULL_SQL = (
-    T.bets_sql("oc", lookback=LOOKBACK), DAILY, EXTENDED, f"look AS (SELECT * FROM rated WHERE day > (SELECT max(day) FROM oc) - {LOOKBACK})", T.pred_sql("oc", rated="look"), *_BOUTS_SQL,
+    T.bets_sql("oc"), DAILY, EXTENDED, T.pred_sql("oc"), *_BOUTS_SQL,
     "ex AS (SELECT candidate_id, regr_slope(cum_roi, x) AS trend, avg(roi) / stddev_samp(roi) * sqrt(52) AS sharpe, sum(bets)::BIGINT AS bets, sum(profit) / sum(stake) * 100 AS roi FROM dx GROUP BY ALL)",
     "bi AS (SELECT candidate_id, least(floor(prob * 10), 9) AS bin, count(*) AS n, abs(avg(prob) - avg(result)) AS gap FROM pred GROUP BY ALL)",
     "be AS (SELECT candidate_id, sum(n * gap) / sum(n) AS ece FROM bi GROUP BY ALL)",
@@ -173,7 +171,7 @@ _FITNESS_SQL = "greatest(0.0, least(10.0, (roi + 20.0) / 5.0)) * 0.4 + greatest(
 def evaluate_everything(t):
     """All metrics of a search run and the weighted fitness, for every candidate at once."""
     c = materialize(t.orders_contests())
-    e = Z.evaluate_everything(c, t.odds(c), CANDS, LOOKBACK, _WEIGHTS)
+    e = Z.evaluate_everything(c, t.odds(c), CANDS, None, _WEIGHTS)
     return _rounded(e.select("candidate_id", "bets", "roi", "trend", "sharpe", "ece", "auc", "consistency_variance", "accuracy", "fitness"))
 
 
