@@ -1,14 +1,14 @@
 """The rating scan: an order-dependent recurrence over contests.
 
 Everything a contest contributes on its own (score, effective K, decay and weight-move factors) is an ordinary column
-computed by Spark beforehand. What is left is the recurrence itself, which exists in three exact forms:
+computed by Spark beforehand. What is left is the recurrence itself, which exists in three exact forms. The caller names the one
+that suits the history (``strategy``); no table is counted to choose.
 
-* ``grouped`` - a history of at most ``max_group_rows`` contests per key is one bounded group; keys (candidate, split, league)
-  run in parallel.
-* ``blocks``  - a longer history is cut into consecutive blocks of that size. Each block is a bounded co-group of its contests with
+* ``grouped`` - one group per key (candidate, split, league); keys run in parallel. For histories that fit a task.
+* ``blocks``  - a history is cut into consecutive blocks of ``block_rows`` contests. Each block is a bounded co-group of its contests with
   the ratings of the players who take part in it; the state table is written to the shared folder between blocks.
 * ``waves``   - contests whose two players have no earlier open contest are rated together by joins, wave by wave and without
-  Python, as long as waves are wide; what remains (the chains of a few busy players) goes through ``blocks``.
+  Python, while a wave has ``min_wave_rows``; what remains (the chains of a few busy players) goes through ``blocks``.
 """
 
 from __future__ import annotations
@@ -26,9 +26,8 @@ from ..functions import scalar as S
 from ..session import StepTable, materialize, shared_dir
 from .prefix import month_slice, running
 
-MAX_GROUP_ROWS = 2_000_000
-# Rough costs used only to pick a strategy: one wave of joins, one step of the grouped recurrence.
-WAVE_SECONDS, STEP_SECONDS = 2.0, 3e-6
+BLOCK_ROWS = 2_000_000  # contests per key in a block: what one task holds
+MIN_WAVE_ROWS = 20_000  # contests below which a wave of joins costs more than playing them in order
 
 # Columns of a parameter set and what an absent one means.
 CANDIDATE_DEFAULTS = {
@@ -281,7 +280,7 @@ def _play_blocks(rows: DataFrame, keys: list[str], limit: int, state: DataFrame
     return done.schema
 
 
-def scan_blocks(prepared: DataFrame, keys: list[str], limit: int = MAX_GROUP_ROWS) -> DataFrame:
+def scan_blocks(prepared: DataFrame, keys: list[str], limit: int = BLOCK_ROWS) -> DataFrame:
     rated = StepTable(prepared.sparkSession)
     return rated.whole(_play_blocks(prepared, keys, limit, None, rated))
 
@@ -309,7 +308,7 @@ def _play_wave(open_rows: DataFrame, current: DataFrame, keys: list[str]) -> Dat
     )
 
 
-def scan_waves(prepared: DataFrame, keys: list[str], limit: int = MAX_GROUP_ROWS, min_wave_rows: int | None = None) -> DataFrame:
+def scan_waves(prepared: DataFrame, keys: list[str], limit: int = BLOCK_ROWS, min_wave_rows: int = MIN_WAVE_ROWS) -> DataFrame:
     """Join-only waves while they are wide, bounded blocks for what is left.
 
     A wave costs a few joins whatever its size, so it pays only while it holds many contests. The first waves of a wide history
@@ -317,8 +316,6 @@ def scan_waves(prepared: DataFrame, keys: list[str], limit: int = MAX_GROUP_ROWS
     """
     rated = StepTable(prepared.sparkSession)
     columns = [*[c for c in prepared.columns if c not in _WORK], *_OUT]
-    n_keys = prepared.select(*keys).distinct().count()
-    least = n_keys * WAVE_SECONDS / STEP_SECONDS if min_wave_rows is None else min_wave_rows
     open_rows = materialize(_numbered(prepared, keys))
     who = open_rows.select(*keys, F.explode(F.array("player", "opponent")).alias("who")).distinct()
     current = materialize(who.withColumns({"rating": F.lit(S.BASE_RATING), "done": F.lit(0).cast("long")}))
@@ -335,18 +332,12 @@ def scan_waves(prepared: DataFrame, keys: list[str], limit: int = MAX_GROUP_ROWS
         current = materialize(_next_state(current, moved, keys))
         open_rows = materialize(open_rows.join(wave.select(*keys, "seq"), [*keys, "seq"], "left_anti"))
         left -= size
-        if left and size < least:
+        if left and size < min_wave_rows:
             _play_blocks(open_rows.drop("_na", "_nb").select(*prepared.columns), keys, limit, current.select(*keys, "who", "rating"), rated)
             break
     return rated.whole(done.schema)
 
 
-def choose_scan(rows: DataFrame, keys: list[str], limit: int) -> str:
-    """Bounded groups when the longest history fits one, else waves (which turn to blocks where the history gets deep)."""
-    longest = rows.select(*keys).groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    return "grouped" if longest <= limit else "waves"
-
-
 def rate(
     contests: DataFrame,
     candidates: list[dict],
@@ -354,8 +345,9 @@ def rate(
     moves: bool = False,
     carry: list[str] = (),
     keys: list[str] = (),
-    strategy: str = "auto",
-    max_group_rows: int = MAX_GROUP_ROWS,
+    strategy: str = "grouped",
+    block_rows: int = BLOCK_ROWS,
+    min_wave_rows: int = MIN_WAVE_ROWS,
 ) -> DataFrame:
     """Ratings before and after every contest, for every parameter set.
 
@@ -364,11 +356,10 @@ def rate(
     """
     prepared = scan_input(contests, candidates, decay, moves, list(carry), list(keys))
     by = _group_keys(prepared, list(keys))
-    if strategy == "auto":
-        # sized on the unreplicated contests: every parameter set has the same rows
-        strategy = choose_scan(contests.withColumn("candidate_id", F.lit(0)), by, max_group_rows)
     if strategy == "grouped":
         return scan_grouped(prepared, by)
     if strategy == "blocks":
-        return scan_blocks(prepared, by, max_group_rows)
-    return scan_waves(prepared, by, max_group_rows)
+        return scan_blocks(prepared, by, block_rows)
+    if strategy == "waves":
+        return scan_waves(prepared, by, block_rows, min_wave_rows)
+    raise ValueError(f"unknown strategy {strategy!r}; use grouped, blocks or waves")

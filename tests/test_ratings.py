@@ -23,7 +23,7 @@ def test_grouped_scan_equals_row_by_row(spark):
 
 def test_blocks_equal_row_by_row_even_with_a_hot_player(spark):
     rows = contest_rows(60, hot="p0")
-    same(collected(R.rate(contests(spark, rows), [{"k": 32.0}], strategy="blocks", max_group_rows=25)), plain_scan(rows))
+    same(collected(R.rate(contests(spark, rows), [{"k": 32.0}], strategy="blocks", block_rows=25)), plain_scan(rows))
 
 
 def test_block_bounds_split_a_heavy_day(spark):
@@ -33,7 +33,7 @@ def test_block_bounds_split_a_heavy_day(spark):
     assert len(bounds) > 2
     sizes = prepared.withColumn("b", R._block_of(bounds)).groupBy("b").count().collect()
     assert sum(r["count"] for r in sizes) == 40 and max(r["count"] for r in sizes) <= 15
-    same(collected(R.rate(contests(spark, rows), [{"k": 32.0}], strategy="blocks", max_group_rows=15)), plain_scan(rows))
+    same(collected(R.rate(contests(spark, rows), [{"k": 32.0}], strategy="blocks", block_rows=15)), plain_scan(rows))
 
 
 def test_waves_equal_row_by_row(spark):
@@ -47,11 +47,11 @@ def test_waves_hand_the_rest_to_blocks(spark):
     same(collected(out), plain_scan(rows))
 
 
-def test_strategy_choice(spark):
-    p = R.scan_input(contests(spark, ROWS), [{"k": 32.0}])
-    assert R.choose_scan(p, ["candidate_id"], 1000) == "grouped"
-    assert R.choose_scan(p, ["candidate_id"], 10) == "waves"
-    same(collected(R.rate(contests(spark, ROWS), [{"k": 32.0}], max_group_rows=70)), plain_scan(ROWS))
+def test_strategies_agree_and_unknown_ones_are_refused(spark):
+    for strategy in ("grouped", "blocks", "waves"):
+        same(collected(R.rate(contests(spark, ROWS), [{"k": 32.0}], strategy=strategy, block_rows=70, min_wave_rows=5)), plain_scan(ROWS))
+    with pytest.raises(ValueError):
+        R.rate(contests(spark, ROWS), [{"k": 32.0}], strategy="auto")
 
 
 def test_partitioning_of_the_input_does_not_matter(spark):
