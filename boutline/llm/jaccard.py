@@ -185,8 +185,10 @@ def _members(batches):
 def _texts(width: int):
     def run(batches):
         for batch in batches:
-            keys = [_key(shingle_set(t, width)) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()), batch.column(0)], names=["k1", "k2", "text"])
+            texts = batch.column(0).to_pylist()
+            keys = [_key(shingle_set(t, width)) for t in texts]
+            packed = [zlib.compress(t.encode(), 1) for t in texts]  # these are shuffled a few times
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()), pa.array(packed, pa.binary())], names=["k1", "k2", "text"])
 
     return run
 
@@ -194,11 +196,11 @@ def _texts(width: int):
 def _verify(width: int, percent: int):
     def run(batches):
         for batch in batches:
-            good, latest = [], ("", None)
+            good, latest = [], (b"", None)
             for x, y in zip(batch.column("x_text").to_pylist(), batch.column("y_text").to_pylist()):
-                a = shingle_set(x, width)
+                a = shingle_set(zlib.decompress(x).decode(), width)
                 if latest[0] != y:
-                    latest = (y, shingle_set(y, width))
+                    latest = (y, shingle_set(zlib.decompress(y).decode(), width))
                 b = latest[1]
                 ok = min(len(a), len(b)) * 100 >= percent * max(len(a), len(b))
                 for seed in range(ORDERS):
@@ -238,7 +240,7 @@ def similar_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     ids = members.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"))
     # alike classes of equal size must share some first tokens; those of other sizes at least one
     wanted = ids.join(held.select("k1"), "k1", "left_semi")
-    texts = rows.join(wanted.select("doc_id").distinct(), rows.doc_id.eqNullSafe(wanted.doc_id), "left_semi").select("text").mapInArrow(_texts(width), "k1 long, k2 long, text string")
+    texts = rows.join(wanted.select("doc_id").distinct(), rows.doc_id.eqNullSafe(wanted.doc_id), "left_semi").select("text").mapInArrow(_texts(width), "k1 long, k2 long, text binary")
     texts = materialize(texts.join(wanted, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
