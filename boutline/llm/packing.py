@@ -170,10 +170,12 @@ def _dominated(counts: dict[int, int], lengths: list[int], left: int, chosen: Pa
     items = [x for x, m in chosen for _ in range(min(m, 2))]
     sums = set(items) | {a + b for i, a in enumerate(items) for b in items[i + 1 :]}
     for s in sums:
-        for more in range(left, 0, -1):
-            y = s + more
-            if counts.get(y, 0) - used.get(y, 0) > 0:
+        # lengths in (s, s + left], largest first
+        at = bisect_left(lengths, -(s + left), key=lambda x: -x)
+        while at < len(lengths) and lengths[at] > s:
+            if counts[lengths[at]] > used.get(lengths[at], 0):
                 return True
+            at += 1
     return False
 
 
