@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -64,7 +65,7 @@ class Crf:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Scores of distinct words; remembered up to a fixed number of words."""
-        if len(self.seen) > 200_000:
+        if len(self.seen) > 100_000:
             self.seen.clear()
         new = [w for w in words if w not in self.seen]
         if new:
@@ -251,12 +252,17 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", id: str =
 def predict(docs: DataFrame, model: Crf, text: str = "text", carry: list[str] | None = None, nested: bool = False) -> DataFrame:
     """``carry`` columns (or with ``nested`` one struct ``row`` of them) plus ``lang_pred`` and ``score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(carried(carry), F.col(text).alias("text"))
+    inside = text in (carry or [])  # the text travels once
+    rows = docs.select(carried(carry)) if inside else docs.select(carried(carry), F.col(text).alias("text"))
     schema = rows.select("row").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches):
         crf = shared.value
-        for batch in (part for whole in batches for part in slices(whole, 1)):
+        def pairs(batch):
+            found = pc.struct_field(batch.column(0), text) if inside else batch.column(1)
+            return pa.RecordBatch.from_arrays([batch.column(0), found], names=["row", "text"])
+
+        for batch in (part for whole in batches for part in slices(pairs(whole), 1, 2 << 20)):
             names, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
             lists = [words_of(t) for t in batch.column(1).to_pylist()]
             known = [i for i, w in enumerate(lists) if any(c.isalpha() for x in w for c in x)]
