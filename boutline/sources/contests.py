@@ -44,11 +44,12 @@ def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
 
 
 def _numbered(df: DataFrame, name: str) -> DataFrame:
-    """Row order as a long column ``name``: an own column of that name, else the order ``read_csv_text`` noted."""
+    """Row order as a long column ``name``: an own column of that name, else the order ``read_csv_text`` noted. A table with neither is
+    numbered as its partitions come, which is only as stable as they are."""
     if name in df.columns:
         return df.withColumn(name, F.col(name).cast("long")).drop(FILE_ORDER)
     if FILE_ORDER not in df.columns:
-        raise ValueError(f"no column {name}; read the file with read_csv_text or add one")
+        return df.withColumn(name, F.monotonically_increasing_id())
     place = W.partitionBy(F.col(f"{FILE_ORDER}.file"), F.col(f"{FILE_ORDER}.block")).orderBy(F.col(f"{FILE_ORDER}.row"))
     blocks = df.groupBy(F.col(f"{FILE_ORDER}.file").alias("_f"), F.col(f"{FILE_ORDER}.block").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
     before = blocks.select("_f", "_b", F.coalesce(F.sum("_n").over(W.orderBy("_f", "_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row per file block
