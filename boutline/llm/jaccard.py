@@ -265,7 +265,10 @@ def similar_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     fits = F.least("x_n", "y_n") * 100 >= F.lit(percent) * F.greatest("x_n", "y_n")
     once = F.col("y_major") | (F.col("x") < F.col("y"))
     crossing = few.join(every, "token").filter((F.col("x_label") != F.col("y_label")) & once & fits & (F.least("x_held", "y_held") >= shared))
-    second = crossing.groupBy("x", "y", "x_n", "y_n").agg(F.count(F.lit(1)).alias("votes")).filter(F.col("votes") >= shared).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    # x and y change places from bucket to bucket, as the majors do: a pair is counted without regard to that, once a bucket
+    swap = F.col("x") > F.col("y")
+    pair = crossing.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.when(swap, F.col("y_n")).otherwise(F.col("x_n")).alias("x_n"), F.when(swap, F.col("x_n")).otherwise(F.col("y_n")).alias("y_n"))
+    second = pair.groupBy("x", "y", "x_n", "y_n").agg(F.count(F.lit(1)).alias("votes")).filter(F.col("votes") >= shared).select("x", "y").distinct()
     all_links = links.unionAll(verified(second))
     final = components(all_links)
     named = final.select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), F.col("root.k1").alias("r1"), F.col("root.k2").alias("r2"))

@@ -58,3 +58,18 @@ def test_empty_table_and_texts_without_words(spark):
     assert similar_components(frame(spark, [])).count() == 0
     got = similar_components(frame(spark, [(1, None), (2, ""), (3, " ")])).collect()
     assert sorted(map(tuple, got)) == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]
+
+
+def test_link_at_the_threshold_between_groups_that_lead_in_different_buckets(spark):
+    def some(name, n):
+        return [f"{name}{i}" for i in range(n)]
+
+    # 200 words each; x and y share 184 of 216 and just 15 of their 31 rarest words. The first seven of these are in x's edit, the other eight in y's
+    base, common = some("base", 169), some("common", 15)
+    x, y = some("x", 16), some("y", 16)
+    sets = [base + common + x, base + common[:7] + x[:8] + some("p", 16), base + common + y, base + common[7:] + y[:8] + some("q", 15)]
+    sets += [some("p", 16) + some("q", 15) + some(f"own{k}w", 60) for k in range(10)]  # the edits' other words are frequent, so both edits are central
+    rows = [(i, " ".join(s)) for i, s in enumerate(sets)]
+    want = brute(rows, 1)
+    assert [c for _, _, c in want].count(0) == 4
+    assert sorted(map(tuple, similar_components(frame(spark, rows), width=1).collect())) == sorted(want)
