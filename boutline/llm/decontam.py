@@ -2,8 +2,8 @@
 
 Only built-in expressions are used. A document is split into words once; a window of an item's size can only be similar enough when
 it holds that many of the item's shingles, so a fixed-size bit table of benchmark shingles keeps whole documents out before anything
-is shuffled (false positives only cost time; the exact join that follows removes them). The alignments of shared shingles give the
-windows; each window gets a 64-bit SimHash, and windows meet items of their size in ``radius + 1`` fingerprint blocks: two
+is shuffled (false positives only cost time; the exact join that follows removes them). Every window with that many of the item's
+shingles, in whatever order, gets a 64-bit SimHash, and windows meet items of their size in ``radius + 1`` fingerprint blocks: two
 fingerprints within ``radius`` bits agree in at least one block, so none is missed. A pair is taken in its first common block only. The
 exact multiset similarity of the shingles (sum of smaller counts over sum of larger counts) decides.
 
@@ -93,15 +93,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, similari
     enough = F.filter(F.when(F.length(F.coalesce("text", F.lit(""))) > 0, marked), lambda s: F.size(s["hits"]) >= F.lit(least or 1))
     near = materialize(docs.select(F.col("doc_id"), F.xxhash64(text_or_empty()).alias("row_hash"), F.inline(enough)))
 
-    item_shingles = items.select("item_id", "m", "need", F.posexplode("shingles").alias("ipos", "h"))
+    item_shingles = items.select("item_id", "m", "need", F.explode(F.array_distinct("shingles")).alias("h"))
     hits = near.select("doc_id", "row_hash", F.size("sh").alias("n"), F.explode("hits").alias("pos"), F.col("sh").alias("sh")).select("doc_id", "row_hash", "n", "pos", F.get("sh", F.col("pos")).alias("h"))
-    shared = hits.join(_small(item_shingles, n_shingles or 0), "h").select(
-        "doc_id", "row_hash", "item_id", "m", "need", "pos", F.greatest(F.lit(0), F.least(F.col("pos") - F.col("ipos"), F.col("n") - F.col("m"))).alias("start")
-    )
-    lined = shared.groupBy("doc_id", "row_hash", "item_id", "m", "need").agg(F.collect_set("pos").alias("at"), F.collect_set("start").alias("starts")).filter(F.size("at") >= F.col("need"))
-    starts = lined.select("doc_id", "row_hash", "m", "need", "at", F.explode("starts").alias("start")).filter(
-        F.size(F.filter("at", lambda p: (p >= F.col("start")) & (p < F.col("start") + F.col("m")))) >= F.col("need")
-    )
+    shared = hits.join(_small(item_shingles, n_shingles or 0), "h")
+    lined = shared.groupBy("doc_id", "row_hash", "item_id", "n", "m", "need").agg(F.array_sort(F.collect_set("pos")).alias("at")).filter(F.size("at") >= F.col("need"))
+
+    def window_starts(j: Column) -> Column:
+        """Starts behind known position j - 1 and not behind j whose window also holds the need-th known position from j on."""
+        lo = F.greatest(F.coalesce(F.get("at", j - 1) + 1, F.lit(0)), F.get("at", j + F.col("need") - 1) - F.col("m") + 1, F.lit(0))
+        hi = F.least(F.get("at", j), F.greatest(F.col("n") - F.col("m"), F.lit(0)))
+        return F.when(lo <= hi, F.sequence(lo, F.greatest(lo, hi))).otherwise(F.array().cast("array<int>"))
+
+    every = F.flatten(F.transform(F.sequence(F.lit(0), F.size("at") - F.col("need")), window_starts))
+    starts = lined.select("doc_id", "row_hash", "m", F.explode(every).alias("start"))
     starts = starts.groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("m", "start")).alias("windows"))
     a, b = near.alias("a"), starts.alias("b")
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.row_hash") == F.col("b.row_hash"))

@@ -50,3 +50,19 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
     assert contaminated(frame(spark, []), bench).count() == 0
     assert contaminated(frame(spark, [(1, "a b c d e f g")]), bench.limit(0)).count() == 0
+
+
+def test_passages_with_moved_parts(spark):
+    rng = random.Random(5)
+    items = [(i, prose(rng, n, 5000)) for i, n in enumerate([59, 59, 75, 100, 140])]
+    rows = []
+    for i in range(40):
+        item, text = items[i % 5]
+        w = text.split()
+        cuts = [0, *sorted(rng.sample(range(8, len(w) - 8), 1 if len(w) < 100 else 2)), len(w)]
+        parts = [w[a:b] for a, b in zip(cuts, cuts[1:])][::-1]
+        rows.append((i, prose(rng, rng.randrange(90), 5000) + " " + " ".join(sum(parts, [])) + " " + prose(rng, rng.randrange(90), 5000)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute(rows, items)
+    assert len(want) > 30
+    assert {(r.doc_id, r.item_id) for r in contaminated(frame(spark, rows), bench).collect()} == want
