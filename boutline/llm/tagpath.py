@@ -2,9 +2,10 @@
 
 Every text node has a root-to-leaf tag path. Per path the page's text length and punctuation are added up and divided by the
 number of its nodes; both ratios are smoothed over the paths in page order, fused by a geometric mean, and paths at or above a
-share of the page's deviation from zero are content. The content's container is the article (or main) element around the best paths,
-else the deepest element around all of them. Text in the container is returned whole, without what its tags, roles or class
-names mark as page furniture.
+share of the page's deviation from zero are content. That decides on pages without an article or main element only: there the content's
+container is the deepest element around all of these paths, and if that is the whole page, headings, paragraphs, quotes and
+preformatted blocks are taken whatever their ratios. On other pages all article and main elements are the containers. Text in a
+container is returned whole, without what its tags, roles or class names mark as page furniture.
 
 A page is one row and is handled on its own, so nothing is shuffled. Defined cases: null, empty or text-free html gives an empty text;
 text outside any element counts as a block; unclosed and stray tags are closed or skipped as browsers do; repeated rows are
@@ -168,16 +169,9 @@ def main_text(html: str | None, share: float = 0.5) -> str:
     length = _smooth([p[0] / p[2] for p in paths.values()])
     marks = _smooth([p[1] / p[2] for p in paths.values()])
     fused = dict(zip(paths, (math.sqrt(x * (y + 1)) for x, y in zip(length, marks))))
-    in_main = [e for e, _ in blocks if e.main]
-    if in_main:
-        # the semantic container whose paths weigh most
-        weight: dict[int, float] = {}
-        for e, text in blocks:
-            if e.main:
-                weight[id(e.main)] = weight.get(id(e.main), 0) + fused[e.path] * len(text)
-        best = max(weight, key=weight.get)
-        chosen = max(weight.values()) * 0.2
-        return " ".join(t for e, t in blocks if e.main and (id(e.main) == best or weight[id(e.main)] >= chosen))
+    if any(e.main for e, _ in blocks):
+        # every semantic container is content as a whole, however little it weighs
+        return " ".join(t for e, t in blocks if e.main)
     threshold = share * math.sqrt(sum(v * v for v in fused.values()) / len(fused))
     content = [e for e, _ in blocks if fused[e.path] >= threshold]
 

@@ -29,3 +29,9 @@ def test_extract_keeps_rows_and_clashing_columns(spark):
         assert r.n_chars == len(r.text)
         assert r.page_id is None or r.text == PAGES[r.page_id][1]
     assert extract(pages.limit(0), "html", ["page_id"]).count() == 0
+
+
+def test_short_article_beside_a_long_one_and_page_without_article():
+    long = "A long sentence, with commas, that goes on. " * 20
+    assert main_text(f"<article><p>{long}</p></article><article><p>Short one.</p></article>") == f"{long.strip()} Short one."
+    assert main_text(f"<body><div><span>Top</span></div><div class='content'><div>{long}</div><div>Tail.</div></div></body>") == f"{long.strip()} Tail."
