@@ -34,8 +34,8 @@ SIDE_BITS = 10
 SIDE = 1 << SIDE_BITS
 FULL = 1 << (2 * SIDE_BITS - 3)  # pairs of one buffer that make a tile dense
 TILES = 8  # dense tiles a task keeps between buffers
-BUFFER = 1 << 21  # words counted at once
-OWN = 1 << 19  # words a task numbers itself before it starts anew
+BUFFER = 1 << 20  # words counted at once
+OWN = 1 << 18  # words a task numbers itself before it starts anew
 WORD_BITS, PAIR_BITS = 23, 26  # sizes of the bit tables
 NONE = -1  # id of a border and of words that cannot be part of a phrase
 
