@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from .prefix import month_slice, running
+from .prefix import month_slice, place, running
 from .ratings import sides
 
 
@@ -73,7 +73,9 @@ def as_of(
     a = probes.select(*keys, "day", F.struct(*cols).alias("_probe"))
     b = known.select(*keys, "day", payload.alias("_known"))
     stream = a.unionByName(b, allowMissingColumns=True).withColumn("_kind", F.col("_known").isNotNull().cast("int"))
-    seen = running(stream, keys, slice_of("day"), ["day", "_kind"], {"_last": ("max", F.col("_known"))})
+    # rows of one day and kind may come in any order, so a crowded day is cut by a hash
+    spread = F.pmod(F.xxhash64("_probe", "_known"), F.lit(1 << 30)) + F.col("_kind") * (1 << 30)
+    seen = running(stream, keys, slice_of("day"), ["day", "_kind"], {"_last": ("max", F.col("_known"))}, fine=place("day", spread))
     found = seen.filter(F.col("_kind") == 0)
     return found.select(*[F.col(f"_probe.{c}").alias(c) for c in cols], *[F.col(f"_last.{n}").alias(n) for n in values])
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import buckets as B
 from ..functions import scalar as S
 from ..session import materialize
-from .prefix import day_slice, running, value_slices
+from .prefix import day_slice, place, running, sliced, value_slices
 
 PICK_EPS = 1e-15
 BET_EPS = 1e-10
@@ -226,11 +226,11 @@ def roi_by_decile(bets: DataFrame, keys: list[str] = ()) -> DataFrame:
 def drawdown_series(bets: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Cumulative profit, its running peak and the drawdown after each bet, in (day, seq) order.
 
-    Two-level: inside a day with a window, across days with one total row per day. The running peak starts at the first
+    Two-level: inside a day (or part of a crowded one) with a window, across these with one total row each. The running peak starts at the first
     value, so a first loss is not a drawdown.
     """
     keys = list(keys)
-    rows = bets.select(*keys, "day", "seq", "profit", day_slice("day").alias("_slice"))
+    rows = sliced(bets.select(*keys, "day", "seq", "profit"), keys, day_slice("day"), place("day", "seq"))
     w = W.partitionBy(*keys, "_slice").orderBy("day", "seq").rowsBetween(W.unboundedPreceding, 0)
     local = rows.withColumn("_local", F.sum("profit").over(w)).withColumn("_top", F.max("_local").over(w))
     totals = local.groupBy(*keys, "_slice").agg(F.sum("profit").alias("_sum"), F.max("_local").alias("_high"))

@@ -73,6 +73,20 @@ def oos_predictions(rated: DataFrame, trained: DataFrame, holdout: DataFrame, ca
     )
 
 
+def oos_grid(vectors: DataFrame, trained: DataFrame, holdout: DataFrame, candidates: int, match: bool = True) -> DataFrame:
+    """``oos_predictions`` for many candidates: each holdout contest looks up one vector of frozen ratings per side (from ``rate_vectors``) and
+    only the comparison is made per candidate."""
+    known = decided(holdout)
+    if match:
+        known = H.rename_by_match(known, H.players(trained))
+    faced = ratings_as_of(known, H.history(vectors))
+    base = F.array_repeat(F.lit(S.BASE_RATING), candidates)
+    both = F.arrays_zip(F.coalesce("rating", base).alias("rating"), F.coalesce("opp_rating", base).alias("opp_rating"))
+    rows = faced.select("seq", "result", F.posexplode(both).alias("candidate_id", "_v")).select("candidate_id", "seq", "result", "_v.rating", "_v.opp_rating")
+    picked = (F.col("rating") > F.col("opp_rating")).cast("int")
+    return rows.withColumn("picked", picked).withColumn("correct", (picked == F.col("result")).cast("int"))
+
+
 def oos_accuracy(preds: DataFrame, gap: float | None = None, keys: list[str] = ("candidate_id",)) -> DataFrame:
     wide = F.abs(F.col("rating") - F.col("opp_rating")) >= (gap or 0.0)
     return preds.groupBy(*keys).agg(

@@ -1,14 +1,13 @@
 """The rating scan: an order-dependent recurrence over contests.
 
-Everything a contest contributes on its own (score, effective K, decay and weight-move factors) is an ordinary column
-computed by Spark beforehand. What is left is the recurrence itself, which exists in three exact forms. The caller names the one
-that suits the history (``strategy``); no table is counted to choose.
+Everything a contest contributes on its own (score, method, decay and weight-move factors) is an ordinary column computed by Spark
+beforehand. What is left is the recurrence itself. All queries use ``blocks``; the other forms are exact as well and named by the caller.
 
-* ``grouped`` - one group per key (candidate, split, league); keys run in parallel. For histories that fit a task.
-* ``blocks``  - a history is cut into consecutive blocks of ``block_rows`` contests. Each block is a bounded co-group of its contests with
-  the ratings of the players who take part in it; the state table is written to the shared folder between blocks.
+* ``blocks``  - consecutive blocks of contests, played by connected players with one vector of all candidates' ratings per player (see
+  ``scan``); the players' vectors are written to the shared folder between blocks.
+* ``grouped`` - one group per key (candidate, split, league), for short histories only.
 * ``waves``   - contests whose two players have no earlier open contest are rated together by joins, wave by wave and without
-  Python, while a wave has ``min_wave_rows``; what remains (the chains of a few busy players) goes through ``blocks``.
+  Python, while a wave has ``min_wave_rows``; what remains (the chains of a few busy players) is played in blocks per candidate.
 """
 
 from __future__ import annotations
@@ -25,8 +24,8 @@ from pyspark.sql.types import StructType
 from ..functions import scalar as S
 from ..session import StepTable, materialize, shared_dir
 from .prefix import month_slice, running
+from .scan import BLOCK_ROWS, BLOCK_VALUES, VectorScan, unfold
 
-BLOCK_ROWS = 2_000_000  # contests per key in a block: what one task holds
 MIN_WAVE_ROWS = 20_000  # contests below which a wave of joins costs more than playing them in order
 
 # Columns of a parameter set and what an absent one means.
@@ -117,46 +116,76 @@ def idle_days(contests: DataFrame) -> DataFrame:
     return both_sides(contests, gaps, ["idle"])
 
 
-def scan_input(contests: DataFrame, candidates: list[dict], decay: bool = False, moves: bool = False, carry: list[str] = (), keys: list[str] = ()) -> DataFrame:
-    """Thin scan input keyed by candidate. Contests with no result that are not draws are left out."""
-    # contests without a result count for idle days and weights, though they are not rated
+def _base_rows(contests: DataFrame, decay: bool, moves: bool) -> DataFrame:
+    """Contests the scan plays, with idle days and weight moves. Those with no result that are not draws are left out, but count before that."""
     base = contests
     if decay:
         base = idle_days(base)
     if moves:
         base = weight_moves(base)
-    base = base.filter(F.col("result").isNotNull() | F.col("is_draw"))
-    base = base.withColumn("method", S.method_code())
-    rows = with_candidates(base, candidates)
-    multiplier = F.when(F.col("c.use_method") == 1.0, S.multiplier_of_code("method", {m: F.col(f"c.w_{m}") for m in S.MULTIPLIER_ORDER})).otherwise(1.0)
-    score = F.when(F.col("is_draw"), S.DRAW_K_FACTOR).otherwise(F.col("result"))
-    keff = F.col("c.k") * multiplier * F.when(F.col("is_draw"), S.DRAW_K_FACTOR).otherwise(1.0)
+    return _played(base)
+
+
+def _played(contests: DataFrame) -> DataFrame:
+    return contests.filter(F.col("result").isNotNull() | F.col("is_draw"))
+
+
+def _score() -> Column:
+    return F.when(F.col("is_draw"), S.DRAW_K_FACTOR).otherwise(F.col("result"))
+
+
+def _factors(c, decay: bool, moves: bool) -> dict[str, Column]:
+    """Idle factors and bonuses of both sides under a parameter set whose fields ``c(name)`` gives."""
     one = F.lit(1.0)
 
     def idle_factor(p: str) -> Column:
         if not decay:
             return one
-        phased = S.multiphase_factor(p + "idle", F.col("c.quick_days"), F.col("c.quick_bump"), F.col("c.decay_days"), F.col("c.phase_rate"))
-        plain = F.when(F.col("c.decay_rate") > 0, S.decay_factor(F.col("c.decay_mode"), p + "idle", F.col("c.decay_rate"), F.col("c.min_days"))).otherwise(1.0)
-        return F.when(F.col("c.multiphase") == 1.0, phased).otherwise(plain)
+        phased = S.multiphase_factor(p + "idle", c("quick_days"), c("quick_bump"), c("decay_days"), c("phase_rate"))
+        plain = F.when(c("decay_rate") > 0, S.decay_factor(c("decay_mode"), p + "idle", c("decay_rate"), c("min_days"))).otherwise(1.0)
+        return F.when(c("multiphase") == 1.0, phased).otherwise(plain)
 
     def moved(p: str) -> Column:
-        return (F.col("c.weight_moves") == 1.0) & (F.col(p + "moved_up") == 1) if moves else F.lit(False)
+        return (c("weight_moves") == 1.0) & (F.col(p + "moved_up") == 1) if moves else F.lit(False)
 
     def penalty(p: str) -> Column:
-        return F.when(moved(p), F.col("c.up_penalty")).otherwise(1.0) if moves else one
+        return F.when(moved(p), c("up_penalty")).otherwise(1.0) if moves else one
 
     def bonus(p: str, won: float) -> Column:
-        return F.when(moved(p) & (score == won), F.col("c.up_bonus")).otherwise(1.0) if moves else one
+        return F.when(moved(p) & (_score() == won), c("up_bonus")).otherwise(1.0) if moves else one
+
+    return {"_fa": idle_factor("") * penalty(""), "_fb": idle_factor("opp_") * penalty("opp_"), "_ba": bonus("", 1.0), "_bb": bonus("opp_", 0.0)}
+
 
+def scan_input(contests: DataFrame, candidates: list[dict], decay: bool = False, moves: bool = False, carry: list[str] = (), keys: list[str] = ()) -> DataFrame:
+    """Thin scan input keyed by candidate."""
+    rows = with_candidates(_base_rows(contests, decay, moves).withColumn("method", S.method_code()), candidates)
+    multiplier = F.when(F.col("c.use_method") == 1.0, S.multiplier_of_code("method", {m: F.col(f"c.w_{m}") for m in S.MULTIPLIER_ORDER})).otherwise(1.0)
+    keff = F.col("c.k") * multiplier * F.when(F.col("is_draw"), S.DRAW_K_FACTOR).otherwise(1.0)
     return rows.select(
-        *keys, "candidate_id", "seq", "day", "player", "opponent", *carry,
-        score.alias("_s"), keff.alias("_k"), F.col("c.scale").alias("_scale"),
-        (idle_factor("") * penalty("")).alias("_fa"), (idle_factor("opp_") * penalty("opp_")).alias("_fb"),
-        bonus("", 1.0).alias("_ba"), bonus("opp_", 0.0).alias("_bb"),
+        *keys, "candidate_id", "seq", "day", "player", "opponent", *carry, _score().alias("_s"), keff.alias("_k"), F.col("c.scale").alias("_scale"),
+        *[v.alias(n) for n, v in _factors(lambda n: F.col(f"c.{n}"), decay, moves).items()],
     )
 
 
+def vector_scan(contests: DataFrame, candidates: list[dict], decay: bool = False, moves: bool = False, carry: list[str] = (), keys: list[str] = ()) -> VectorScan:
+    """Scan input with one row per contest: candidates are a K table by method, a scale each and, with decay or moves, arrays of factors."""
+    full = [{**CANDIDATE_DEFAULTS, **c} for c in candidates]
+    # rows of the K table: the methods in the multiplier's order, none, and then all of these for draws
+    k = np.array([[c["k"] * (1.0 if m is None or c["use_method"] != 1.0 else c[f"w_{m}"]) for c in full] for m in (*S.MULTIPLIER_ORDER, None)], dtype=float)
+    k = np.concatenate([k, k * S.DRAW_K_FACTOR])
+    methods = len(S.MULTIPLIER_ORDER)
+    method = S.first_match([(S.method_hit(m), F.lit(i)) for i, m in enumerate(S.MULTIPLIER_ORDER)], methods) + F.when(F.col("is_draw"), methods + 1).otherwise(0)
+    base, factors = _base_rows(contests, decay, moves), []
+    if decay or moves:
+        table = F.from_json(F.lit(json.dumps([{"candidate_id": i, **c} for i, c in enumerate(full)])), _CANDIDATE_TYPE)
+        each = F.transform(table, lambda c: F.struct(*[v.alias(n) for n, v in _factors(lambda field: c[field], decay, moves).items()]))
+        base = base.withColumn("_f", each)
+        factors = [F.col(f"_f.{n}").alias(n) for n in ("_fa", "_fb", "_ba", "_bb")]
+    rows = base.select(*keys, "seq", "day", "player", "opponent", *carry, _score().alias("_s"), method.cast("int").alias("_m"), *factors)
+    return VectorScan(rows, list(keys), k, np.array([float(c["scale"]) for c in full]), bool(factors))
+
+
 _OUT = ("pre", "opp_pre", "post", "opp_post", "adj_pre", "adj_opp_pre")
 _WORK = ("_s", "_k", "_scale", "_fa", "_fb", "_ba", "_bb")
 
@@ -206,7 +235,8 @@ def block_bounds(prepared: DataFrame, keys: list[str], limit: int) -> list[tuple
 
     The driver sees one row per calendar day, plus cut points inside days that alone exceed the limit.
     """
-    per_day = prepared.groupBy(*keys, "day").count().groupBy("day").agg(F.max("count").alias("n"), F.sum("count").alias("total")).orderBy("day").collect()
+    per_day = prepared.groupBy(*keys, "day").count().groupBy("day").agg(F.max("count").alias("n"), F.sum("count").alias("total")).collect()
+    per_day.sort(key=lambda r: r["day"])
     heavy = {r["day"]: -(-2 * r["n"] // limit) for r in per_day if r["n"] > limit}
     cuts = {}
     for day, parts in heavy.items():
@@ -238,12 +268,11 @@ def _block_of(bounds: list[tuple]) -> Column:
     return F.element_at(inside, 1)["b"]
 
 
-def _write_blocks(prepared: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame, int]:
-    bounds = block_bounds(prepared, keys, limit)
+def _write_blocks(prepared: DataFrame, bounds: list[tuple]) -> DataFrame:
     path = f"{shared_dir(prepared.sparkSession).rstrip('/')}/boutline-blocks-{uuid.uuid4().hex}"
     tagged = prepared.withColumn("_block", _block_of(bounds))
     tagged.write.partitionBy("_block").parquet(path)
-    return prepared.sparkSession.read.schema(tagged.schema).parquet(path), len(bounds)
+    return prepared.sparkSession.read.schema(tagged.schema).parquet(path)
 
 
 def _next_state(state: DataFrame | None, fresh: DataFrame, keys: list[str]) -> DataFrame:
@@ -255,7 +284,8 @@ def _next_state(state: DataFrame | None, fresh: DataFrame, keys: list[str]) -> D
 
 def _play_blocks(rows: DataFrame, keys: list[str], limit: int, state: DataFrame | None, rated: StepTable) -> StructType:
     """Play ``rows`` in order, block by block, starting from ``state`` (keys, who, rating)."""
-    blocks, n = _write_blocks(rows, keys, limit)
+    bounds = block_bounds(rows, keys, limit)
+    blocks, n = _write_blocks(rows, bounds), len(bounds)
     schema = _rated_schema(rows)
     for b in range(n):
         part = blocks.filter(F.col("_block") == b).drop("_block")
@@ -280,9 +310,23 @@ def _play_blocks(rows: DataFrame, keys: list[str], limit: int, state: DataFrame
     return done.schema
 
 
-def scan_blocks(prepared: DataFrame, keys: list[str], limit: int = BLOCK_ROWS) -> DataFrame:
-    rated = StepTable(prepared.sparkSession)
-    return rated.whole(_play_blocks(prepared, keys, limit, None, rated))
+def rate_vectors(
+    contests: DataFrame, candidates: list[dict], decay: bool = False, moves: bool = False, carry: list[str] = (), keys: list[str] = (), block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """One row per contest: ``pre``, ``opp_pre``, ``post`` and ``opp_post`` (with decay or moves also ``adj_pre``, ``adj_opp_pre``) are arrays, one
+    number per candidate in order. What does not depend on the candidate is best done on these rows, before ``unfold``.
+
+    Played in blocks of connected players; see ``scan``. Days are counted on the contests alone, before anything is computed for them.
+    """
+    keys = list(keys)
+    scan = vector_scan(contests, candidates, decay, moves, list(carry), keys)
+    limit = max(1, min(block_rows, BLOCK_VALUES // max(1, len(candidates))))
+    thin = _played(contests)
+    if thin.count() <= limit:
+        return scan.play(scan.rows, None, thin)
+    bounds = block_bounds(thin, keys, limit)
+    tagged = _write_blocks(scan.rows, bounds)
+    return scan.whole([tagged.filter(F.col("_block") == b).drop("_block") for b in range(len(bounds))])
 
 
 def _numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -345,7 +389,7 @@ def rate(
     moves: bool = False,
     carry: list[str] = (),
     keys: list[str] = (),
-    strategy: str = "grouped",
+    strategy: str = "blocks",
     block_rows: int = BLOCK_ROWS,
     min_wave_rows: int = MIN_WAVE_ROWS,
 ) -> DataFrame:
@@ -354,12 +398,10 @@ def rate(
     ``carry`` names contest columns to take along; anything else is joined back by ``seq``. ``keys`` are extra scan keys
     already present in ``contests`` (a split or a league), each starting from the base rating.
     """
+    if strategy == "blocks":
+        return unfold(rate_vectors(contests, candidates, decay, moves, carry, keys, block_rows), list(keys), list(carry))
+    if strategy not in ("grouped", "waves"):
+        raise ValueError(f"unknown strategy {strategy!r}; use blocks, grouped or waves")
     prepared = scan_input(contests, candidates, decay, moves, list(carry), list(keys))
     by = _group_keys(prepared, list(keys))
-    if strategy == "grouped":
-        return scan_grouped(prepared, by)
-    if strategy == "blocks":
-        return scan_blocks(prepared, by, block_rows)
-    if strategy == "waves":
-        return scan_waves(prepared, by, block_rows, min_wave_rows)
-    raise ValueError(f"unknown strategy {strategy!r}; use grouped, blocks or waves")
+    return scan_grouped(prepared, by) if strategy == "grouped" else scan_waves(prepared, by, block_rows, min_wave_rows)

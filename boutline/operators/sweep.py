@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,7 +14,8 @@ from ..sources.contests import FLAGS
 from . import bets as K
 from . import consistency as C
 from . import metrics as M
-from .ratings import bout_counts, rate
+from .ratings import bout_counts, rate, rate_vectors
+from .scan import unfold
 
 KEYS = ["candidate_id"]
 
@@ -32,10 +33,14 @@ def k_grid(low: int = 10, high: int = 500, step: int = 10) -> list[dict]:
     return [{"k": float(k), "use_method": float(m)} for m in (1, 0) for k in range(low, high, step)]
 
 
-def grid_accuracy(rated: DataFrame, source: DataFrame, cutoff) -> DataFrame:
-    """Accuracy overall and after a cutoff for each candidate."""
-    p = K.predictions(rated, source)
-    late = F.col("played_at") > cutoff
+def grid_accuracy(contests: DataFrame, candidates: list[dict], cutoff: Column, moment: Column) -> DataFrame:
+    """Accuracy overall and after a cutoff of ``moment`` for each candidate. Which contests count is decided once per contest; only the
+    comparison of the two ratings is made per candidate."""
+    vectors = rate_vectors(contests, candidates, carry=["result", "is_draw", "played_at"])
+    counted = K.with_prior_history(K.decided(vectors), contests).withColumn("late", moment > cutoff)
+    p = unfold(counted, carry=["result", "late"]).filter(F.col("pre") != F.col("opp_pre"))
+    p = p.withColumn("correct", ((F.col("pre") > F.col("opp_pre")).cast("int") == F.col("result")).cast("int"))
+    late = F.col("late")
     return p.groupBy(*KEYS).agg(F.avg("correct").alias("accuracy"), F.avg(F.when(late, F.col("correct"))).alias("later_accuracy"), F.count_if(late).alias("later_rows"))
 
 

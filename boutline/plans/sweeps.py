@@ -36,13 +36,12 @@ gr AS (SELECT candidate_id, avg(correct) AS accuracy, avg(correct) FILTER (WHERE
 def k_grid_sweep(t):
     c = materialize(t.events_contests())
     cut = exact_quantiles(c.select(S.epoch_micros("played_at").alias("x")), "x", [0.8]).scalar()
-    rated = R.rate(c, GRID, carry=["result", "is_draw", "played_at"]).withColumn("played_at", S.epoch_micros("played_at"))
-    g = Z.grid_accuracy(rated, c, cut)
+    g = Z.grid_accuracy(c, GRID, cut, S.epoch_micros("played_at"))
     params = c.sparkSession.createDataFrame([(i, x["k"], x["use_method"]) for i, x in enumerate(GRID)], "candidate_id int, k double, use_method double")
     return _rounded(Z.best_of(g.join(F.broadcast(params), "candidate_id"), "later_accuracy", ["use_method"]))
 
 
-OOS_GRID = Z.k_grid(20, 400, 40)
+OOS_GRID = Z.k_grid()
 
 
 @query(
@@ -52,7 +51,7 @@ OOS_GRID = Z.k_grid(20, 400, 40)
 def k_oos_sweep(t):
     c = materialize(t.orders_contests())
     train = train_part(c)
-    p = O.oos_predictions(R.rate(train, OOS_GRID), train, t.holdout(c, HOLD_DAYS), OOS_GRID, min_bouts=0, match=False)
+    p = O.oos_grid(R.rate_vectors(train, OOS_GRID), train, t.holdout(c, HOLD_DAYS), len(OOS_GRID), match=False)
     return _rounded(O.oos_accuracy(p).select("candidate_id", "n", "accuracy"))
 
 

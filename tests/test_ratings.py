@@ -117,3 +117,63 @@ def test_bout_counts(spark):
         want[r[0]] = (seen.get(a, 0), seen.get(b, 0))
         seen[a], seen[b] = seen.get(a, 0) + 1, seen.get(b, 0) + 1
     assert got == want
+
+
+def split_rows(n=90):
+    """Two sets of players who never meet."""
+    left = contest_rows(n, players=6, seed=3)
+    right = [(r[0] + 10_000, r[1], r[2], "q" + r[3], "q" + r[4], *r[5:]) for r in contest_rows(n, players=6, seed=4)]
+    return left + right
+
+
+def test_one_history_is_played_in_several_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from boutline.operators import scan
+
+    rows = [(r[0] + 1000 * g, r[1], r[2], f"{g}{r[3]}", f"{g}{r[4]}", *r[5:]) for g in range(12) for r in contest_rows(20, seed=g)]
+    c = contests(spark, rows)
+    vectors = R.rate_vectors(c, [{"k": 32.0}, {"k": 64.0}])
+    tasks = vectors.withColumn("task", F.spark_partition_id()).select("task", "seq").collect()
+    assert len({r["task"] for r in tasks}) > 1 and len(tasks) == len(rows)
+    bins = {r["who"]: r["_bin"] for r in scan.connected_bins(c, []).collect()}
+    assert len(set(bins.values())) > 1
+    assert all(bins[r[3]] == bins[r[4]] for r in rows)
+    same(collected(scan.unfold(vectors).filter("candidate_id = 0")), plain_scan(rows))
+
+
+@pytest.mark.parametrize("candidates", [1, 3, 30])
+def test_vectors_across_blocks_equal_row_by_row(spark, candidates):
+    from pyspark.sql import functions as F
+
+    rows = split_rows()
+    ks = [20.0 + 7 * i for i in range(candidates)]
+    out = R.rate(contests(spark, rows), [{"k": k} for k in ks], block_rows=70).cache()
+    for i in {0, candidates // 2, candidates - 1}:
+        same(collected(out.filter(F.col("candidate_id") == i)), plain_scan(rows, ks[i]))
+
+
+def test_candidates_are_not_unfolded_before_the_shuffle(spark):
+    plan = R.rate_vectors(contests(spark, ROWS), [{"k": float(k)} for k in range(10, 500, 10)])._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
+
+
+@pytest.mark.parametrize("few", [2, 40])
+def test_vectors_with_decay_and_moves_equal_the_grouped_form(spark, few):
+    from pyspark.sql import functions as F
+
+    cands = [{"k": 32.0 + i, "decay_mode": ["linear", "exponential", "none"][i % 3], "decay_rate": 0.01, "min_days": 5.0, "weight_moves": float(i % 2), "up_penalty": 0.9, "up_bonus": 1.1, "scale": 300.0 + i} for i in range(few)]
+    c = contests(spark, contest_rows(40, players=5))
+    keys = ["candidate_id", "seq"]
+    names = [*keys, "pre", "opp_pre", "post", "opp_post", "adj_pre", "adj_opp_pre"]
+    a = R.rate(c, cands, decay=True, moves=True, block_rows=25).select(*names).orderBy(*keys).collect()
+    b = R.rate(c, cands, decay=True, moves=True, strategy="grouped").select(*names).orderBy(*keys).collect()
+    assert len(a) == len(b) == 40 * few
+    for x, y in zip(a, b):
+        assert tuple(x) == pytest.approx(tuple(y), abs=1e-9)
+
+
+def test_vectors_of_an_empty_history(spark):
+    c = contests(spark, ROWS).filter("seq < 0")
+    assert R.rate(c, [{"k": 32.0}]).collect() == []
+    assert R.rate(c, [{"k": 32.0}], decay=True).collect() == []
