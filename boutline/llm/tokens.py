@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -82,8 +83,10 @@ class Encoder:
         for w in words:
             core = w.rstrip(TAIL)
             tail = w[len(core) :]
-            if core.isalpha():
-                if core.isascii():
+            ascii_ = core.isascii()
+            # a letter may become a letter and a mark when lower-cased or composed, and the mark would join the punctuation
+            if core.isalpha() and (ascii_ or (core.lower().isalpha() and unicodedata.normalize("NFC", core).isalpha())):
+                if ascii_:
                     core = core.lower()
                 if core not in self.known:
                     single[core] = None

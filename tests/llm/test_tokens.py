@@ -1,6 +1,7 @@
 import collections
 import itertools
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -130,3 +131,38 @@ def test_pack_places_every_piece(spark):
             at += r.length
         assert at <= 64
     assert packing.pack(frame(spark, []), default_path()).count() == 0
+
+
+def test_every_letter_next_to_punctuation_gives_the_library_s_ids():
+    """Letters may turn into several characters when lower-cased or composed."""
+    import sys
+
+    letters = [c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalpha()]
+    odd = [c for c in letters if not c.lower().isalpha() or not unicodedata.normalize("NFC", c).isalpha()]
+    assert "\u0130" in odd
+    tool = encoder(default_path())
+    texts = [f"M{c}? {c}. x{c}\"" for c in odd] + [" ".join(f"{c}," for c in letters[i : i + 200]) for i in range(0, len(letters), 200)]
+    texts += ["M\u0130?", "K\u0130.", "DE\u011e\u0130L M\u0130?", "a\u0307\u0323! \u1e9b\u0323."]
+    ids, counts = tool.encode(pa.array(texts))
+    at = 0
+    for text, n in zip(texts, counts.tolist()):
+        assert ids[at : at + n].tolist() == library(text), text[:40]
+        at += n
+
+
+def test_search_keeps_one_table_of_counts():
+    import tracemalloc
+
+    rng = random.Random(5)
+    counts = {k: rng.randint(1, 150) for k in rng.sample(range(1, 4096), 2400)}
+    tracemalloc.start()
+    got = packing.solve(counts, 4096, nodes=1500)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
+    held = collections.Counter()
+    for pattern, copies in got:
+        assert sum(x * m for x, m in pattern) <= 4096
+        for x, m in pattern:
+            held[x] += m * copies
+    assert held == collections.Counter(counts)
