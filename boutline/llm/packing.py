@@ -191,19 +191,26 @@ class _Search:
         self._descend(dict(counts), sorted(counts, reverse=True))
         return self.best
 
-    def _descend(self, counts: dict[int, int], lengths: list[int]) -> None:
-        """Depth first; the latest choices are revised first. Patterns so far are linked pairs (earlier ones, latest)."""
-        stack = [(counts, lengths, None, 0, 0)]
+    def _descend(self, counts: dict[int, int], every: list[int]) -> None:
+        """Depth first; the latest choices are revised first. One table of counts serves all nodes: a choice is subtracted when its turn
+        comes, and what was chosen below another branch is added back before that, so a waiting node is its pattern and a few numbers."""
         total = sum(k * v for k, v in counts.items())
+        stack: list[tuple[int, Pattern, int, int, int]] = [(0, (), 0, 0, 0)]
+        chosen: list[tuple[Pattern, int]] = []
         while stack and self.nodes > 0 and self.best_bins > self.lower:
-            counts, lengths, done, bins, waste = stack.pop()
-            lengths = [x for x in lengths if counts[x]]
+            depth, pattern, times, bins, waste = stack.pop()
+            while len(chosen) > depth:
+                for k, m in chosen[-1][0]:
+                    counts[k] += m * chosen[-1][1]
+                chosen.pop()
+            if times:
+                chosen.append((pattern, times))
+                for k, m in pattern:
+                    counts[k] -= m * times
+            lengths = [x for x in every if counts[x]]
             if not lengths:
                 if bins < self.best_bins:
-                    self.best, self.best_bins = [], bins
-                    while done:
-                        done, latest = done
-                        self.best.append(latest)
+                    self.best, self.best_bins = list(reversed(chosen)), bins
                 continue
             self.nodes -= 1
             allowed = (self.best_bins - 1) * self.capacity - total - waste
@@ -214,15 +221,12 @@ class _Search:
             options = fillings(counts, lengths, self.capacity - x, min(allowed, self.capacity))
             counts[x] += 1
             for lost, filling in reversed(options):
-                pattern = dict(filling)
-                pattern[x] = pattern.get(x, 0) + 1
-                times = min(counts[k] // m for k, m in pattern.items())
+                found = dict(filling)
+                found[x] = found.get(x, 0) + 1
+                many = min(counts[k] // m for k, m in found.items())
                 if lost:
-                    times = min(times, max(allowed // lost, 1))
-                after = dict(counts)
-                for k, m in pattern.items():
-                    after[k] -= m * times
-                stack.append((after, lengths, (done, (tuple(sorted(pattern.items(), reverse=True)), times)), bins + times, waste + lost * times))
+                    many = min(many, max(allowed // lost, 1))
+                stack.append((len(chosen), tuple(sorted(found.items(), reverse=True)), many, bins + many, waste + lost * many))
 
 
 def solve(counts: dict[int, int], capacity: int, nodes: int = 10_000) -> list[tuple[Pattern, int]]:
