@@ -32,34 +32,68 @@ from .tokens import encoder
 
 _HEAD = struct.Struct("<4sIIIII")  # mark, first nonterminal, rules, symbols, documents, bytes a symbol
 _MARK = b"RPR1"
-_BUCKETS = 20
-
-
-def compress(ids: np.ndarray, min_count: int = 16, max_rounds: int = 24) -> tuple[int, np.ndarray, np.ndarray]:
-    """(first nonterminal, rules as pairs, symbols). Nonterminal first + i stands for rules[i]."""
+_BUCKETS = 22
+
+
+def _counted(pair: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places of pairs that occur often enough, index into the distinct ones of each, the distinct ones in order, their counts).
+
+    A hash slot whose pairs are all the same is counted by its load; only slots that mix pairs are sorted.
+    """
+    bits = min(_BUCKETS, max(16, len(pair).bit_length()))
+    slot = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
+    load = np.bincount(slot, minlength=1 << bits)
+    at = np.flatnonzero(load[slot] >= min_count)
+    slot, pair = slot[at], pair[at]
+    sample = np.zeros(1 << bits, np.uint64)
+    sample[slot] = pair
+    mixed = np.zeros(1 << bits, np.bool_)
+    mixed[slot[sample[slot] != pair]] = True
+    pure = np.flatnonzero((load >= min_count) & ~mixed)
+    unsure = mixed[slot]
+    others, count = np.unique(pair[unsure], return_counts=True)
+    others, count = others[count >= min_count], count[count >= min_count]
+    distinct = np.concatenate([sample[pure], others])
+    order = np.argsort(distinct)
+    distinct, count = distinct[order], np.concatenate([load[pure], count])[order]
+    if not len(distinct):
+        return at[:0], at[:0], distinct, count
+    of_slot = np.full(1 << bits, -1, np.int64)
+    of_slot[pure] = np.argsort(order)[: len(pure)]
+    which = of_slot[slot]
+    which[unsure] = np.minimum(np.searchsorted(distinct, pair[unsure]), len(distinct) - 1)
+    often = distinct[which] == pair
+    return at[often], which[often], distinct, count
+
+
+def compress(ids: np.ndarray, min_count: int = 16, max_rounds: int = 24) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(first nonterminal, rules as pairs, their expansion lengths, symbols). Nonterminal first + i stands for rules[i].
+
+    A pair's occurrences are all there once both its symbols are, and only get fewer. So a round looks at pairs that were frequent in the round
+    before and at pairs next to new nonterminals; what was too rare once stays so.
+    """
     seq = ids.astype(np.uint64)
     first = int(ids.max()) + 1 if len(ids) else 0
     rules: list[np.ndarray] = []
+    sizes: list[np.ndarray] = []
+    length = np.ones(first, np.int64)
     symbol = first
+    live = np.ones(len(seq), np.bool_)  # of the pair that begins here
     for _ in range(max_rounds):
         if len(seq) < 2:
             break
-        pair = seq[:-1] << np.uint64(32) | seq[1:]
-        slot = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BUCKETS)).astype(np.int64)
-        # slots only keep out pairs that are surely rare; the frequent ones are counted exactly
-        at = np.flatnonzero(np.bincount(slot, minlength=1 << _BUCKETS)[slot] >= min_count)
-        if not len(at):
-            break
-        distinct, which, count = np.unique(pair[at], return_inverse=True, return_counts=True)
+        open_ = np.flatnonzero(live[:-1])
+        at, which, distinct, count = _counted(seq[open_] << np.uint64(32) | seq[open_ + 1], min_count)
+        at = open_[at]
+        live[:] = False
+        live[at] = True
         rank = np.empty(len(distinct), np.int64)
         rank[np.argsort(count, kind="stable")] = np.arange(1, len(distinct) + 1)
-        frequent = count[which] >= min_count
-        at, which = at[frequent], which[frequent]
-        if not len(at):
-            break
-        score = np.zeros(len(seq) + 1, np.int64)  # the pair at i stands at i + 1, zeros around
-        score[at + 1] = rank[which]
-        wins = (score[at + 1] > score[at]) & (score[at + 1] >= score[np.minimum(at + 2, len(seq))])
+        # overlapping pairs: the more frequent one wins, of equals the first
+        score, touch = rank[which], at[1:] == at[:-1] + 1
+        wins = np.ones(len(at), np.bool_)
+        wins[1:] &= ~touch | (score[1:] > score[:-1])
+        wins[:-1] &= ~touch | (score[:-1] >= score[1:])
         at, which = at[wins], which[wins]
         used = np.bincount(which, minlength=len(distinct))
         worth = used[which] >= 3
@@ -71,11 +105,17 @@ def compress(ids: np.ndarray, min_count: int = 16, max_rounds: int = 24) -> tupl
         name[kept] = symbol + np.arange(len(kept), dtype=np.uint64)
         symbol += len(kept)
         rules.append(np.stack([distinct[kept] >> np.uint64(32), distinct[kept] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        sizes.append(length[rules[-1][:, 0]] + length[rules[-1][:, 1]])
+        length = np.concatenate([length, sizes[-1]])
         seq[at] = name[which]
+        live[at] = True
+        live[at[at > 0] - 1] = True
         keep = np.ones(len(seq), np.bool_)
         keep[at + 1] = False
-        seq = seq[keep]
-    return first, np.concatenate(rules) if rules else np.empty((0, 2), np.uint32), seq.astype(np.uint32)
+        seq, live = seq[keep], live[keep]
+    if not rules:
+        return first, np.empty((0, 2), np.uint32), np.empty(0, np.int64), seq.astype(np.uint32)
+    return first, np.concatenate(rules), np.concatenate(sizes), seq.astype(np.uint32)
 
 
 def expansions(first: int, rules: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,8 +136,7 @@ def expansions(first: int, rules: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def pack_shard(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, min_count: int = 16, max_rounds: int = 24) -> bytes:
     """Layout: head; rules (two u32 each); their expansion lengths (u32); symbols (little-endian, as few bytes each as all need);
     ids per document (u32); document ids (i64) and a byte each for null."""
-    first, rules, symbols = compress(ids, min_count, max_rounds)
-    sizes = expansions(first, rules)[1]
+    first, rules, sizes, symbols = compress(ids, min_count, max_rounds)
     top = first + len(rules)
     width = 2 if top <= 1 << 16 else 3 if top <= 1 << 24 else 4
     raw = np.ascontiguousarray(symbols.astype("<u4")).view(np.uint8).reshape(-1, 4)[:, :width]
