@@ -114,6 +114,29 @@ def running(
     return joined.select(*[F.col(c) for c in df.columns], *out)
 
 
+def last_values(df: DataFrame, keys: list[str], slice_col: Column, order: list[str], value: Column, n: int, name: str = "last", fine: Column | None = None) -> DataFrame:
+    """Add ``name``: the ``value`` of up to ``n`` rows before this one, oldest first, within ``keys``. Nulls are values.
+
+    As in ``running``, but the carry is not a sum: every slice hands on its last ``n`` rows, and the last ``n`` slices before a slice hold whatever
+    it needs.
+    """
+    if fine is None and list(order[:2]) == ["day", "seq"]:
+        fine = place("day", "seq")
+    staged = sliced(df, keys, slice_col, fine).withColumn("_v", F.struct(value.alias("v")))
+    inside = W.partitionBy(*keys, "_slice").orderBy(*order)
+    backwards = W.partitionBy(*keys, "_slice").orderBy(*[F.col(c).desc() for c in order])
+    ends = staged.withColumn("_nth", F.row_number().over(backwards)).filter(F.col("_nth") <= n)
+    tails = ends.groupBy(*keys, "_slice").agg(F.array_sort(F.collect_list(F.struct((-F.col("_nth")).alias("i"), "_v"))).alias("_tail"))
+    earlier = F.flatten(F.collect_list("_tail").over(W.partitionBy(*keys).orderBy("_slice").rowsBetween(-n, -1)))
+    carry = tails.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_slice").alias("_k_slice"), F.transform(earlier, lambda x: x["_v"]).alias("_carry"))
+    local = staged.withColumn("_near", F.collect_list("_v").over(inside.rowsBetween(-n, -1)))
+    cond = [F.col(k) == F.col(f"_k_{k}") for k in keys] + [F.col("_slice") == F.col("_k_slice")]
+    joined = local.join(carry, cond, "left").withColumn("_all", F.concat("_carry", "_near"))
+    size = F.size("_all")
+    kept = F.slice("_all", F.greatest(size - n + 1, F.lit(1)), F.lit(n))
+    return joined.select(*[F.col(c) for c in df.columns], F.transform(kept, lambda x: x["v"]).alias(name))
+
+
 def month_slice(day) -> Column:
     """Calendar month as an integer; the default slice for anything ordered by day."""
     d = F.col(day) if isinstance(day, str) else day

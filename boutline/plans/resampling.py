@@ -79,7 +79,7 @@ def param_robustness(t):
     return _rounded(g.withColumn("overfit_signal", signal.cast("int")))
 
 
-N_DATES, N_ROWS, SAMPLE = 100, 200, 36
+N_DATES, N_ROWS, SAMPLE = 100, 1000, 36
 
 
 def _h(*parts):

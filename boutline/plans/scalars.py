@@ -71,12 +71,12 @@ def scan_odds(t):
     "clean_holdout_odds",
     T.sql(
         T.EV,
-        T.holdout_sql("ev", 400),
+        T.holdout_sql("ev", None),
         select="SELECT seq, CAST(day AS VARCHAR) AS day, trim(player) AS player, trim(opponent) AS opponent, result, american, opp_american FROM hold",
     ),
 )
 def clean_holdout_odds(t):
-    h = t.holdout(t.events_contests(), 400)
+    h = t.holdout(t.events_contests(), None)
     signed = lambda c: F.when(F.col(c) > 150, F.concat(F.lit(" +"), F.col(c).cast("int").cast("string"))).otherwise(F.concat(F.lit(" "), F.col(c).cast("int").cast("string")))
     raw = h.select(
         F.date_format("played_at", "yyyy-MM-dd").alias("date"),
@@ -145,9 +145,9 @@ def kelly_fraction(t):
     return t.odds(t.events_contests()).select("odds_seq", r6(S.kelly_fraction(p, S.decimal_odds("american"))).alias("kelly"))
 
 
-@query("normalize_name", T.sql(T.EV, T.holdout_sql("ev", 400), select="SELECT seq, trim(regexp_replace(lower(strip_accents(player)), '\\s+', ' ', 'g')) AS folded FROM hold"))
+@query("normalize_name", T.sql(T.EV, T.holdout_sql("ev", None), select="SELECT seq, trim(regexp_replace(lower(strip_accents(player)), '\\s+', ' ', 'g')) AS folded FROM hold"))
 def normalize_name(t):
-    return t.holdout(t.events_contests(), 400).select("seq", S.fold_name("player").alias("folded"))
+    return t.holdout(t.events_contests(), None).select("seq", S.fold_name("player").alias("folded"))
 
 
 _GAP = "CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_orderkey % 700 END"

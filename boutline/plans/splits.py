@@ -88,7 +88,7 @@ s1 AS (SELECT v.*, c.candidate_id, a.rating AS r1, b.rating AS r2 FROM sv v CROS
 _ROLLING = """sl AS (SELECT candidate_id, split_id, who, max_by(post, (day, seq, side)) AS rating FROM (SELECT candidate_id, split_id, day, seq, 0 AS side, player AS who, post FROM rated UNION ALL SELECT candidate_id, split_id, day, seq, 1, opponent, opp_post FROM rated) GROUP BY ALL),
 s1 AS (SELECT v.*, c.candidate_id, a.rating AS r1, b.rating AS r2 FROM sv v CROSS JOIN (SELECT DISTINCT candidate_id FROM rated) c LEFT JOIN sl a ON a.candidate_id = c.candidate_id AND a.split_id = v.split_id AND a.who = v.player LEFT JOIN sl b ON b.candidate_id = c.candidate_id AND b.split_id = v.split_id AND b.who = v.opponent)"""
 _EXPANDING_SQL = (T.OC, T.odds_sql("oc"), bounds_sql("oc", 12, 12, "expanding"), T.scan_sql("oc", SPLIT_CANDS), _split_tail(_EXPANDING))
-_ROLLING_SQL = (T.OC, T.odds_sql("oc"), bounds_sql("oc", 12, 12, "rolling"), "tt AS (SELECT * FROM tg WHERE side = 'train')", T.scan_sql("tt", SPLIT_CANDS[:2], key="split_id"), _split_tail(_ROLLING))
+_ROLLING_SQL = (T.OC, T.odds_sql("oc"), bounds_sql("oc", 12, 12, "rolling"), "tt AS (SELECT * FROM tg WHERE side = 'train')", T.scan_sql("tt", SPLIT_CANDS, key="split_id"), _split_tail(_ROLLING))
 _SR = f"SELECT candidate_id, split_id, bets, {T.r6('wagered')} AS wagered, {T.r6('profit')} AS profit, wins, {T.r6('roi')} AS roi FROM sr"
 
 
@@ -105,7 +105,7 @@ def split_roi(t):
 
 @query("split_roi_rolling", T.sql(*_ROLLING_SQL, select=_SR))
 def split_roi_rolling(t):
-    return _rounded(split_rois(t, "rolling", SPLIT_CANDS[:2]))
+    return _rounded(split_rois(t, "rolling", SPLIT_CANDS))
 
 
 @query(

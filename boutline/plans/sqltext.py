@@ -50,13 +50,13 @@ def odds_sql(src: str, name: str = "odds") -> str:
     UNION ALL SELECT seq * 2 + 1, seq, day, opponent, player, -base, 1.0 - result FROM {name}_0 WHERE seq % 10 <> 3))"""
 
 
-def holdout_sql(src: str, days: int, name: str = "hold") -> str:
+def holdout_sql(src: str, days: int | None, name: str = "hold") -> str:
     def spell(c, tag):
         last = "'New N' || seq" if tag == "N" else c
         return f"CASE seq % 4 WHEN 0 THEN {c} WHEN 1 THEN upper({c}) WHEN 2 THEN replace({c}, ' ', '  de ') ELSE {last} END AS {c}"
 
     return f"""{name} AS (SELECT seq, played_at, day, {spell('player', 'N')}, {spell('opponent', 'O')}, result, is_draw, {PRICE} AS american, -({PRICE}) AS opp_american
-  FROM {src} WHERE day > (SELECT max(day) FROM {src}) - {days})"""
+  FROM {src}{"" if days is None else f" WHERE day > (SELECT max(day) FROM {src}) - {days}"})"""
 
 
 def sides_sql(src: str, name: str, cols: str = "") -> str:

@@ -122,9 +122,9 @@ class Tables:
             F.when(F.col("o.side") == 0, F.col("result")).otherwise(F.lit(1.0) - F.col("result")).alias("result"),
         )
 
-    def holdout(self, contests: DataFrame, days: int) -> DataFrame:
-        """Contests of the last ``days`` days with names spelt differently: plain, shouted, with a middle token, or unknown."""
-        cut = contests.agg(F.date_sub(F.max("day"), days)).scalar()
+    def holdout(self, contests: DataFrame, days: int | None) -> DataFrame:
+        """Contests of the last ``days`` days (None: all) with names spelt differently: plain, shouted, with a middle token, or unknown."""
+        recent = contests if days is None else contests.filter(F.col("day") > contests.agg(F.date_sub(F.max("day"), days)).scalar())
         seq = F.col("seq")
 
         def respell(name: str, tag: str) -> Column:
@@ -136,6 +136,6 @@ class Tables:
 
         base = F.when(seq % 7 != 0, F.when(seq % 3 == 0, -(seq * 37 % 300 + 100)).otherwise(seq * 53 % 300 + 100)).cast("double")
         return (
-            contests.filter(F.col("day") > cut)
+            recent
             .select("seq", "played_at", "day", respell("player", "N").alias("player"), respell("opponent", "O").alias("opponent"), "result", "is_draw", base.alias("american"), (-base).alias("opp_american"))
         )

@@ -127,3 +127,50 @@ def test_auc_with_many_distinct_scores(spark):
     pos = sum(r for _, r in rows)
     df = spark.createDataFrame(rows, "prob double, result double")
     assert M.auc(df).first()["auc"] == pytest.approx(wins / (pos * (len(rows) - pos)))
+
+
+def test_last_values_reach_back_over_slices(spark, small_slices):
+    rows = [(w, d, s, None if s % 7 == 0 else p) for w, d, s, p in hot_rows(1500, 8)]
+    df = frame(spark, rows)
+    got = {(r["who"], r["seq"]): r["last"] for r in P.last_values(df, ["who"], P.month_slice("day"), ["day", "seq"], F.col("profit"), 3).collect()}
+    seen: dict = {}
+    for who, day, seq, profit in sorted(rows, key=lambda r: (r[1], r[2])):
+        before = seen.setdefault(who, [])
+        assert got[who, seq] == before[-3:]
+        before.append(profit)
+    assert len(got) == 1500
+
+
+def test_careers_equal_a_walk_through_the_contests(spark):
+    from helpers import contest_rows, contests
+
+    from boutline.operators import models as ML
+    from boutline.sources.contests import FLAGS
+
+    rows = contest_rows(80, players=6)
+    stats = {x: (F.col("seq") * (3 + i) % 11 + 1) for i, x in enumerate(ML.STATS)}
+    c = contests(spark, rows).withColumns(stats | {f"opp_{x}": F.col("seq") * (5 + i) % 13 + 1 for i, x in enumerate(ML.STATS)} | {"minutes": F.col("seq") % 5 + 1})
+    got = {r["seq"]: r for r in ML.careers(c).collect()}
+    past: dict = {}
+    for r in sorted(rows, key=lambda r: (r[1], r[0])):
+        seq, players, result = r[0], (r[3], r[4]), r[5]
+        finish = any(v == "1" and f in ("ko", "subw") for f, v in zip(FLAGS, r[13:]))
+        own = [[seq * (3 + i) % 11 + 1 for i in range(5)], [seq * (5 + i) % 13 + 1 for i in range(5)]]
+        for side in (0, 1):
+            h, p = past.get(players[side], []), ("", "opp_")[side]
+            row = got[seq]
+            if not h:
+                assert row[p + "win_rate"] is None and row[p + "recent_win_rate"] is None
+                continue
+            total = lambda k, rows_=h: sum(x[k] for x in rows_)
+            assert row[p + "win_rate"] == pytest.approx(total("won") / len(h))
+            assert row[p + "sigstr_pm"] == pytest.approx(total("sig") / total("minutes"))
+            assert row[p + "str_def"] == pytest.approx(1 - total("other_sig") / total("other_att"))
+            assert row[p + "recent_win_rate"] == pytest.approx(sum(x["won"] for x in h[-3:]) / len(h[-3:]))
+            assert row[p + "recent_sigstr_pm"] == pytest.approx(sum(x["sig"] for x in h[-3:]) / sum(x["minutes"] for x in h[-3:]))
+            assert row[p + "finish_rate"] == pytest.approx(total("finished") / len(h))
+        for side in (0, 1):
+            won = float(result == (1.0, 0.0)[side])
+            past.setdefault(players[side], []).append(
+                {"won": won, "finished": won * finish, "sig": own[side][0], "minutes": seq % 5 + 1, "other_sig": own[1 - side][0], "other_att": own[1 - side][1]}
+            )
