@@ -244,8 +244,9 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", id: str =
     # Spark keeps only the first rows of each language per task before it shuffles; texts follow for the chosen ids alone
     chosen = rows.select(id, lang).withColumn("_rank", rank).filter(F.col("_rank") <= per_language).select(id)
     found = rows.join(F.broadcast(chosen), id, "left_semi").select(text, lang, id)
-    # an id may repeat: still a bounded number of rows come back
-    got = found.orderBy(F.xxhash64(id), id, F.xxhash64(text)).limit(per_language * 64).collect()
+    # an id may repeat: still at most ``per_language`` texts of each language come back
+    again = F.row_number().over(W.partitionBy(lang).orderBy(F.xxhash64(id), id, F.xxhash64(text)))
+    got = found.withColumn("_again", again).filter(F.col("_again") <= per_language).orderBy(F.xxhash64(id), id, F.xxhash64(text)).select(text, lang).collect()
     return fit([(r[0], r[1]) for r in got], **fitting)
 
 
@@ -275,6 +276,7 @@ def predict(docs: DataFrame, model: Crf, text: str = "text", carry: list[str] |
                 for i, b, m in zip(known, mean.argmax(1), mean):
                     names[i], scores[i] = crf.languages[b], min(1.0, float(m[b]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(scores)], names=["row", "lang_pred", "score"])
+        crf.seen.clear()  # the worker lives on and keeps the model
 
     found = rows.mapInArrow(run, schema)
     return found if nested else found.select(*unpacked(carry), "lang_pred", "score")
