@@ -72,7 +72,7 @@ def compress(ids: np.ndarray, min_count: int = 16, max_rounds: int = 24) -> tupl
     A pair's occurrences are all there once both its symbols are, and only get fewer. So a round looks at pairs that were frequent in the round
     before and at pairs next to new nonterminals; what was too rare once stays so.
     """
-    seq = ids.astype(np.uint64)
+    seq = ids.astype(np.uint32)
     first = int(ids.max()) + 1 if len(ids) else 0
     rules: list[np.ndarray] = []
     sizes: list[np.ndarray] = []
@@ -83,7 +83,7 @@ def compress(ids: np.ndarray, min_count: int = 16, max_rounds: int = 24) -> tupl
         if len(seq) < 2:
             break
         open_ = np.flatnonzero(live[:-1])
-        at, which, distinct, count = _counted(seq[open_] << np.uint64(32) | seq[open_ + 1], min_count)
+        at, which, distinct, count = _counted(seq[open_].astype(np.uint64) << np.uint64(32) | seq[open_ + 1], min_count)
         at = open_[at]
         live[:] = False
         live[at] = True
@@ -101,8 +101,8 @@ def compress(ids: np.ndarray, min_count: int = 16, max_rounds: int = 24) -> tupl
         if not len(at):
             break
         kept = np.flatnonzero(used >= 3)
-        name = np.zeros(len(distinct), np.uint64)
-        name[kept] = symbol + np.arange(len(kept), dtype=np.uint64)
+        name = np.zeros(len(distinct), np.uint32)
+        name[kept] = symbol + np.arange(len(kept), dtype=np.uint32)
         symbol += len(kept)
         rules.append(np.stack([distinct[kept] >> np.uint64(32), distinct[kept] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
         sizes.append(length[rules[-1][:, 0]] + length[rules[-1][:, 1]])
@@ -114,8 +114,8 @@ def compress(ids: np.ndarray, min_count: int = 16, max_rounds: int = 24) -> tupl
         keep[at + 1] = False
         seq, live = seq[keep], live[keep]
     if not rules:
-        return first, np.empty((0, 2), np.uint32), np.empty(0, np.int64), seq.astype(np.uint32)
-    return first, np.concatenate(rules), np.concatenate(sizes), seq.astype(np.uint32)
+        return first, np.empty((0, 2), np.uint32), np.empty(0, np.int64), seq
+    return first, np.concatenate(rules), np.concatenate(sizes), seq
 
 
 def expansions(first: int, rules: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -43,8 +43,15 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {"": 0}
+        self.letters: set[str] = set()
         self.flat, self.starts, self.sizes = np.empty(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
+    def _stays_letters(self, word: str) -> bool:
+        stays = word.lower().isalpha() and unicodedata.normalize("NFC", word).isalpha()
+        if stays:
+            self.letters.add(word)
+        return stays
+
     def _learn(self, single: list[str], other: list[str]) -> None:
         """Add pieces: ``single`` are known to be one word of the tokenizer's pattern each."""
         ids: list[list[int]] = []
@@ -85,7 +92,7 @@ class Encoder:
             tail = w[len(core) :]
             ascii_ = core.isascii()
             # a letter may become a letter and a mark when lower-cased or composed, and the mark would join the punctuation
-            if core.isalpha() and (ascii_ or (core.lower().isalpha() and unicodedata.normalize("NFC", core).isalpha())):
+            if core.isalpha() and (ascii_ or core in self.letters or self._stays_letters(core)):
                 if ascii_:
                     core = core.lower()
                 if core not in self.known:
