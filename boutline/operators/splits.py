@@ -7,12 +7,11 @@ import datetime as dt
 import json
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import history as H
 from .bets import attach_prices, decided, first_per_pair, picks, price_table, settle
-from .oos import latest_for_both
+from .oos import latest_for_both, ratings_as_of
 from .ratings import rate, with_candidates
 
 MIN_TRAIN_ROWS = 10
@@ -100,41 +99,53 @@ def make_splits_by_offset(contests: DataFrame, offset: str, window: str = "expan
     return make_splits(contests, months, window, months * min_train_periods)
 
 
-def frozen_ratings(hist: DataFrame, splits: list[dict]) -> DataFrame:
-    """Rating of every player at the start of every split: (candidate_id, split_id, player, rating).
+def interval_of(day: Column, bounds: list[tuple[str, str]]) -> Column:
+    """Position of the half-open interval that holds ``day``, null outside all of them.
 
-    The history is first reduced, map-side, to the last rating per player and stretch between two starts; each of those is valid from
-    its own split up to the player's next one. Windows see at most one row per split and player.
+    The intervals are sorted and do not overlap, so the answer is a binary search, written as a balanced tree of comparisons.
     """
-    starts = F.from_json(F.lit(json.dumps([s["val_start"] for s in splits])), "array<date>")
-    # the first split that starts after the contest
-    seen_from = F.size(F.filter(starts, lambda v: v <= F.col("day")))
-    last = (
-        hist.withColumn("_from", seen_from)
-        .filter(F.col("_from") < len(splits))
-        .groupBy("candidate_id", "player", "_from")
-        .agg(F.max_by("post", F.struct("day", "seq", "side")).alias("rating"))
-    )
-    w = W.partitionBy("candidate_id", "player").orderBy("_from")
-    until = F.coalesce(F.lead("_from").over(w), F.lit(len(splits))) - 1
-    spans = last.withColumn("_until", until)
-    return spans.select("candidate_id", "player", "rating", F.explode(F.sequence(F.col("_from"), F.col("_until"))).alias("split_id"))
+    if any(b > c for (_, b), (c, _) in zip(bounds, bounds[1:])):
+        raise ValueError("intervals overlap or are not sorted")
+
+    def at(lo: int, hi: int) -> Column:
+        if hi - lo == 1:
+            return F.when(day < F.lit(bounds[lo][1]).cast("date"), F.lit(lo))
+        mid = (lo + hi) // 2
+        return F.when(day < F.lit(bounds[mid][0]).cast("date"), at(lo, mid)).otherwise(at(mid, hi))
+
+    if not bounds:
+        return F.lit(None).cast("int")
+    return F.when(day >= F.lit(bounds[0][0]).cast("date"), at(0, len(bounds)))
+
+
+def window_rows(contests: DataFrame, splits: list[dict], start: str, end: str) -> DataFrame:
+    """Contests inside the splits' [start, end) windows with ``split_id`` and ``val_start``. Windows that follow each other hold a row once
+    at most, so none is copied; a row in several windows that overlap (training by an expanding window) has one row for each."""
+    ordered = sorted(splits, key=lambda s: s[start])
+    if any(a[end] > b[start] for a, b in zip(ordered, ordered[1:])):
+        every = F.filter(split_table(ordered), lambda s: (F.col("day") >= s[start]) & (F.col("day") < s[end]))
+        return contests.withColumn("_s", F.explode(every)).withColumns({"split_id": F.col("_s.split_id"), "val_start": F.col("_s.val_start")}).drop("_s")
+    found = contests.withColumn("_at", interval_of(F.col("day"), [(s[start], s[end]) for s in ordered])).filter(F.col("_at").isNotNull())
+    split = F.get(split_table(ordered), F.col("_at"))
+    return found.withColumns({"split_id": split["split_id"], "val_start": split["val_start"]}).drop("_at")
 
 
 def split_bets(contests: DataFrame, odds: DataFrame, candidates: list[dict], splits: list[dict], window: str = "expanding") -> DataFrame:
     """Bets of every candidate on every validation window with ratings frozen at its start.
 
-    Expanding windows share one scan per candidate: the frozen rating is the last one before the window's start, because a rating
-    before a day never depends on later contests. Rolling windows start empty, so they are scanned per (candidate, split).
+    Expanding windows share one scan per candidate: the frozen rating is the last one before the window's start, an as-of lookup, because
+    a rating before a day never depends on later contests. Rolling windows start empty and follow each other, so a contest trains one
+    split only; the scan is keyed by split.
     """
     keys = ["candidate_id", "split_id"]
-    val = first_per_pair(decided(tag(contests.select("seq", "day", "player", "opponent", "result", "is_draw"), splits).filter(F.col("side") == "val")), ["split_id"])
+    rows = contests.select("seq", "day", "player", "opponent", "result", "is_draw")
+    val = first_per_pair(decided(window_rows(rows, splits, "val_start", "val_end")), ["split_id"])
+    cards = with_candidates(val, candidates).drop("c")
     if window == "expanding":
-        latest = frozen_ratings(H.history(rate(contests, candidates), ["candidate_id"]), splits)
+        faced = ratings_as_of(cards, H.history(rate(contests, candidates), ["candidate_id"]), ["candidate_id"], day="val_start")
     else:
-        train = tag(contests, splits).filter(F.col("side") == "train").drop("side", "val_start")
-        latest = H.latest_ratings(H.history(rate(train, candidates, keys=["split_id"]), keys), keys)
-    faced = latest_for_both(with_candidates(val, candidates).drop("c"), latest, keys)
+        train = window_rows(contests, splits, "train_start", "val_start").drop("val_start")
+        faced = latest_for_both(cards, H.latest_ratings(H.history(rate(train, candidates, keys=["split_id"]), keys), keys), keys)
     known = faced.filter(F.col("rating").isNotNull() & F.col("opp_rating").isNotNull()).withColumns({"pre": F.col("rating"), "opp_pre": F.col("opp_rating")})
     return settle(attach_prices(picks(known), price_table(odds), "mirror"))
 
