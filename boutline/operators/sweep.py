@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from ..sources.contests import FLAGS
 from . import bets as K
 from . import consistency as C
 from . import metrics as M
+from .oos import oos_accuracy, oos_grid
 from .ratings import bout_counts, rate, rate_vectors
 from .scan import unfold
 
@@ -33,10 +35,11 @@ def k_grid(low: int = 10, high: int = 500, step: int = 10) -> list[dict]:
     return [{"k": float(k), "use_method": float(m)} for m in (1, 0) for k in range(low, high, step)]
 
 
-def grid_accuracy(contests: DataFrame, candidates: list[dict], cutoff: Column, moment: Column) -> DataFrame:
+def grid_accuracy(contests: DataFrame, candidates: list[dict], cutoff: Column, moment: Column, vectors: DataFrame | None = None) -> DataFrame:
     """Accuracy overall and after a cutoff of ``moment`` for each candidate. Which contests count is decided once per contest; only the
-    comparison of the two ratings is made per candidate."""
-    vectors = rate_vectors(contests, candidates, carry=["result", "is_draw", "played_at"])
+    comparison of the two ratings is made per candidate. ``vectors`` are the contests as rated, if another step needs them as well."""
+    if vectors is None:
+        vectors = rate_vectors(contests, candidates, carry=["result", "is_draw", "played_at"])
     counted = K.with_prior_history(K.decided(vectors), contests).withColumn("late", moment > cutoff)
     p = unfold(counted, carry=["result", "late"]).filter(F.col("pre") != F.col("opp_pre"))
     p = p.withColumn("correct", ((F.col("pre") > F.col("opp_pre")).cast("int") == F.col("result")).cast("int"))
@@ -44,6 +47,19 @@ def grid_accuracy(contests: DataFrame, candidates: list[dict], cutoff: Column, m
     return p.groupBy(*KEYS).agg(F.avg("correct").alias("accuracy"), F.avg(F.when(late, F.col("correct"))).alias("later_accuracy"), F.count_if(late).alias("later_rows"))
 
 
+def evaluate_accuracy(contests: DataFrame, candidates: list[dict], cutoff: Column, moment: Column, holdout: DataFrame | None = None) -> DataFrame:
+    """Accuracy after the cutoff as ``fitness`` and, with a holdout, the accuracy of frozen ratings on it. One scan rates all candidates for
+    both; a candidate without a later prediction has a fitness of zero."""
+    vectors = materialize(rate_vectors(contests, candidates, carry=["result", "is_draw", "played_at"]))
+    g = grid_accuracy(contests, candidates, cutoff, moment, vectors)
+    out = contests.sparkSession.range(len(candidates)).select(F.col("id").cast("int").alias("candidate_id")).join(g, KEYS, "left")
+    out = out.select(*KEYS, F.coalesce("later_accuracy", F.lit(0.0)).alias("fitness"), "accuracy")
+    if holdout is None:
+        return out.withColumn("oos_accuracy", F.lit(None).cast("double"))
+    outside = oos_accuracy(oos_grid(vectors, contests, holdout, len(candidates), match=False))
+    return out.join(outside.select(*KEYS, F.col("accuracy").alias("oos_accuracy")), KEYS, "left")
+
+
 def best_of(df: DataFrame, score: str, groups: list[str] = ()) -> DataFrame:
     """Mark the best row; the first of equals wins. The candidate list is short, so the window is too."""
     w = W.partitionBy(*groups).orderBy(F.col(score).desc_nulls_last(), "candidate_id")
@@ -197,3 +213,57 @@ def search(score_generation, bounds: dict, population: int, generations: int, se
         if g + 1 < generations:
             current = next_generation(scored, rng, bounds)
     return log
+
+
+STATE = "candidate_id int, fitness double, oos_accuracy double, params map<string,double>, seed long, population int, generation int"
+
+
+def _stored(spark: SparkSession, folder: str, generation: int) -> list:
+    """Rows of a generation that was written to its end, in order; none if it was not."""
+    path = f"{folder}/generation={generation}"
+    try:
+        done = spark.read.text(f"{path}/_done").count() > 0
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return spark.read.schema(STATE).parquet(f"{path}/rows").orderBy("candidate_id").collect() if done else []
+
+
+def resumable_search(spark: SparkSession, score_generation, bounds: dict, population: int, generations: int, folder: str, seed: int = 42, fixed: dict | None = None) -> DataFrame:
+    """``search`` whose generations are kept in ``folder``: (generation, candidate_id, fitness, oos_accuracy, params, seed).
+
+    A generation is one Spark job and is written before the next is proposed, with a marker after its rows. Proposals depend on the seed, the
+    generation's number and the rows before it only, so a driver that starts again on the folder skips finished generations, repeats an
+    unfinished one and ends with the table of an undisturbed run. More generations than before continue the search; another seed or
+    population is refused. Only one generation's rows (as many as the population) are on the driver.
+    """
+    for g in range(generations):
+        rows = _stored(spark, folder, g)
+        if rows and (len(rows) != population or rows[0]["seed"] != seed):
+            raise ValueError(f"{folder} holds a search of another seed or population")
+        if not rows:
+            rng = random.Random(f"{seed}:{g}")
+            current = [random_candidate(rng, bounds) for _ in range(population)] if g == 0 else next_generation(before, rng, bounds)
+            params = spark.createDataFrame([(i, {n: float(v) for n, v in c.items()}) for i, c in enumerate(current)], "candidate_id int, params map<string,double>")
+            scored = score_generation([{**(fixed or {}), **c} for c in current])
+            outside = F.col("oos_accuracy") if "oos_accuracy" in scored.columns else F.lit(None).cast("double")
+            table = params.join(scored.select("candidate_id", "fitness", outside.alias("oos_accuracy")), "candidate_id", "left")
+            table = table.select("candidate_id", "fitness", "oos_accuracy", "params", F.lit(seed).cast("long").alias("seed"), F.lit(population).alias("population"), F.lit(g).alias("generation"))
+            path = f"{folder}/generation={g}"
+            table.coalesce(1).write.mode("overwrite").parquet(f"{path}/rows")
+            spark.createDataFrame([(str(g),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_done")
+            rows = _stored(spark, folder, g)
+        before = [(dict(r["params"]), r["fitness"] if r["fitness"] is not None else float("-inf")) for r in rows]
+    paths = [f"{folder}/generation={g}/rows" for g in range(generations)]
+    return spark.read.schema(STATE).parquet(*paths)
+
+
+def search_stats(log: DataFrame) -> DataFrame:
+    """Fitness and out-of-sample accuracy of every generation: best, mean, worst and deviation, and both of the best candidate so far."""
+    sums = [f(c).alias(f"{n}{tail}") for c, tail in (("fitness", ""), ("oos_accuracy", "_oos")) for n, f in (("best", F.max), ("mean", F.avg), ("worst", F.min), ("sd", F.stddev_pop))]
+    top = F.max_by(F.struct("candidate_id", "oos_accuracy"), F.struct("fitness", -F.col("candidate_id")))
+    g = log.groupBy("generation").agg(*sums, F.count(F.lit(1)).alias("n"), top.alias("top"))
+    # one row per generation
+    upto = W.orderBy("generation").rowsBetween(W.unboundedPreceding, 0)
+    return g.select("*", F.col("top.candidate_id").alias("best_candidate"), F.col("top.oos_accuracy").alias("best_candidate_oos"), F.max("best").over(upto).alias("best_so_far")).drop("top")

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions.scalar import r6
 from ..operators import bets as K
+from ..operators import consistency as C
+from ..operators import documents as D
 from ..operators import oos as O
 from ..operators import ratings as R
 from ..operators import splits as X
 from ..operators import sweep as Z
 from ..operators.prefix import exact_quantiles
-from ..session import materialize
+from ..session import materialize, shared_dir
+from ..sources import sinks
 from . import query
 from . import sqltext as T
 from .betting import DAILY, EXTENDED, PM, _rounded
@@ -131,6 +137,43 @@ def sweep_summary(t):
     return _rounded(Z.generation_stats(e.withColumn("generation", F.floor(F.col("candidate_id") / 4).cast("int")), ["generation"]))
 
 
+def _accuracy_scorer(t):
+    """Scores candidates on the training part by accuracy after its 0.8 quantile, and on the holdout out of sample."""
+    c = t.orders_contests()
+    train = materialize(train_part(c))
+    hold = materialize(t.holdout(c, HOLD_DAYS))
+    cut = exact_quantiles(train.select(S.epoch_micros("played_at").alias("x")), "x", [0.8]).scalar()
+    return lambda cands: Z.evaluate_accuracy(train, cands, cut, S.epoch_micros("played_at"), hold)
+
+
+_STATS = ("best", "mean", "worst", "sd", "best_oos", "mean_oos", "worst_oos", "sd_oos")
+_STAT_SQL = ", ".join(f"{T.r6(f'{f}({c})')} AS {n}" for n, (f, c) in zip(_STATS, ((f, c) for c in ("fitness", "oos") for f in ("max", "avg", "min", "stddev_pop"))))
+
+
+@query(
+    "generation_accuracy",
+    T.sql(
+        *HOLD, T.scan_sql("tr", GENERATIONS), _LATEST_SQL, oos_pred_sql("hold", min_bouts=0), T.pred_sql("tr"), _GRID_SQL.replace("FROM ev", "FROM tr"),
+        "oa AS (SELECT candidate_id, avg(correct) AS oos FROM oq GROUP BY candidate_id)",
+        "ga AS (SELECT (candidate_id // 4)::INT AS generation, candidate_id, later_accuracy AS fitness, oos FROM gr JOIN oa USING (candidate_id))",
+        f"gs AS (SELECT generation, count(*) AS n, {_STAT_SQL}, arg_max(candidate_id, (fitness, -candidate_id)) AS best_candidate, {T.r6('arg_max(oos, (fitness, -candidate_id))')} AS best_candidate_oos FROM ga GROUP BY generation)",
+        select="SELECT *, max(best) OVER (ORDER BY generation) AS best_so_far FROM gs",
+    ),
+)
+def generation_accuracy(t):
+    """Statistics by generation of accuracy as the objective, with out-of-sample accuracy beside it."""
+    e = _accuracy_scorer(t)(GENERATIONS)
+    return _rounded(Z.search_stats(e.withColumn("generation", F.floor(F.col("candidate_id") / 4).cast("int"))))
+
+
+@query("search_accuracy")
+def search_accuracy(t):
+    """Three generations of six of a seeded search on accuracy; each is one Spark job whose rows are kept, so that a lost driver goes on."""
+    folder = f"{shared_dir(t.spark).rstrip('/')}/boutline-search-{uuid.uuid4().hex}"
+    log = Z.resumable_search(t.spark, _accuracy_scorer(t), Z.search_bounds(), population=6, generations=3, folder=folder)
+    return log.select("generation", "candidate_id", r6("fitness").alias("fitness"), r6("oos_accuracy").alias("oos_accuracy"), r6(F.col("params")["k"]).alias("k"))
+
+
 @query("search_generation")
 def search_generation(t):
     """Two generations of a seeded search on train/validation fitness; each generation is one Spark job."""
@@ -188,3 +231,72 @@ def search_splits(t):
     log = Z.search(score, Z.search_bounds(), population=5, generations=2)
     table = c.sparkSession.createDataFrame([(x["generation"], x["candidate_id"], float(x["fitness"]), x["k"]) for x in log], "generation int, candidate_id int, fitness double, k double")
     return table.select("generation", "candidate_id", r6("fitness").alias("fitness"), r6("k").alias("k"))
+
+
+RUN_CONFIGS = [{"name": n, "params": c} for n, c in zip(("plain", "grid", "no_method", "method"), CANDS)]
+_RUN_DRAWDOWN = """cu AS (SELECT candidate_id, day, seq, round(sum(profit) OVER (PARTITION BY candidate_id ORDER BY day, seq), 9) AS v FROM bets),
+fa AS (SELECT candidate_id, max(dd) AS max_drawdown FROM (SELECT candidate_id, max(v) OVER (PARTITION BY candidate_id ORDER BY day, seq) - v AS dd FROM cu) GROUP BY ALL)"""
+_RUN_SCALARS = {
+    "summary.roi_percent": "roi", "summary.accuracy": "accuracy", "summary.sharpe_ratio": "sharpe", "summary.win_rate": "win_rate", "summary.num_bets": "bets", "summary.ece": "ece",
+    "summary.brier_score": "brier", "summary.log_loss": "log_loss", "summary.calibration_slope": "slope", "summary.auc_roc": "auc", "summary.consistency_variance": "variance",
+    "summary.max_drawdown": "max_drawdown", "best_fitness": "fitness", "best_metrics.train.roi_percent": "train_roi", "best_metrics.train.num_bets": "train_bets",
+    "best_metrics.val.roi_percent": "val_roi", "best_metrics.val.num_bets": "val_bets", "best_metrics.oos.accuracy": "oos_accuracy", "best_metrics.oos.n": "oos_n", "best_params.k": "k",
+}
+_RUN_NAME = "['plain', 'grid', 'no_method', 'method'][candidate_id + 1]"
+
+
+def _run_rows(path: str, value: str, source: str) -> str:
+    return f"SELECT {_RUN_NAME} AS config, {path} AS path, {T.r6(f'({value})::DOUBLE')} AS value FROM {source}"
+
+
+_RUN_SELECT = " UNION ALL ".join(
+    [_run_rows(f"'{p}'", v, "fy") for p, v in _RUN_SCALARS.items()]
+    + [
+        _run_rows("'calibration_curve.' || (bin * 10)::INT || '-' || ((bin + 1) * 10)::INT || '%.' || f", "CASE f WHEN 'predicted' THEN p WHEN 'actual' THEN a ELSE n END", "rb, (VALUES ('predicted'), ('actual'), ('count')) t(f)"),
+        _run_rows("'consistency_breakdown.by_' || dimension || '.' || bucket", "accuracy", "dm"),
+        _run_rows("'roi_by_decile.' || (bin * 10) || '-' || ((bin + 1) * 10) || '%'", "roi", "rd"),
+        _run_rows("'master.rank'", "row_number() OVER (ORDER BY roi DESC NULLS LAST, candidate_id)", "fy"),
+    ]
+)
+
+
+def _run_oracle() -> str:
+    return T.sql(
+        *HOLD, T.scan_sql("tr", CANDS, name="rated_t"), _LATEST_SQL.replace("rated", "rated_t"), oos_pred_sql("hold", min_bouts=0),
+        T.odds_sql("oc"), T.scan_sql("oc", CANDS), *_FULL_SQL, _TV_SQL, _RUN_DRAWDOWN,
+        "oa AS (SELECT candidate_id, avg(correct) AS oos_accuracy, count(*) AS oos_n FROM oq GROUP BY candidate_id)",
+        "sl AS (SELECT candidate_id, regr_slope(result, prob) AS slope FROM pred GROUP BY ALL)",
+        "wr AS (SELECT candidate_id, avg(bet_won) AS win_rate FROM bets GROUP BY ALL)",
+        "rb AS (SELECT candidate_id, least(floor(prob * 10), 9) AS bin, count(*) AS n, avg(prob) AS p, avg(result) AS a FROM pred GROUP BY ALL)",
+        "rd AS (SELECT candidate_id, greatest(ceil(prob * 10) - 1, 0)::INT AS bin, avg(profit) * 100 AS roi FROM bets GROUP BY ALL)",
+        f"fy AS (SELECT fz.*, {_FITNESS_SQL} AS fitness, max_drawdown, slope, win_rate, oos_accuracy, oos_n, train_roi, train_bets, val_roi, val_bets, c.k FROM fz JOIN fa USING (candidate_id) JOIN sl USING (candidate_id) JOIN wr USING (candidate_id) JOIN oa USING (candidate_id) JOIN tf USING (candidate_id) JOIN rated_c c USING (candidate_id))",
+        select=_RUN_SELECT,
+    )
+
+
+@query("run_documents", _run_oracle())
+def run_documents(t):
+    """Documents of four configurations and the master file, written, read back and listed as one row per number in them."""
+    c = materialize(t.orders_contests())
+    train = train_part(c)
+    oos = O.oos_accuracy(O.oos_grid(R.rate_vectors(train, CANDS), train, t.holdout(c, HOLD_DAYS), len(CANDS), match=False)).select("candidate_id", "n", "accuracy")
+    run = {"source": "orders"}
+    docs = materialize(D.run_documents(c, t.odds(c), RUN_CONFIGS, oos, run=run, weights=_WEIGHTS))
+    folder = f"{shared_dir(t.spark).rstrip('/')}/boutline-run-{uuid.uuid4().hex}"
+    sinks.write_run(folder, docs, D.master_document(docs, run))
+    back, master = sinks.read_run(t.spark, folder)
+
+    def rows(name, schema, pairs):
+        entries = F.explode(F.from_json(F.get_json_object("document", f"$.{name}"), f"array<struct<{schema}>>")).alias("e")
+        listed = F.explode(F.array(*[F.struct(F.concat(F.lit(f"{name}."), p).alias("path"), v.cast("double").alias("value")) for p, v in pairs])).alias("r")
+        return back.select("config", entries).select("config", listed).select("config", "r.*")
+
+    e = lambda x: F.col(f"e.{x}")
+    scalars = F.explode(F.array(*[F.struct(F.lit(p).alias("path"), F.get_json_object("document", f"$.{p}").cast("double").alias("value")) for p in _RUN_SCALARS])).alias("r")
+    out = [back.select("config", scalars).select("config", "r.*")]
+    out.append(rows("calibration_curve", "range:string,predicted:double,actual:double,count:long", [(F.concat(e("range"), F.lit(f".{x}")), e(x)) for x in ("predicted", "actual", "count")]))
+    out += [rows(f"consistency_breakdown.by_{x}", "bucket:string,accuracy:double", [(e("bucket"), e("accuracy"))]) for x in C.dimensions()]
+    out.append(rows("roi_by_decile", "decile:string,roi:double", [(e("decile"), e("roi"))]))
+    ranks = F.explode(F.from_json(F.get_json_object("document", "$.configurations"), "array<struct<config_name:string,rank:int>>")).alias("e")
+    out.append(master.select(ranks).select(e("config_name").alias("config"), F.lit("master.rank").alias("path"), e("rank").cast("double").alias("value")))
+    return _rounded(reduce(lambda a, b: a.unionByName(b), out))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,12 +18,6 @@ def finite(c) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c)
 
 
-def documents(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One JSON document per row of a metric table, with nulls for unusable numbers."""
-    values = [finite(c).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes if c not in keys]
-    return df.select(*keys, F.to_json(F.struct(*[F.col(k) for k in keys], *values), {"ignoreNullFields": "false"}).alias("document"))
-
-
 def metric_document(run: Column, summary: Column, calibration: DataFrame, breakdown: DataFrame, key: str = "candidate_id", base: DataFrame | None = None) -> DataFrame:
     """Nested document per key: run info, summary, calibration curve and breakdowns (tens of rows per key)."""
     curve = calibration.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("bin", "n", finite("mean_prob").alias("mean_prob"), finite("win_rate").alias("win_rate")))).alias("calibration"))
@@ -43,3 +37,15 @@ def write_split_run(folder: str, best: DataFrame, per_split: DataFrame, evolutio
     best.write.mode("error").json(f"{folder}/best_params")
     for name, df in (("per_split_roi", per_split), ("evolution", evolution), ("consolidated", consolidated)):
         df.write.mode("error").option("header", True).csv(f"{folder}/{name}")
+
+
+def write_run(folder: str, docs: DataFrame, master: DataFrame) -> None:
+    """Documents by configuration, then the master file. The master comes last: a folder without one is an unfinished run."""
+    write_documents(docs, f"{folder}/documents", "config")
+    master.coalesce(1).write.mode("error").text(f"{folder}/master")
+
+
+def read_run(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Documents (config, candidate_id, document) and the master document of a finished run; an unfinished one raises."""
+    master = spark.read.text(f"{folder}/master").withColumnRenamed("value", "document")
+    return spark.read.schema("candidate_id int, document string, config string").json(f"{folder}/documents"), master
