@@ -3,13 +3,15 @@
 Only built-in expressions are used. A document is split into words once; a window of an item's size can only be similar enough when
 it holds that many of the item's shingles, so a fixed-size bit table of benchmark shingles keeps whole documents out before anything
 is shuffled (false positives only cost time; the exact join that follows removes them). Every window with that many of the item's
-shingles, in whatever order, gets a 64-bit SimHash, and windows meet items of their size in ``radius + 1`` fingerprint blocks: two
-fingerprints within ``radius`` bits agree in at least one block, so none is missed. A pair is taken in its first common block only. The
+shingles, in whatever order, gets a 64-bit SimHash and keeps the items it was cut for (one that is similar enough shares that many shingles, so it
+is among them). A window meets these items in ``radius + 1`` fingerprint blocks: two fingerprints within ``radius`` bits agree in at least one
+block, so none is missed, and the work grows with the windows, not with windows times items. A pair is taken in its first common block only. The
 exact multiset similarity of the shingles (sum of smaller counts over sum of larger counts) decides.
 
-Defined cases: null or empty texts and items match nothing. Texts and items of fewer words than a shingle are one shingle of all their
+Defined cases: null or empty texts and items match nothing; an item without an id is an item. Texts and items of fewer words than a shingle are one shingle of all their
 words, so such an item only meets texts that consist of it. A text shorter than an item is one window. Rows that repeat a ``doc_id``
-are judged one by one; the best match of a (doc_id, item_id) is reported once. Other columns are never read.
+are judged one by one and told apart by ``row_hash``, the 64-bit hash of the text; the best match of a (doc_id, row_hash, item_id) is reported once, so
+rows that repeat id and text are one. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ from ..session import materialize
 from .common import text_or_empty
 
 BITS = 1 << 20  # size of the shingle bit table, whatever the size of the benchmark or the corpus
-BROADCAST_ROWS = 200_000  # rows of item shingles (or item blocks) up to which they are broadcast; beyond, a shuffled join is used
 
 
 def words(text: Column) -> Column:
@@ -68,15 +69,11 @@ def _bit_table(items: DataFrame) -> list[int]:
     return table
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 16) -> DataFrame:
-    """(doc_id, item_id, similarity, start_word, n_words) of every document with a window of an item's size whose fingerprint is within
+    """(doc_id, row_hash, item_id, similarity, start_word, n_words) of every document with a window of an item's size whose fingerprint is within
     ``radius`` bits of the item's and whose shingles are at least ``similarity`` alike."""
     items = materialize(items_of(benchmark, width, similarity))
-    n_items, n_shingles, least = items.agg(F.count("m"), F.sum("m"), F.min("need")).first()
+    (least,) = items.agg(F.min("need")).first()
     bits = F.split(F.lit(",".join(map(str, _bit_table(items)))), ",").cast("array<bigint>")
 
     def known(h: Column) -> Column:
@@ -93,10 +90,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, similari
     enough = F.filter(F.when(F.length(F.coalesce("text", F.lit(""))) > 0, marked), lambda s: F.size(s["hits"]) >= F.lit(least or 1))
     near = materialize(docs.select(F.col("doc_id"), F.xxhash64(text_or_empty()).alias("row_hash"), F.inline(enough)))
 
-    item_shingles = items.select("item_id", "m", "need", F.explode(F.array_distinct("shingles")).alias("h"))
+    # items of equal shingles share a key; a key of two different ones would only mean windows more to verify
+    item_shingles = items.select(F.xxhash64("shingles").alias("ikey"), "m", "need", "shingles").dropDuplicates(["ikey"]).select("ikey", "m", "need", F.explode(F.array_distinct("shingles")).alias("h"))
     hits = near.select("doc_id", "row_hash", F.size("sh").alias("n"), F.explode("hits").alias("pos"), F.col("sh").alias("sh")).select("doc_id", "row_hash", "n", "pos", F.get("sh", F.col("pos")).alias("h"))
-    shared = hits.join(_small(item_shingles, n_shingles or 0), "h")
-    lined = shared.groupBy("doc_id", "row_hash", "item_id", "n", "m", "need").agg(F.array_sort(F.collect_set("pos")).alias("at")).filter(F.size("at") >= F.col("need"))
+    shared = hits.join(item_shingles, "h")
+    lined = shared.groupBy("doc_id", "row_hash", "ikey", "n", "m", "need").agg(F.array_sort(F.collect_set("pos")).alias("at")).filter(F.size("at") >= F.col("need"))
 
     def window_starts(j: Column) -> Column:
         """Starts behind known position j - 1 and not behind j whose window also holds the need-th known position from j on."""
@@ -105,26 +103,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, similari
         return F.when(lo <= hi, F.sequence(lo, F.greatest(lo, hi))).otherwise(F.array().cast("array<int>"))
 
     every = F.flatten(F.transform(F.sequence(F.lit(0), F.size("at") - F.col("need")), window_starts))
-    starts = lined.select("doc_id", "row_hash", "m", F.explode(every).alias("start"))
-    starts = starts.groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("m", "start")).alias("windows"))
+    starts = lined.select("doc_id", "row_hash", "m", "ikey", F.explode(every).alias("start"))
+    starts = starts.groupBy("doc_id", "row_hash", "m", "start").agg(F.collect_set("ikey").alias("cut_for"))
+    starts = starts.groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("m", "start", "cut_for")).alias("windows"))
     a, b = near.alias("a"), starts.alias("b")
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.row_hash") == F.col("b.row_hash"))
     cut = a.join(b, same).select(F.col("a.doc_id"), F.col("a.row_hash"), F.col("a.sh"), F.explode("b.windows").alias("w"))
-    cut = cut.select("doc_id", "row_hash", F.col("w.m").alias("m"), F.col("w.start").alias("start"), F.slice("sh", F.col("w.start") + 1, F.col("w.m")).alias("window"))
+    cut = cut.select("doc_id", "row_hash", F.col("w.m").alias("m"), F.col("w.start").alias("start"), F.col("w.cut_for").alias("cut_for"), F.slice("sh", F.col("w.start") + 1, F.col("w.m")).alias("window"))
 
     blocks = radius + 1
     windows = materialize(cut.select("*", simhash(F.col("window")).alias("print")))
-    keyed = windows.select("*", F.posexplode(F.array(*[block(F.col("print"), i, blocks) for i in range(blocks)])).alias("b", "v"))
-    prints = items.select("item_id", F.col("m").alias("im"), "shingles", simhash(F.col("shingles")).alias("iprint"))
+    keyed = windows.select("*", F.explode("cut_for").alias("for_item"))
+    keyed = keyed.select("*", F.posexplode(F.array(*[block(F.col("print"), i, blocks) for i in range(blocks)])).alias("b", "v")).drop("cut_for")
+    prints = items.select("item_id", F.xxhash64("shingles").alias("ikey"), "shingles", simhash(F.col("shingles")).alias("iprint"))
     index = materialize(prints).select("*", F.posexplode(F.array(*[block(F.col("iprint"), i, blocks) for i in range(blocks)])).alias("ib", "iv"))
     first = F.coalesce(*[F.when(block(F.col("print"), i, blocks) == block(F.col("iprint"), i, blocks), F.lit(i)) for i in range(blocks)])
-    pairs = keyed.join(_small(index, (n_items or 0) * blocks), (F.col("m") == F.col("im")) & (F.col("b") == F.col("ib")) & (F.col("v") == F.col("iv")))
+    pairs = keyed.join(index, (F.col("for_item") == F.col("ikey")) & (F.col("b") == F.col("ib")) & (F.col("v") == F.col("iv")))
     pairs = pairs.filter((first == F.col("b")) & (F.bit_count(F.col("print").bitwiseXOR(F.col("iprint"))) <= radius))
     alike = multiset_similarity(F.col("window"), F.col("shingles"))
-    scored = pairs.select("doc_id", "item_id", "start", (F.size("window") + (width - 1)).alias("n_words"), alike.alias("similarity")).filter(F.col("similarity") >= F.lit(similarity))
+    scored = pairs.select("doc_id", "row_hash", "item_id", "start", (F.size("window") + (width - 1)).alias("n_words"), alike.alias("similarity")).filter(F.col("similarity") >= F.lit(similarity))
     best = F.max(F.struct("similarity", (-F.col("start")).alias("before"), "n_words"))
-    return scored.groupBy("doc_id", "item_id").agg(best.alias("best")).select(
-        "doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.before")).cast("long").alias("start_word"), F.col("best.n_words").cast("long").alias("n_words")
+    return scored.groupBy("doc_id", "row_hash", "item_id").agg(best.alias("best")).select(
+        "doc_id", "row_hash", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.before")).cast("long").alias("start_word"), F.col("best.n_words").cast("long").alias("n_words")
     )
 
 

@@ -71,14 +71,14 @@ def _digests(width: int):
                 sizes.append(len(s))
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                names=["doc_id", "n", "k1", "k2", "chunk", "counts"],
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                names=["doc_id", "row_hash", "n", "k1", "k2", "chunk", "counts"],
             )
         if counts.any():
             chunks = [i for i in range(COUNTERS // CHUNK) if counts[i * CHUNK : (i + 1) * CHUNK].any()]
             packed = [zlib.compress(counts[i * CHUNK : (i + 1) * CHUNK].tobytes(), 1) for i in chunks]
             none = pa.nulls(len(chunks), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(chunks, pa.int32()), pa.array(packed, pa.binary())], names=["doc_id", "n", "k1", "k2", "chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(chunks, pa.int32()), pa.array(packed, pa.binary())], names=["doc_id", "row_hash", "n", "k1", "k2", "chunk", "counts"])
 
     return run
 
@@ -214,13 +214,16 @@ def _verify(width: int, percent: int):
     return run
 
 
-def similar_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document; sets link when ``100 * intersection >= percent * union``."""
+def similar_components(docs: DataFrame, width: int = 4, percent: int = 85, by_row: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document; sets link when ``100 * intersection >= percent * union``.
+
+    ``by_row`` adds what tells rows and components apart when ids are missing or repeated: ``row_hash``, the text's 64-bit hash, and
+    ``component``, the key of the component's smallest class (null for an empty set, which is linked with nothing)."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    digests = materialize(rows.mapInArrow(_digests(width), "doc_id long, n long, k1 long, k2 long, chunk int, counts binary"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.xxhash64(text_or_empty()).alias("row_hash"))
+    digests = materialize(rows.mapInArrow(_digests(width), "doc_id long, row_hash long, n long, k1 long, k2 long, chunk int, counts binary"))
     counts = spark.sparkContext.broadcast(_token_counts(digests))  # COUNTERS numbers
-    members = digests.filter(F.col("chunk").isNull()).select("doc_id", "n", "k1", "k2")
+    members = digests.filter(F.col("chunk").isNull()).select("doc_id", "row_hash", "n", "k1", "k2")
 
     prefixes = rows.select("text").mapInArrow(_prefixes(width, percent, counts), "k1 long, k2 long, n long, central long, firsts array<long>")
     classes = prefixes.groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("central").alias("central"), F.first("firsts").alias("firsts"))
@@ -275,5 +278,8 @@ def similar_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     classes_ = members.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     joined = classes_.join(named, ["k1", "k2"], "left")
     smallest = joined.filter(F.col("r1").isNotNull()).groupBy("r1", "r2").agg(F.min("least").alias("component"))
-    of_class = joined.filter((F.col("copies") > 1) | F.col("r1").isNotNull()).join(smallest, ["r1", "r2"], "left").select("k1", "k2", F.coalesce("component", "least").alias("component"))
-    return members.join(of_class, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    of_class = joined.filter((F.col("copies") > 1) | F.col("r1").isNotNull()).join(smallest, ["r1", "r2"], "left").select("k1", "k2", "r1", "r2", F.coalesce("component", "least").alias("component"))
+    out = members.join(of_class, ["k1", "k2"], "left")
+    root = F.when(F.col("n") > 0, F.struct(F.coalesce("r1", "k1").alias("k1"), F.coalesce("r2", "k2").alias("k2")))
+    more = ["row_hash", root.alias("component")] if by_row else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), *more)

@@ -66,3 +66,10 @@ def test_passages_with_moved_parts(spark):
     want = brute(rows, items)
     assert len(want) > 30
     assert {(r.doc_id, r.item_id) for r in contaminated(frame(spark, rows), bench).collect()} == want
+
+
+def test_items_without_id_or_with_equal_texts(spark):
+    text = "eight words stand here in this very order"
+    bench = spark.createDataFrame([(None, text), (3, text), (4, text + " and some more of them follow")], "item_id long, text string")
+    got = contaminated(frame(spark, [(1, "before it " + text + " after"), (None, text), (2, "none of that")]), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, None), (1, 3), (None, None), (None, 3)}

@@ -42,3 +42,38 @@ def test_stages_against_plain_python(spark, tmp_path):
         got[r.doc_id] = got.get(r.doc_id, 0) + r.length
     assert got == want
     assert len({r.sequence_id for r in final}) == -(-sum(want.values()) // 4096)
+
+
+def test_rows_that_share_an_id_or_have_none(spark, tmp_path):
+    rng = random.Random(8)
+    item = prose(rng, 40, 9000)
+    dirty = lambda: prose(rng, 20, 9000) + " " + item + " " + prose(rng, 20, 9000)
+    near = prose(rng, 100, 9000)
+    twin = prose(rng, 100, 9000)
+    clean = [prose(rng, 60, 9000) for _ in range(4)]
+    rows = [(None, dirty()), (None, clean[0]), (None, clean[1]), (7, dirty()), (7, clean[2]), (8, clean[3]), (8, clean[3]), (None, near), (None, near + " tail"), (9, twin), (None, twin + " end"), (5, None), (5, "")]
+    folder = str(tmp_path)
+    spark.createDataFrame([(1, item), (None, "one two three four five six")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = frame(spark, [(d, t, "xx") for d, t in rows])
+    kept = sorted((r.doc_id or -1, r.text or "") for r in corpus_pipeline.decontaminate(spark, docs, folder).collect())
+    assert kept == sorted((d or -1, t or "") for d, t in rows if item not in (t or ""))
+    got = corpus_pipeline.near_copies(spark, docs, folder)
+    assert got.dtypes == docs.dtypes
+    left = sorted((r.doc_id or -1, r.text or "") for r in got.collect())
+    # one of the two near copies without an id, the twin with an id, equal rows once, an empty text once
+    first = [t for d, t in left if t.startswith(near)]
+    assert len(first) == 1
+    want = {(d or -1, t or "") for d, t in rows if t not in (near, near + " tail", twin + " end")} | {(-1, first[0])}
+    assert left == sorted(want)
+
+
+def test_stages_with_empty_tables(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    none = frame(spark, [])
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, none, folder)
+        assert out.columns == none.columns and out.count() == 0
+    some = frame(spark, [(1, "a b c d e f g", "xx")])
+    assert corpus_pipeline.decontaminate(spark, some, folder).count() == 1
+    assert corpus_pipeline.packing(spark, none, folder).count() == 0
