@@ -3,7 +3,8 @@
 Language identification rejects texts of no learned language, line deduplication rewrites texts, the n-gram Jaccard join keeps the document with the
 smallest id of each group of near copies, decontamination removes documents that hold a benchmark item, and packing returns the
 pieces of what is left with their places. All stages but the last return the columns of their input; texts that change get a new ``n_chars``.
-Rows that repeat both id and text are one document from the near-copy stage on.
+Rows that repeat both id and text are one document from the near-copy stage on. Everywhere a row is known by its id and its text's hash, so rows
+that share an id, or have none, are judged one by one. An empty table gives an empty result, also of packing.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutline.llm.common import table
+from boutline.llm.common import table, text_or_empty
 from boutline.llm.decontam import contaminated
 from boutline.llm.jaccard import similar_components
 from boutline.llm.langcrf import UNKNOWN, predict
@@ -42,18 +43,26 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
+def _with_row_keys(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text_or_empty()).alias("hash"), F.struct(*docs.columns).alias("row"))
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of every group of texts that are 0.8 alike in their shingles of five words."""
-    found = similar_components(docs, width=5, percent=80)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.struct(*docs.columns).alias("row"))
-    return rows.join(stay, rows["id"].eqNullSafe(stay["_stays"]), "left_semi").dropDuplicates(["id", "hash"]).select("row.*")
+    """Keeps one row of every group of texts that are 0.8 alike in their shingles of five words: the smallest id, rows without an id last,
+    and of rows with one id the smallest hash of the text. Texts without words are alike to none and stay."""
+    found = similar_components(docs, width=5, percent=80, by_row=True)
+    one = found.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_hash")).alias("o"))
+    alone = found.filter(F.col("component").isNull()).select("doc_id", "row_hash")
+    stay = one.select("o.doc_id", "o.row_hash").unionAll(alone)
+    rows = _with_row_keys(docs)
+    return rows.join(stay, rows["id"].eqNullSafe(stay["doc_id"]) & (rows["hash"] == stay["row_hash"]), "left_semi").dropDuplicates(["id", "hash"]).select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with a window like a benchmark item."""
-    hits = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["_hit"]), "left_anti").select(*docs.columns)
+    """Drops rows with a window like a benchmark item. Other rows of the same id, or without one, are judged by their own texts."""
+    hits = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").cast("long").alias("hit_id"), "row_hash").distinct()
+    rows = _with_row_keys(docs)
+    return rows.join(hits, rows["id"].eqNullSafe(hits["hit_id"]) & (rows["hash"] == hits["row_hash"]), "left_anti").select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
