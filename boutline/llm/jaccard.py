@@ -6,11 +6,13 @@
 3. Every class is first compared with one member of its buckets only (the one most buckets propose). A bucket proposes its most
    central member, the one whose first tokens are the most common; in a group of near copies that is the text the others were
    made from, so this already joins them, without pairs among them.
-4. Buckets that still hold several components are compared in full across components (members of the largest component in a bucket
-   only with the others). A pair must share enough first tokens for its sizes (what is not shared there cannot be made up for by the
-   rest, ``least_shared``), and first tokens under the other orders too; what is left is verified exactly.
+4. Buckets that still hold several components are compared across components (members of the largest component in a bucket only with
+   the others). A pair meets only where the token stands early enough in both sets for their two sizes (``last_place``): whoever has more
+   tokens of its own before the first common one cannot reach the threshold. Texts that miss it narrowly have their own, rare tokens first
+   and so hardly meet anybody. Pairs must share first tokens under the other orders too; what is left is verified exactly.
 
-No link is lost: a link lies in a common bucket, and is there either inside one component already or compared in step 4. Buckets are
+No link is lost: a link's first common token lies early enough in both sets, so the link is in that bucket, and is there either inside one
+component already or compared in step 4. Buckets are
 range-partitioned by (token, class), so a token of a third of all documents spreads over many tasks and is streamed, never gathered.
 
 Defined cases: null, empty or blank texts have the empty set and are linked with nothing; fewer words than a shingle are one shingle of
@@ -44,10 +46,20 @@ def needed(n, percent: int):
     return (percent * n + 99) // 100
 
 
+def least_common(x, y, percent: int):
+    """Least intersection of two similar sets of sizes x and y, as columns."""
+    return F.floor((F.lit(percent) * (x + y) + F.lit(99 + percent)) / F.lit(100 + percent))
+
+
+def last_place(n, x, y, percent: int):
+    """Last place (from 0) that the first common token of two similar sets of sizes x and y can have in the one of size n: all before it are not shared."""
+    return n - least_common(x, y, percent)
+
+
 def least_shared(x, y, percent: int):
     """Least number of common first tokens of two similar sets of sizes x and y, as columns. The set whose first tokens end earlier in the order
     shares none of its other first tokens, so the intersection is at most the common first tokens and that set's rest."""
-    both = F.floor((F.lit(percent) * (x + y) + F.lit(99 + percent)) / F.lit(100 + percent))
+    both = least_common(x, y, percent)
     rest = F.floor((F.lit(percent) * F.greatest(x, y) + F.lit(99)) / F.lit(100)) - 1
     return F.greatest(both - rest, F.lit(1))
 
@@ -228,8 +240,11 @@ def similar_components(docs: DataFrame, width: int = 4, percent: int = 85, by_ro
     prefixes = rows.select("text").mapInArrow(_prefixes(width, percent, counts), "k1 long, k2 long, n long, central long, firsts array<long>")
     classes = prefixes.groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("central").alias("central"), F.first("firsts").alias("firsts"))
     order = [F.col("token"), F.col("central").desc(), F.col("k1")]
-    placed = classes.select(F.explode("firsts").alias("token"), "central", "k1", "n").repartitionByRange(*order).sortWithinPartitions(*order)
-    buckets = materialize(placed.mapInArrow(_members, "token long, central long, k1 long, n long, top_central long, top long, top_n long, edge boolean"))
+    # a set's size and the token's place in its order travel as one number
+    spread = classes.select(F.posexplode("firsts").alias("place", "token"), "central", "k1", "n")
+    placed = spread.select("token", "central", "k1", (F.shiftleft("n", 32) + F.col("place")).alias("n")).repartitionByRange(*order).sortWithinPartitions(*order)
+    found = placed.mapInArrow(_members, "token long, central long, k1 long, n long, top_central long, top long, top_n long, edge boolean")
+    buckets = materialize(found.select("token", "k1", F.shiftright("n", 32).alias("n"), F.expr("n & 4294967295").alias("place"), "top_central", "top", F.shiftright("top_n", 32).alias("top_n"), "edge"))
 
     # a bucket cut by task borders takes the first of its tops; at most two such buckets a task
     cut = buckets.filter("edge").groupBy("token").agg(F.max(F.struct("top_central", "top", "top_n")).alias("t"))
@@ -258,20 +273,19 @@ def similar_components(docs: DataFrame, width: int = 4, percent: int = 85, by_ro
     step = links.select(F.col("u.k1").alias("k1"), F.col("v.k1").alias("up")).groupBy("k1").agg(F.min("up").alias("up"))
     second_step = step.select(F.col("k1").alias("up"), F.col("up").alias("upper"))
     labels = held.select("k1", "held").join(step, "k1", "left").join(second_step, "up", "left").select("k1", "held", F.coalesce("upper", "up", "k1").alias("label"))
-    mixed = buckets.select("token", "k1", "n").join(labels, "k1")
+    mixed = buckets.select("token", "k1", "n", "place").join(labels, "k1")
     per_label = mixed.groupBy("token", "label").agg(F.count("k1").alias("c"))
     major = per_label.groupBy("token").agg(F.max(F.struct("c", "label")).alias("b"), F.count("label").alias("labels")).filter("labels > 1")
     open_ = materialize(mixed.join(major.select("token", F.col("b.label").alias("major")), "token"))
-    few = open_.filter("label <> major").select("token", F.col("k1").alias("x"), F.col("n").alias("x_n"), F.col("held").alias("x_held"), F.col("label").alias("x_label"))
-    every = open_.select("token", F.col("k1").alias("y"), F.col("n").alias("y_n"), F.col("held").alias("y_held"), F.col("label").alias("y_label"), (F.col("label") == F.col("major")).alias("y_major"))
-    shared = least_shared(F.col("x_n"), F.col("y_n"), percent)
+    few = open_.filter("label <> major").select("token", *[F.col(c).alias(f"x_{c}") for c in ("k1", "n", "held", "label", "place")])
+    every = open_.select("token", *[F.col(c).alias(f"y_{c}") for c in ("k1", "n", "held", "label", "place")], (F.col("label") == F.col("major")).alias("y_major"))
     fits = F.least("x_n", "y_n") * 100 >= F.lit(percent) * F.greatest("x_n", "y_n")
-    once = F.col("y_major") | (F.col("x") < F.col("y"))
-    crossing = few.join(every, "token").filter((F.col("x_label") != F.col("y_label")) & once & fits & (F.least("x_held", "y_held") >= shared))
-    # x and y change places from bucket to bucket, as the majors do: a pair is counted without regard to that, once a bucket
-    swap = F.col("x") > F.col("y")
-    pair = crossing.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.when(swap, F.col("y_n")).otherwise(F.col("x_n")).alias("x_n"), F.when(swap, F.col("x_n")).otherwise(F.col("y_n")).alias("y_n"))
-    second = pair.groupBy("x", "y", "x_n", "y_n").agg(F.count(F.lit(1)).alias("votes")).filter(F.col("votes") >= shared).select("x", "y").distinct()
+    early = (F.col("x_place") <= last_place(F.col("x_n"), F.col("x_n"), F.col("y_n"), percent)) & (F.col("y_place") <= last_place(F.col("y_n"), F.col("x_n"), F.col("y_n"), percent))
+    enough = F.least("x_held", "y_held") >= least_shared(F.col("x_n"), F.col("y_n"), percent)
+    once = F.col("y_major") | (F.col("x_k1") < F.col("y_k1"))
+    crossing = few.join(every, "token").filter((F.col("x_label") != F.col("y_label")) & once & fits & early & enough)
+    # x and y change places from bucket to bucket, as the majors do
+    second = crossing.select(F.least("x_k1", "y_k1").alias("x"), F.greatest("x_k1", "y_k1").alias("y")).distinct()
     all_links = links.unionAll(verified(second))
     final = components(all_links)
     named = final.select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), F.col("root.k1").alias("r1"), F.col("root.k2").alias("r2"))
