@@ -1,11 +1,13 @@
 """Main text of web pages by tag-path ratios.
 
 Every text node has a root-to-leaf tag path. Per path the page's text length and punctuation are added up and divided by the
-number of its nodes; both ratios are smoothed over the paths in page order, fused by a geometric mean, and paths at or above a
-share of the page's deviation from zero are content. That decides on pages without an article or main element only: there the content's
-container is the deepest element around all of these paths, and if that is the whole page, headings, paragraphs, quotes and
-preformatted blocks are taken whatever their ratios. On other pages all article and main elements are the containers. Text in a
-container is returned whole, without what its tags, roles or class names mark as page furniture.
+number of its nodes; both ratios are smoothed over the paths in page order and fused by a geometric mean. Tags are one more feature: a
+path inside an article or main element weighs ``MAIN_WEIGHT`` times its ratio. Paths at or above a share of the weights' root mean
+square are content; this decides on every page. An article or main element with a content path is taken whole, and so are those
+beside it, however short. Content paths outside of them are taken as they are. If all content is outside, the deepest element
+around it is taken whole; if that is the whole page, headings, paragraphs, quotes and preformatted blocks go with the content paths.
+What tags, roles or class names mark as page furniture is left out before; an article or main element is dropped for a class that names
+reader comments only.
 
 A page is one row and is handled on its own, so nothing is shuffled. Defined cases: null, empty or text-free html gives an empty text;
 text outside any element counts as a block; unclosed and stray tags are closed or skipped as browsers do; repeated rows are
@@ -37,12 +39,15 @@ FURNITURE = frozenset(
     pagination popup promo promoted promotion recommended related replies reply respond response responses search share sharing sidebar signup
     skyscraper social sponsor sponsored subscribe subscription toolbar widget""".split()
 )
+COMMENTS = frozenset("comment comments commentlist disqus replies reply respond response responses".split())
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation note search status toolbar".split())
 CLOSED_BY = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]),
     "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]),
 }
 LISTS = frozenset("ul ol dl table select".split())
+MAIN_WEIGHT = 8.0
+LIFT = 16.0
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？¿¡]")
 
 _MARKUP = re.compile(
@@ -70,26 +75,41 @@ def _furniture(tag: str, attrs: str) -> tuple[bool, str]:
         return True, kind
     for word in f"{kind} {found.get('id', '')}".split():
         parts = re.split(r"[-_]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", word).lower())
-        if parts[0] not in ("has", "with", "no") and (parts[0] in FURNITURE or parts[-1] in FURNITURE):
+        listed = COMMENTS if tag in MAIN else FURNITURE
+        if parts[0] not in ("has", "with", "no") and (parts[0] in listed or parts[-1] in listed):
             return True, kind
     return False, kind
 
 
 class _Element:
-    __slots__ = ("tag", "path", "parent", "off", "main")
+    """``no`` counts elements in page order and ``end`` is the next number when the element is closed: what lies inside has numbers in between."""
 
-    def __init__(self, tag: str, kind: str, off: bool, parent: _Element | None):
-        self.tag, self.parent = tag, parent
-        self.path = f"{parent.path if parent else ''}/{tag}" + (f".{kind}" if kind else "")
+    __slots__ = ("tag", "path", "parent", "off", "main", "no", "end", "depth", "para", "block")
+
+    def __init__(self, tag: str, path: int, off: bool, parent: _Element | None, no: int):
+        self.tag, self.path, self.parent, self.no, self.end = tag, path, parent, no, 1 << 62
         self.off = off or (parent is not None and parent.off)
         self.main = self if tag in MAIN and not self.off and not (parent and parent.main) else (parent.main if parent else None)
+        self.depth = parent.depth + 1 if parent else 0
+        # the open paragraph a block closes, and the nearest element that is no inline one
+        self.para = self if tag == "p" else None if tag in SECTIONS or not parent else parent.para
+        self.block = self if tag not in INLINE or not parent else parent.block
 
 
 def _blocks(html: str) -> list[tuple[_Element, str]]:
     """Blocks in page order: the element that holds the block's text, and its text with single spaces."""
-    root = _Element("", "", False, None)
+    root = _Element("", 0, False, None, 0)
     stack, out, run, at = [root], [], [], 0
     owner = root
+    paths: dict[tuple[int, str, str], int] = {}
+    opened: dict[str, int] = {}
+    made = 1
+
+    def close(depth: int):
+        for e in stack[depth:]:
+            e.end = made
+            opened[e.tag] -= 1
+        del stack[depth:]
 
     def flush():
         text = " ".join("".join(run).split())
@@ -101,7 +121,7 @@ def _blocks(html: str) -> list[tuple[_Element, str]]:
         nonlocal owner
         if raw and not stack[-1].off:
             if not run:
-                owner = next(e for e in reversed(stack) if e.tag not in INLINE)
+                owner = stack[-1].block
             run.append(entities.unescape(raw) if decode and "&" in raw else raw)
 
     for m in _MARKUP.finditer(html):
@@ -114,11 +134,11 @@ def _blocks(html: str) -> list[tuple[_Element, str]]:
             continue
         tag = tag.lower()
         if m["end"]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened.get(tag) else ():
                 if stack[i].tag == tag:
                     if tag not in INLINE:
                         flush()
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in SECTIONS and tag not in SECTIONS and tag != "html":
                     break
@@ -130,66 +150,68 @@ def _blocks(html: str) -> list[tuple[_Element, str]]:
         attrs = m["attrs"]
         if tag not in INLINE:
             stops = CLOSED_BY.get(tag)
-            for i in range(len(stack) - 1, 0, -1):
+            if not stops and stack[-1].para:
+                close(stack[-1].para.depth)
+            for i in range(len(stack) - 1, 0, -1) if stops and any(opened.get(t) for t in stops) else ():
                 open_tag = stack[i].tag
-                if (stops and open_tag in stops) or (not stops and open_tag == "p"):
-                    del stack[i:]
-                    if not stops or tag != "tr":
+                if open_tag in stops:
+                    close(i)
+                    if tag != "tr":
                         break
-                elif open_tag in SECTIONS or (stops and open_tag in LISTS):
+                elif open_tag in SECTIONS or open_tag in LISTS:
                     break
         if tag in MAIN:  # an article never lies in an advert or list that was left open
             while len(stack) > 1 and stack[-1].off and stack[-1].tag not in SECTIONS:
-                stack.pop()
+                close(len(stack) - 1)
         off, kind = _furniture(tag, attrs)
         if not attrs.rstrip(">").endswith("/") or tag not in ("br", "hr"):
-            stack.append(_Element(tag, kind, off, stack[-1]))
+            path = paths.setdefault((stack[-1].path, tag, kind), len(paths) + 1)
+            stack.append(_Element(tag, path, off, stack[-1], made))
+            opened[tag] = opened.get(tag, 0) + 1
+            made += 1
     add(html[at:])
     flush()
     return out
 
 
 def _smooth(values: list[float]) -> list[float]:
-    """Weights 1, 2, 1 over neighbours in page order."""
+    """Weights 1, 2, 1 over neighbours in page order; neighbours lift a value to at most ``LIFT`` times its own, so that a short text beside a
+    very long one does not pass for one."""
     n = len(values)
-    return [(values[max(i - 1, 0)] + 2 * values[i] + values[min(i + 1, n - 1)]) / 4 for i in range(n)]
+    return [min((values[max(i - 1, 0)] + 2 * values[i] + values[min(i + 1, n - 1)]) / 4, LIFT * values[i]) for i in range(n)]
 
 
-def main_text(html: str | None, share: float = 0.5) -> str:
-    """Main text of one page; ``share`` of the fused ratios' root mean square is the threshold."""
-    blocks = _blocks(html or "")
-    if not blocks:
-        return ""
-    paths: dict[str, list[float]] = {}
-    for element, text in blocks:
-        p = paths.setdefault(element.path, [0, 0, 0])
+def path_weights(blocks: list[tuple[int, str, bool]]) -> dict[int, float]:
+    """Weight of every path of (path, text, whether inside a main element): smoothed and fused ratios, times the tag feature."""
+    paths: dict[int, list[float]] = {}
+    for path, text, inside in blocks:
+        p = paths.setdefault(path, [0, 0, 0, inside])
         p[0] += len(text)
         p[1] += len(PUNCTUATION.findall(text))
         p[2] += 1
     length = _smooth([p[0] / p[2] for p in paths.values()])
     marks = _smooth([p[1] / p[2] for p in paths.values()])
-    fused = dict(zip(paths, (math.sqrt(x * (y + 1)) for x, y in zip(length, marks))))
-    if any(e.main for e, _ in blocks):
-        # every semantic container is content as a whole, however little it weighs
-        return " ".join(t for e, t in blocks if e.main)
-    threshold = share * math.sqrt(sum(v * v for v in fused.values()) / len(fused))
-    content = [e for e, _ in blocks if fused[e.path] >= threshold]
-
-    def chain(e):
-        up = []
-        while e:
-            up.append(e)
-            e = e.parent
-        return up[::-1]
-
-    common = chain(content[0])
-    for e in content[1:]:
-        other = chain(e)
-        common = common[: next((i for i, (a, b) in enumerate(zip(common, other)) if a is not b), min(len(common), len(other)))]
-    container = common[-1]
+    return {path: math.sqrt(x * (y + 1)) * (MAIN_WEIGHT if p[3] else 1.0) for (path, p), x, y in zip(paths.items(), length, marks)}
+
+
+def main_text(html: str | None, share: float = 0.5) -> str:
+    """Main text of one page; ``share`` of the weights' root mean square is the threshold."""
+    blocks = _blocks(html or "")
+    if not blocks:
+        return ""
+    weights = path_weights([(e.path, t, e.main is not None) for e, t in blocks])
+    threshold = share * math.sqrt(sum(v * v for v in weights.values()) / len(weights))
+    content = [e for e, _ in blocks if weights[e.path] >= threshold]
+    around = {e.main.parent for e in content if e.main}
+    if around:
+        return " ".join(t for e, t in blocks if (e.main.parent in around if e.main else weights[e.path] >= threshold))
+    first, last = min(content, key=lambda e: e.no), max(content, key=lambda e: e.no)
+    container = first
+    while container.end <= last.no:
+        container = container.parent
     if container.tag in ("", "html", "body"):
-        return " ".join(t for e, t in blocks if fused[e.path] >= threshold or re.fullmatch(r"h[1-6]|p|blockquote|pre", e.tag))
-    return " ".join(t for e, t in blocks if container in chain(e))
+        return " ".join(t for e, t in blocks if weights[e.path] >= threshold or re.fullmatch(r"h[1-6]|p|blockquote|pre", e.tag))
+    return " ".join(t for e, t in blocks if container.no <= e.no < container.end)
 
 
 def extract(pages: DataFrame, column: str = "html", carry: list[str] | None = None, share: float = 0.5) -> DataFrame:
