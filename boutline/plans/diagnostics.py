@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from ..functions import buckets as B
 from ..functions import scalar as S
 from ..operators import diagnostics as D
 from ..session import materialize
@@ -21,7 +20,8 @@ def _case(pairs, default):
 _EXP = lambda n: _case([(f"coalesce({n}, 0) <= 5", "Unknown"), (f"{n} <= 15", "Novice"), (f"{n} <= 50", "Experienced")], "Veteran")
 _LAY = lambda d: _case([(f"{d} IS NULL", "Unknown"), (f"{d} <= 90", "Recent"), (f"{d} <= 180", "Medium"), (f"{d} <= 274", "Long")], "Very Long")
 _QUAL = _case([("ar >= 0 AND ar < 1500", "Lower-tier"), ("ar >= 1700", "Elite")], "Mid-tier")
-_MARG = _case([(f"o_r - ar > {e}", n) for e, n in zip((300, 200, 100, 0, -100, -200), B.MARGIN)], B.MARGIN[6])
+_MARGINS = ("Huge favorite (>300)", "Large favorite (200-300)", "Small favorite (100-200)", "Close (0-100)", "Close underdog (0-100)", "Large underdog (100-200)")
+_MARG = _case([(f"o_r - ar > {e}", n) for e, n in zip((300, 200, 100, 0, -100, -200), _MARGINS)], "Very large underdog (200+)")
 _METH = "CASE " + " ".join(f"WHEN {T.hit(m)} THEN '{S.METHOD_LABELS[m]}'" for m in S.LABEL_ORDER) + " ELSE 'Other' END"
 def _records_sql(lookback=None):
     recent = f" WHERE day > (SELECT max(day) FROM oc) - {lookback}" if lookback else ""

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from ..operators.ratings import CANDIDATE_DEFAULTS
+# Written out, so that a wrong default in the operators does not pass.
+CANDIDATE = {
+    "k": 32.0, "w_ko": 1.4, "w_sub": 1.3, "w_udec": 1.0, "w_mdec": 0.9, "w_sdec": 0.7, "scale": 400.0, "use_method": 1.0,
+    "decay_mode": "none", "decay_rate": 0.0, "min_days": 180.0,
+    "multiphase": 0.0, "quick_days": 30.0, "quick_bump": 1.0, "decay_days": 180.0, "phase_rate": 0.0,
+    "weight_moves": 0.0, "up_penalty": 1.0, "up_bonus": 1.0,
+}
 
 
 def name_sql(u: str) -> str:
@@ -99,8 +105,8 @@ def _lit(v) -> str:
 
 
 def cands_sql(candidates: list[dict], name: str = "cand") -> str:
-    cols = list(CANDIDATE_DEFAULTS)
-    rows = ", ".join(f"({i}, " + ", ".join(_lit({**CANDIDATE_DEFAULTS, **c}[k]) for k in cols) + ")" for i, c in enumerate(candidates))
+    cols = list(CANDIDATE)
+    rows = ", ".join(f"({i}, " + ", ".join(_lit({**CANDIDATE, **c}[k]) for k in cols) + ")" for i, c in enumerate(candidates))
     return f"{name}(candidate_id, {', '.join(cols)}) AS (VALUES {rows})"
 
 
