@@ -17,6 +17,7 @@ from . import consistency as C
 from . import metrics as M
 from .oos import FROZEN, compare_frozen, flag_frozen, frozen_at, oos_accuracy
 from .ratings import bout_counts, rate, rate_vectors
+from .scan import unfold
 
 KEYS = ["candidate_id"]
 
@@ -93,6 +94,37 @@ def evaluate(contests: DataFrame, odds: DataFrame, candidates: list[dict], lookb
     )
 
 
+def flag_bets(contests: DataFrame, odds: DataFrame, lookback: int | None = None) -> DataFrame:
+    """Contests with ``_bet`` (``bet_records`` would bet on it if the ratings differ) and the prices of both sides. No rating is needed for this."""
+    thin = contests.select("seq", "day", "player", "opponent", "result", "is_draw")
+    open_ = K.with_prior_history(K.first_per_pair(K.decided(K.within_lookback(thin, lookback, contests))), contests)
+    prices = K.price_table(odds)
+    own = prices.select("player", "opponent", "day", F.col("american").alias("_price"))
+    other = prices.select(F.col("opponent").alias("player"), F.col("player").alias("opponent"), "day", F.col("american").alias("_opp_price"))
+    on = ["player", "opponent", "day"]
+    priced = open_.join(own, on, "left").join(other, on, "left").filter(F.col("_price").isNotNull() | F.col("_opp_price").isNotNull())
+    flagged = contests.join(priced.select("seq", F.lit(True).alias("_bet"), "_price", "_opp_price"), "seq", "left")
+    return materialize(flagged.na.fill(False, ["_bet"]))
+
+
+def candidate_bets(contests: DataFrame, odds: DataFrame, candidates: list[dict], lookback: int | None = None, decay: bool = False, moves: bool = False) -> DataFrame:
+    """``bet_records`` of every candidate. History, repeated pairs and prices depend on the contest alone and are joined once per contest before
+    the scan; it returns the ratings of those contests, and nothing is joined or shuffled per candidate."""
+    carry = ["result", "_bet", "_price", "_opp_price"]
+    vectors = rate_vectors(flag_bets(contests, odds, lookback), candidates, decay, moves, carry, emit={"pre": "_bet", "opp_pre": "_bet"})
+    picked = K.picks(unfold(vectors, carry=carry[:1] + carry[2:]))
+    price = F.when(F.col("pre") > F.col("opp_pre"), F.col("_price")).otherwise(F.col("_opp_price"))
+    return K.settle(picked.withColumn("american", price).filter(F.col("american").isNotNull())).drop("_price", "_opp_price")
+
+
+def evaluate_roi(contests: DataFrame, odds: DataFrame, candidates: list[dict], lookback: int | None = None, decay: bool = False, moves: bool = False) -> DataFrame:
+    """ROI and number of bets of each candidate; no bets give an ROI of zero."""
+    bets = candidate_bets(contests, odds, candidates, lookback, decay, moves)
+    roi = bets.groupBy(*KEYS).agg((F.try_divide(F.sum("profit"), F.sum("stake")) * 100.0).alias("roi"), F.count(F.lit(1)).alias("bets"))
+    every = contests.sparkSession.range(len(candidates)).select(F.col("id").cast("int").alias("candidate_id"))
+    return every.join(roi, KEYS, "left").withColumns({"roi": F.coalesce("roi", F.lit(0.0)), "bets": F.coalesce("bets", F.lit(0))})
+
+
 def evaluate_everything(contests: DataFrame, odds: DataFrame, candidates: list[dict], lookback: int | None = None, weights: dict | None = None) -> DataFrame:
     """ROI metrics plus calibration, AUC and consistency of every candidate, and the weighted search fitness on top.
 
@@ -123,8 +155,7 @@ def train_val_side(df: DataFrame, source: DataFrame, lookback: int, validation:
 
 def evaluate_train_val(contests: DataFrame, odds: DataFrame, candidates: list[dict], lookback: int = 365, validation: float = 0.5, threshold: float = 2.0) -> DataFrame:
     """ROI on both parts of the look-back window and the fitness that punishes a gap between them."""
-    rated = rate(contests, candidates, carry=["result", "is_draw"])
-    bets = train_val_side(K.bet_records(rated, contests, odds, KEYS), contests, lookback, validation)
+    bets = train_val_side(candidate_bets(contests, odds, candidates), contests, lookback, validation)
     # one aggregate for both sides
     parts = {s: F.col("side") == s for s in ("train", "val")}
     g = bets.groupBy(*KEYS).agg(

@@ -9,11 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions.scalar import r6
-from ..operators import bets as K
 from ..operators import consistency as C
 from ..operators import documents as D
 from ..operators import oos as O
-from ..operators import ratings as R
 from ..operators import splits as X
 from ..operators import sweep as Z
 from ..operators.prefix import exact_quantiles
@@ -115,7 +113,7 @@ _NAMES = [x["name"] for x in CONFIGS]
 )
 def config_ranking(t):
     c = materialize(t.events_contests())
-    e = Z.evaluate(c, t.odds(c), _CONFIG_CANDS, decay=True, moves=True)
+    e = Z.evaluate_roi(c, t.odds(c), _CONFIG_CANDS, decay=True, moves=True)
     return _rounded(Z.rank_configs(e, _NAMES))
 
 
@@ -132,7 +130,7 @@ GENERATIONS = [{"k": 20.0 + 35.0 * i, "w_ko": 1.0 + (i % 5) / 5.0, "w_sdec": 0.6
 )
 def sweep_summary(t):
     c = materialize(t.orders_contests())
-    bets = K.bet_records(R.rate(c, GENERATIONS, carry=["result", "is_draw"]), c, t.odds(c), Z.KEYS)
+    bets = Z.candidate_bets(c, t.odds(c), GENERATIONS)
     e = bets.groupBy("candidate_id").agg((F.sum("profit") / F.sum("stake") * 100.0).alias("fitness"))
     return _rounded(Z.generation_stats(e.withColumn("generation", F.floor(F.col("candidate_id") / 4).cast("int")), ["generation"]))
 

@@ -77,3 +77,22 @@ def test_grid_accuracy_counts_what_predictions_count(spark):
     want = p.groupBy("candidate_id").agg(F.avg("correct").alias("a"), F.avg(F.when(F.col("played_at") > cut, F.col("correct"))).alias("l"), F.count_if(F.col("played_at") > cut).alias("n"))
     got = Z.grid_accuracy(c, CANDS, cut, F.col("played_at")).select("candidate_id", "accuracy", "later_accuracy", "later_rows")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("lookback", [None, 100])
+def test_candidate_bets_equal_bet_records(spark, lookback):
+    from boutline.operators import bets as K
+
+    c = contests(spark, contest_rows(150, players=5, seed=9, per_day=6))
+    # some prices miss on one side, some on both
+    a = c.filter("seq % 5 <> 0").select((F.col("seq") * 2).alias("odds_seq"), "day", "player", "opponent", (F.col("seq") * 7.0 - 300).alias("american"))
+    b = c.filter("seq % 3 <> 0").select((F.col("seq") * 2 + 1).alias("odds_seq"), "day", F.col("opponent").alias("player"), F.col("player").alias("opponent"), (300 - F.col("seq") * 7.0).alias("american"))
+    odds = a.unionByName(b)
+    names = ["candidate_id", "seq", "day", "bet_on", "bet_won", "american", "decimal", "stake", "payout", "profit", "prob"]
+    want = K.bet_records(R.rate(c, CANDS, carry=["result", "is_draw"]), c, odds, Z.KEYS, lookback).select(*names)
+    mine = Z.candidate_bets(c, odds, CANDS, lookback)
+    got = sorted(map(tuple, mine.select(*names).collect()))
+    assert got == sorted(map(tuple, want.collect())) and len(got) > 20
+    # nothing is joined per candidate: the rows are unfolded after the last join
+    plan = mine._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan.split("MapInArrow")[0]
