@@ -81,7 +81,8 @@ def connected_bins(part: DataFrame, keys: list[str], bins: int = BINS) -> DataFr
 
 def _hashed_bins(part: DataFrame, keys: list[str], bins: int = BINS) -> DataFrame:
     """(keys, _who, _bin) for the hashes of connected players. One task per key sees the block's distinct pairs, as 64-bit hashes of
-    the names: two names of one hash only share a bin."""
+    the names: two names of one hash only share a bin. Contests and vectors look their bins up separately and the task may run once for
+    each, so the bins follow from the set of pairs alone; the order in which a shuffle delivers the pairs differs from run to run."""
     pairs = part.select(*keys, F.xxhash64("player").alias("_pa"), F.xxhash64("opponent").alias("_pb")).groupBy(*keys, "_pa", "_pb").agg(F.count(F.lit(1)).alias("n"))
     fields = [pairs.schema[k] for k in keys]
     schema = StructType(fields).add("_who", "long").add("_bin", "integer")

@@ -36,6 +36,34 @@ def test_pairs_are_connected_by_numbers():
     assert out["_who"].dtype == np.int64 and sorted(out.groupby("_bin")["_who"].apply(sorted)) == [[-7, 2**60], [5, 6]]
 
 
+def _any_order(bin_rows):
+    """``bin_rows`` with its input rows in another order at every call, as a shuffle over several executors delivers them."""
+
+    def wrapped(*args):
+        run = bin_rows(*args)
+        return lambda pairs: run(pairs.sample(frac=1.0).reset_index(drop=True))
+
+    return wrapped
+
+
+@pytest.mark.parametrize("keyed", [False, True])
+def test_blocks_do_not_depend_on_the_order_of_rows(spark, monkeypatch, keyed):
+    # equal copies of one history: groups of players of equal weight, which only their order could tell apart
+    rows = contest_rows(40, players=6, seed=11)
+    n = len(rows)
+    copies = [(r[0] + n * i, r[1], r[2], f"{r[3]}_{i}", f"{r[4]}_{i}", *r[5:]) for i in range(20) for r in rows]
+    c = contests(spark, copies)
+    keys = ["league"] if keyed else []
+    if keyed:
+        c = c.withColumn("league", F.lit(1))
+    names = ["candidate_id", "seq", "pre", "opp_pre", "post", "opp_post"]
+    want = sorted(map(tuple, R.rate(c, CANDS, keys=keys).select(*names).collect()))
+    # contests and vectors of a block look their bins up separately, so both must find the same ones
+    monkeypatch.setattr(scan, "_bin_rows", _any_order(scan._bin_rows))
+    got = sorted(map(tuple, R.rate(c, CANDS, keys=keys, block_rows=200).select(*names).collect()))
+    assert got == want
+
+
 @pytest.mark.parametrize("few", [3, 14])
 def test_only_wanted_outputs_are_written(spark, monkeypatch, few):
     steps = []
