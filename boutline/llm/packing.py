@@ -266,7 +266,7 @@ def _pieces(path: str, end_id: int, capacity: int):
         part = TaskContext.get().partitionId()
         ranks = np.zeros(capacity + 1, np.int64)
         tool = encoder(path)
-        for batch in (x for whole in batches for x in slices(whole, 1, 32 << 20)):
+        for batch in (x for whole in batches for x in slices(whole, 1)):  # encoding takes over 20 bytes a byte of text
             ids, counts = tool.encode(batch.column(1))
             out = {k: [] for k in ("row", "piece", "start", "length", "crc", "rank")}
             ends = np.cumsum(counts)

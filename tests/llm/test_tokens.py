@@ -166,3 +166,23 @@ def test_search_keeps_one_table_of_counts():
         for x, m in pattern:
             held[x] += m * copies
     assert held == collections.Counter(counts)
+
+
+def test_packing_encodes_few_megabytes_at_once(monkeypatch):
+    from types import SimpleNamespace
+
+    from pyspark import TaskContext
+
+    sizes = []
+
+    class Spy:
+        def encode(self, texts):
+            sizes.append(sum(map(len, texts.to_pylist())))
+            return np.zeros(len(texts), np.uint32), np.ones(len(texts), np.int64)
+
+    monkeypatch.setattr(packing, "encoder", lambda path: Spy())
+    monkeypatch.setattr(TaskContext, "get", staticmethod(lambda: SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(["word " * 1000] * 3000)], names=["doc_id", "text"])
+    out = pa.Table.from_batches(packing._pieces("", 1, 4096)(iter([batch])))
+    assert out["doc_id"].to_pylist() == list(range(3000)) and out["_rank"].to_pylist() == list(range(3000))
+    assert sum(sizes) == 15_000_000 and max(sizes) < 5_000_000
