@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 
+def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join that is never broadcast: a broadcast is built in the driver's memory, and a loop of small joins leaves many of them there."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge; ``edges`` has columns u and v of one orderable type. The root is the smallest node of
     the component. Each round points nodes at their smallest neighbour; the rounds grow with the logarithm of the longest chain."""
@@ -17,11 +22,11 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: larger neighbours hang on the smallest one around; both ways of an edge, pre-aggregated per node
         both = state.unionAll(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = merged(both.filter(F.col("v") > F.col("u")), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialize(large.unionAll(least.filter(F.col("m") < F.col("u")).select("u", F.col("m").alias("v"))))
         # small star: smaller neighbours of a node hang on the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = merged(large, low, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         state = materialize(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct())
         # settled when a round leaves the edges as they were
         count = state.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .common import text_or_empty
-from .graph import components
+from .graph import components, merged
 from .shingles import mix, shingle_set
 
 COUNTERS = 1 << 20  # token counters, whatever the size of the corpus
@@ -257,9 +257,9 @@ def similar_components(docs: DataFrame, width: int = 4, percent: int = 85, by_ro
 
     ids = members.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"))
     # alike classes of equal size must share some first tokens; those of other sizes at least one
-    wanted = ids.join(held.select("k1"), "k1", "left_semi")
+    wanted = merged(ids, held.select("k1"), "k1", "left_semi")
     texts = rows.join(wanted.select("doc_id").distinct(), rows.doc_id.eqNullSafe(wanted.doc_id), "left_semi").select("text").mapInArrow(_texts(width), "k1 long, k2 long, text binary")
-    texts = materialize(texts.join(wanted, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]))
+    texts = materialize(merged(texts, wanted, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = texts.select(F.col("k1").alias("x1"), F.col("k2").alias("x2"), F.col("text").alias("x_text"))
@@ -272,8 +272,8 @@ def similar_components(docs: DataFrame, width: int = 4, percent: int = 85, by_ro
     # labels of one component each: where two steps towards the tops lead
     step = links.select(F.col("u.k1").alias("k1"), F.col("v.k1").alias("up")).groupBy("k1").agg(F.min("up").alias("up"))
     second_step = step.select(F.col("k1").alias("up"), F.col("up").alias("upper"))
-    labels = held.select("k1", "held").join(step, "k1", "left").join(second_step, "up", "left").select("k1", "held", F.coalesce("upper", "up", "k1").alias("label"))
-    mixed = buckets.select("token", "k1", "n", "place").join(labels, "k1")
+    labels = merged(held.select("k1", "held"), step, "k1", "left").join(second_step, "up", "left").select("k1", "held", F.coalesce("upper", "up", "k1").alias("label"))
+    mixed = merged(buckets.select("token", "k1", "n", "place"), labels, "k1")
     per_label = mixed.groupBy("token", "label").agg(F.count("k1").alias("c"))
     major = per_label.groupBy("token").agg(F.max(F.struct("c", "label")).alias("b"), F.count("label").alias("labels")).filter("labels > 1")
     open_ = materialize(mixed.join(major.select("token", F.col("b.label").alias("major")), "token"))
@@ -290,10 +290,10 @@ def similar_components(docs: DataFrame, width: int = 4, percent: int = 85, by_ro
     final = components(all_links)
     named = final.select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), F.col("root.k1").alias("r1"), F.col("root.k2").alias("r2"))
     classes_ = members.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    joined = classes_.join(named, ["k1", "k2"], "left")
+    joined = merged(classes_, named, ["k1", "k2"], "left")
     smallest = joined.filter(F.col("r1").isNotNull()).groupBy("r1", "r2").agg(F.min("least").alias("component"))
-    of_class = joined.filter((F.col("copies") > 1) | F.col("r1").isNotNull()).join(smallest, ["r1", "r2"], "left").select("k1", "k2", "r1", "r2", F.coalesce("component", "least").alias("component"))
-    out = members.join(of_class, ["k1", "k2"], "left")
+    of_class = merged(joined.filter((F.col("copies") > 1) | F.col("r1").isNotNull()), smallest, ["r1", "r2"], "left").select("k1", "k2", "r1", "r2", F.coalesce("component", "least").alias("component"))
+    out = merged(members, of_class, ["k1", "k2"], "left")
     root = F.when(F.col("n") > 0, F.struct(F.coalesce("r1", "k1").alias("k1"), F.coalesce("r2", "k2").alias("k2")))
     more = ["row_hash", root.alias("component")] if by_row else []
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), *more)

@@ -15,6 +15,7 @@ the first language by name. Repeated rows get equal results. Only the named colu
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from dataclasses import dataclass, field
@@ -246,8 +247,20 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", id: str =
     found = rows.join(F.broadcast(chosen), id, "left_semi").select(text, lang, id)
     # an id may repeat: still at most ``per_language`` texts of each language come back
     again = F.row_number().over(W.partitionBy(lang).orderBy(F.xxhash64(id), id, F.xxhash64(text)))
-    got = found.withColumn("_again", again).filter(F.col("_again") <= per_language).orderBy(F.xxhash64(id), id, F.xxhash64(text)).select(text, lang).collect()
-    return fit([(r[0], r[1]) for r in got], **fitting)
+    got = found.withColumn("_again", again).filter(F.col("_again") <= per_language)
+    order = [F.xxhash64(id), F.col(id), F.xxhash64(text)]
+    texts = got.repartition(1).sortWithinPartitions(*order).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    # one task fits the bounded sample: only the model, not the texts and what the fit needs, is ever held by the driver
+    fitted = texts.mapInArrow(_fitted(fitting), "model binary").collect()
+    return pickle.loads(bytes(fitted[0][0])) if fitted else fit([], **fitting)
+
+
+def _fitted(fitting: dict):
+    def run(batches):
+        texts = [pair for batch in batches for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, **fitting))], pa.binary())], names=["model"])
+
+    return run
 
 
 def predict(docs: DataFrame, model: Crf, text: str = "text", carry: list[str] | None = None, nested: bool = False) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from boutline.llm.graph import merged
 from boutline.llm.jaccard import similar_components
 from llm_fixtures import frame, prose
 
@@ -73,3 +74,12 @@ def test_link_at_the_threshold_between_groups_that_lead_in_different_buckets(spa
     want = brute(rows, 1)
     assert [c for _, _, c in want].count(0) == 4
     assert sorted(map(tuple, similar_components(frame(spark, rows), width=1).collect())) == sorted(want)
+
+
+def test_small_joins_stay_off_the_driver(spark):
+    a = spark.range(50).selectExpr("id AS u", "id % 7 AS v").repartition(2)
+    b = spark.range(50).selectExpr("id AS u", "id AS m").repartition(2)
+    joined = merged(a, b, "u")
+    assert joined.count() == 50
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in similar_components(frame(spark, [(1, "a b c d e f"), (2, "a b c d e f")]))._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line and "strategy=merge" not in line]

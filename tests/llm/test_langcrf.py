@@ -67,3 +67,18 @@ def test_empty_tables(spark):
     got = langcrf.predict(frame(spark, [(1, "some text")]), none, "text", ["doc_id"]).collect()
     assert [(r.lang_pred, r.score) for r in got] == [("und", 0.0)]
     assert langcrf.predict(frame(spark, []), none, "text", ["doc_id"]).count() == 0
+
+
+def test_the_fit_does_not_run_on_the_driver(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, sentence(rng, lang, 12), lang) for i, lang in enumerate(["xx", "yy"] * 6)]
+    docs = frame(spark, rows)
+    alone = langcrf.fit([(t, lang) for _, t, lang in rows])
+
+    def refused(*_, **__):
+        raise AssertionError("the driver fits")
+
+    monkeypatch.setattr(langcrf, "posteriors", refused)  # workers import their own
+    model = langcrf.train(docs)
+    assert model.languages == alone.languages and model.lexicon == alone.lexicon
+    assert np.allclose(model.weights, alone.weights, atol=1e-4)
