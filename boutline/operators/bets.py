@@ -100,6 +100,14 @@ def attach_prices(picks: DataFrame, prices: DataFrame, fallback: str = "strict")
     return out.withColumn("american", price).drop("_own", "_other").filter(F.col("american").isNotNull())
 
 
+def both_prices(df: DataFrame, prices: DataFrame) -> DataFrame:
+    """Add the prices of both sides' own rows, ``_price`` and ``_opp_price``, for contests whose pick is not known yet."""
+    own = prices.select("player", "opponent", "day", F.col("american").alias("_price"))
+    other = prices.select(F.col("opponent").alias("player"), F.col("player").alias("opponent"), "day", F.col("american").alias("_opp_price"))
+    on = ["player", "opponent", "day"]
+    return df.join(own, on, "left").join(other, on, "left")
+
+
 def picks(df: DataFrame) -> DataFrame:
     """The side with the higher rating; equal ratings give no pick."""
     up = F.col("pre") > F.col("opp_pre")

@@ -73,10 +73,10 @@ def oos_predictions(rated: DataFrame, trained: DataFrame, holdout: DataFrame, ca
     )
 
 
-def frozen_at(trained: DataFrame, holdout: DataFrame) -> DataFrame:
-    """For each holdout contest and side the training contest (``at_seq``, ``at_side``) that its as-of rating comes from; none for the unknown.
+def frozen_at(trained: DataFrame, holdout: DataFrame, day: str = "day") -> DataFrame:
+    """For each holdout contest and side the training contest (``at_seq``, ``at_side``) that its rating as of ``day`` comes from; none for the unknown.
     No rating is needed for this."""
-    probes = sides(holdout.select("seq", "day", "player", "opponent")).select("seq", "day", "side", F.col("who").alias("player"))
+    probes = sides(holdout.select("seq", F.col(day).alias("day"), "player", "opponent")).select("seq", "day", "side", F.col("who").alias("player"))
     played = trained.filter(F.col("result").isNotNull() | F.col("is_draw"))
     known = sides(played.select("seq", "day", "player", "opponent")).select("seq", "day", "side", F.col("who").alias("player"))
     found = H.as_of(probes, materialize(known), ["player"], {"at_seq": F.col("seq"), "at_side": F.col("side")}, ["seq", "side"])
@@ -104,14 +104,20 @@ def oos_grid(trained: DataFrame, holdout: DataFrame, candidates: list[dict], mat
     return compare_frozen(known, frozen, vectors, len(candidates))
 
 
-def compare_frozen(known: DataFrame, frozen: DataFrame, vectors: DataFrame, candidates: int) -> DataFrame:
-    """Predictions per candidate from the vectors of ``FROZEN``."""
+def with_frozen(known: DataFrame, frozen: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Add ``rating`` and ``opp_rating``, the frozen vectors of both sides, from the vectors of ``FROZEN``; null for the unknown."""
     ends = F.explode(F.array(*[F.struct(F.lit(s).alias("at_side"), F.col(c).alias("vector")) for s, c in enumerate(FROZEN)])).alias("e")
     ends = materialize(vectors.select(F.col("seq").alias("at_seq"), ends).select("at_seq", "e.*").filter(F.col("vector").isNotNull()))
-    faced = known.select("seq", "result")
+    faced = known
     for side, name in enumerate(("rating", "opp_rating")):
         own = frozen.filter(F.col("side") == side).join(ends, ["at_seq", "at_side"]).select("seq", F.col("vector").alias(name))
         faced = faced.join(own, "seq", "left")
+    return faced
+
+
+def compare_frozen(known: DataFrame, frozen: DataFrame, vectors: DataFrame, candidates: int) -> DataFrame:
+    """Predictions per candidate from the vectors of ``FROZEN``."""
+    faced = with_frozen(known.select("seq", "result"), frozen, vectors)
     base = F.array_repeat(F.lit(S.BASE_RATING), candidates)
     both = F.arrays_zip(F.coalesce("rating", base).alias("rating"), F.coalesce("opp_rating", base).alias("opp_rating"))
     rows = faced.select("seq", "result", F.posexplode(both).alias("candidate_id", "_v")).select("candidate_id", "seq", "result", "_v.rating", "_v.opp_rating")

@@ -9,10 +9,11 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from . import history as H
-from .bets import attach_prices, decided, first_per_pair, picks, price_table, settle
-from .oos import latest_for_both, ratings_as_of
-from .ratings import rate, with_candidates
+from .bets import attach_prices, both_prices, decided, first_per_pair, picks, price_table, settle
+from .oos import FROZEN, flag_frozen, frozen_at, latest_for_both, with_frozen
+from .ratings import rate, rate_vectors, with_candidates
 
 MIN_TRAIN_ROWS = 10
 
@@ -133,23 +134,36 @@ def window_rows(contests: DataFrame, splits: list[dict], start: str, end: str) -
 def split_bets(contests: DataFrame, odds: DataFrame, candidates: list[dict], splits: list[dict], window: str = "expanding") -> DataFrame:
     """Bets of every candidate on every validation window with ratings frozen at its start.
 
-    Expanding windows share one scan per candidate: the frozen rating is the last one before the window's start, an as-of lookup, because
-    a rating before a day never depends on later contests. Rolling windows start empty and follow each other, so a contest trains one
-    split only; the scan is keyed by split.
+    Expanding windows share one scan: the frozen rating is the last one before the window's start, because a rating before a day never
+    depends on later contests. Which contest that is and both sides' prices depend on the contest alone and are looked up once for all
+    candidates, before the scan, which returns the vectors asked for. Rolling windows start empty and follow each other, so a contest trains
+    one split only; the scan is keyed by split.
     """
     keys = ["candidate_id", "split_id"]
     rows = contests.select("seq", "day", "player", "opponent", "result", "is_draw")
     val = first_per_pair(decided(window_rows(rows, splits, "val_start", "val_end")), ["split_id"])
-    cards = with_candidates(val, candidates).drop("c")
     if window == "expanding":
-        faced = ratings_as_of(cards, H.history(rate(contests, candidates), ["candidate_id"]), ["candidate_id"], day="val_start")
-    else:
-        train = window_rows(contests, splits, "train_start", "val_start").drop("val_start")
-        faced = latest_for_both(cards, H.latest_ratings(H.history(rate(train, candidates, keys=["split_id"]), keys), keys), keys)
+        return _expanding_bets(contests, val, odds, candidates)
+    cards = with_candidates(val, candidates).drop("c")
+    train = window_rows(contests, splits, "train_start", "val_start").drop("val_start")
+    faced = latest_for_both(cards, H.latest_ratings(H.history(rate(train, candidates, keys=["split_id"]), keys), keys), keys)
     known = faced.filter(F.col("rating").isNotNull() & F.col("opp_rating").isNotNull()).withColumns({"pre": F.col("rating"), "opp_pre": F.col("opp_rating")})
     return settle(attach_prices(picks(known), price_table(odds), "mirror"))
 
 
+def _expanding_bets(contests: DataFrame, val: DataFrame, odds: DataFrame, candidates: list[dict]) -> DataFrame:
+    """Bets on validation contests, each in one split, with the ratings before its ``val_start``; nothing is joined per candidate."""
+    priced = both_prices(val, price_table(odds)).filter(F.col("_price").isNotNull() | F.col("_opp_price").isNotNull())
+    known = materialize(priced)
+    frozen = materialize(frozen_at(contests, known, "val_start"))
+    vectors = rate_vectors(flag_frozen(contests, frozen), candidates, carry=["_own", "_opp"], emit=FROZEN)
+    faced = with_frozen(known, frozen, vectors).filter(F.col("rating").isNotNull() & F.col("opp_rating").isNotNull())
+    each = faced.select(*known.columns, F.posexplode(F.arrays_zip(F.col("rating").alias("pre"), F.col("opp_rating").alias("opp_pre"))).alias("candidate_id", "_v"))
+    picked = picks(each.select("*", "_v.pre", "_v.opp_pre").drop("_v"))
+    price = F.when(F.col("pre") > F.col("opp_pre"), F.coalesce("_price", "_opp_price")).otherwise(F.coalesce("_opp_price", "_price"))
+    return settle(picked.withColumn("american", price)).drop("_price", "_opp_price")
+
+
 def split_roi(bets: DataFrame, candidates: list[dict], splits: list[dict]) -> DataFrame:
     """ROI per candidate and split; a split without bets has an ROI of zero."""
     grid = bets.sparkSession.createDataFrame([(c, s["split_id"]) for c in range(len(candidates)) for s in splits], "candidate_id int, split_id int")

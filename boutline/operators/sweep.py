@@ -98,11 +98,7 @@ def flag_bets(contests: DataFrame, odds: DataFrame, lookback: int | None = None)
     """Contests with ``_bet`` (``bet_records`` would bet on it if the ratings differ) and the prices of both sides. No rating is needed for this."""
     thin = contests.select("seq", "day", "player", "opponent", "result", "is_draw")
     open_ = K.with_prior_history(K.first_per_pair(K.decided(K.within_lookback(thin, lookback, contests))), contests)
-    prices = K.price_table(odds)
-    own = prices.select("player", "opponent", "day", F.col("american").alias("_price"))
-    other = prices.select(F.col("opponent").alias("player"), F.col("player").alias("opponent"), "day", F.col("american").alias("_opp_price"))
-    on = ["player", "opponent", "day"]
-    priced = open_.join(own, on, "left").join(other, on, "left").filter(F.col("_price").isNotNull() | F.col("_opp_price").isNotNull())
+    priced = K.both_prices(open_, K.price_table(odds)).filter(F.col("_price").isNotNull() | F.col("_opp_price").isNotNull())
     flagged = contests.join(priced.select("seq", F.lit(True).alias("_bet"), "_price", "_opp_price"), "seq", "left")
     return materialize(flagged.na.fill(False, ["_bet"]))
 

@@ -111,6 +111,21 @@ def test_split_windows_agree_with_scans_per_split(spark):
     assert key(fast) == key(slow) and len(key(fast)) > 5
 
 
+def test_expanding_splits_join_contests_not_candidates(spark):
+    """Prices fall back on the mirrored row as for rolling windows, and no join stands above the rows per candidate."""
+    c = contests(spark, contest_rows(90))
+    splits = X.make_splits(c, 2, "expanding", 3)
+    price = F.when(F.col("seq") % 5 == 0, 0.0).when(F.col("seq") % 5 != 1, -120.0 - F.col("seq"))
+    rows = c.select((F.col("seq") * 2).alias("odds_seq"), "day", "player", "opponent", price.alias("american"))
+    mirror = c.filter("seq % 3 = 0").select((F.col("seq") * 2 + 1).alias("odds_seq"), "day", F.col("opponent").alias("player"), F.col("player").alias("opponent"), (100.0 + F.col("seq")).alias("american"))
+    o, candidates = rows.unionAll(mirror), [{"k": 32.0}, {"k": 200.0, "w_ko": 1.9}]
+    fast, slow = (X.split_bets(c, o, candidates, splits, w) for w in ("expanding", "rolling"))
+    key = lambda df: sorted((r["candidate_id"], r["split_id"], r["seq"], r["bet_on"], r["bet_won"], r["american"], round(r["profit"], 9)) for r in df.collect())
+    assert key(fast) == key(slow) and len(key(fast)) > 10 and {r[5] > 0 for r in key(fast)} == {True, False}
+    plan = fast._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert min(i for i, line in enumerate(plan) if "Generate" in line) < min(i for i, line in enumerate(plan) if "Join" in line)
+
+
 def test_cleaning(spark):
     raw = spark.createDataFrame([("2024-01-05T10:00:00Z", "A", "B", " 1", "0", "0"), ("bad", "C", "D", "n/a", None, "1")], "DATE string, player string, opponent string, result string, win string, loss string")
     rows = C.clean_contests(raw).orderBy("player").collect()
