@@ -168,3 +168,13 @@ def bet_records(
 def with_counts_filter(rated_with_bouts: DataFrame) -> DataFrame:
     """Eligibility by bout counts instead of dates: both sides have at least one earlier contest."""
     return decided(rated_with_bouts).filter((F.col("bouts") >= 1) & (F.col("opp_bouts") >= 1) & (F.col("pre") != F.col("opp_pre")))
+
+
+def vector_bets(faced: DataFrame) -> DataFrame:
+    """Bets per candidate on contests that carry the vectors ``rating`` and ``opp_rating`` and ``both_prices``, with the other side's row as a
+    fallback. Nothing is joined per candidate."""
+    kept = [c for c in faced.columns if c not in ("rating", "opp_rating")]
+    each = faced.select(*kept, F.posexplode(F.arrays_zip(F.col("rating").alias("pre"), F.col("opp_rating").alias("opp_pre"))).alias("candidate_id", "_v"))
+    picked = picks(each.select("*", "_v.pre", "_v.opp_pre").drop("_v"))
+    price = F.when(F.col("pre") > F.col("opp_pre"), F.coalesce("_price", "_opp_price")).otherwise(F.coalesce("_opp_price", "_price"))
+    return settle(picked.withColumn("american", price).filter(F.col("american").isNotNull())).drop("_price", "_opp_price")

@@ -83,6 +83,14 @@ def frozen_at(trained: DataFrame, holdout: DataFrame, day: str = "day") -> DataF
     return found.filter(F.col("at_seq").isNotNull()).select("seq", "side", "at_seq", "at_side")
 
 
+def frozen_last(trained: DataFrame, holdout: DataFrame) -> DataFrame:
+    """As ``frozen_at``, with each player's last training contest whatever the day."""
+    played = trained.filter(F.col("result").isNotNull() | F.col("is_draw"))
+    last = sides(played.select("seq", "day", "player", "opponent")).groupBy("who").agg(F.max(F.struct("day", "seq", "side")).alias("_e"))
+    each = sides(holdout.select("seq", "player", "opponent")).select("seq", "side", "who")
+    return each.join(last, "who").select("seq", "side", F.col("_e.seq").alias("at_seq"), F.col("_e.side").alias("at_side"))
+
+
 def flag_frozen(trained: DataFrame, frozen: DataFrame) -> DataFrame:
     """Training contests with ``_own`` and ``_opp``: whether a holdout contest needs the rating of that side after it."""
     need = frozen.groupBy(F.col("at_seq").alias("seq")).agg(F.max(F.col("at_side") == 0).alias("_own"), F.max(F.col("at_side") == 1).alias("_opp"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import history as H
-from .bets import attach_prices, both_prices, decided, first_per_pair, picks, price_table, settle
+from .bets import attach_prices, both_prices, decided, first_per_pair, picks, price_table, settle, vector_bets
 from .oos import FROZEN, flag_frozen, frozen_at, latest_for_both, with_frozen
 from .ratings import rate, rate_vectors, with_candidates
 
@@ -157,11 +157,7 @@ def _expanding_bets(contests: DataFrame, val: DataFrame, odds: DataFrame, candid
     known = materialize(priced)
     frozen = materialize(frozen_at(contests, known, "val_start"))
     vectors = rate_vectors(flag_frozen(contests, frozen), candidates, carry=["_own", "_opp"], emit=FROZEN)
-    faced = with_frozen(known, frozen, vectors).filter(F.col("rating").isNotNull() & F.col("opp_rating").isNotNull())
-    each = faced.select(*known.columns, F.posexplode(F.arrays_zip(F.col("rating").alias("pre"), F.col("opp_rating").alias("opp_pre"))).alias("candidate_id", "_v"))
-    picked = picks(each.select("*", "_v.pre", "_v.opp_pre").drop("_v"))
-    price = F.when(F.col("pre") > F.col("opp_pre"), F.coalesce("_price", "_opp_price")).otherwise(F.coalesce("_opp_price", "_price"))
-    return settle(picked.withColumn("american", price)).drop("_price", "_opp_price")
+    return vector_bets(with_frozen(known, frozen, vectors).filter(F.col("rating").isNotNull() & F.col("opp_rating").isNotNull()))
 
 
 def split_roi(bets: DataFrame, candidates: list[dict], splits: list[dict]) -> DataFrame:

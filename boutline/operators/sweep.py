@@ -10,12 +10,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fitness as FIT
+from ..functions import scalar as S
 from ..session import materialize
 from ..sources.contests import FLAGS
 from . import bets as K
 from . import consistency as C
 from . import metrics as M
-from .oos import FROZEN, compare_frozen, flag_frozen, frozen_at, oos_accuracy
+from .history import players, rename_by_match
+from .oos import FROZEN, compare_frozen, flag_frozen, frozen_at, frozen_last, oos_accuracy, with_frozen
 from .ratings import bout_counts, rate, rate_vectors
 from .scan import unfold
 
@@ -108,11 +110,32 @@ def candidate_bets(contests: DataFrame, odds: DataFrame, candidates: list[dict],
     the scan; it returns the ratings of those contests, and nothing is joined or shuffled per candidate."""
     carry = ["result", "_bet", "_price", "_opp_price"]
     vectors = rate_vectors(flag_bets(contests, odds, lookback), candidates, decay, moves, carry, emit={"pre": "_bet", "opp_pre": "_bet"})
-    picked = K.picks(unfold(vectors, carry=carry[:1] + carry[2:]))
+    return flagged_bets(vectors)
+
+
+def flagged_bets(vectors: DataFrame) -> DataFrame:
+    """Bets per candidate on the rated contests of ``flag_bets``."""
+    rows = vectors.filter("_bet").select("seq", "day", "player", "opponent", "result", "_price", "_opp_price", "pre", "opp_pre")
+    picked = K.picks(unfold(rows, carry=["result", "_price", "_opp_price"]))
     price = F.when(F.col("pre") > F.col("opp_pre"), F.col("_price")).otherwise(F.col("_opp_price"))
     return K.settle(picked.withColumn("american", price).filter(F.col("american").isNotNull())).drop("_price", "_opp_price")
 
 
+def train_and_holdout_bets(trained: DataFrame, holdout: DataFrame, odds: DataFrame, candidates: list[dict], lookback: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``candidate_bets`` on the training contests and ``oos_bets`` on the holdout, from one scan. Prices and the contests whose ratings the
+    holdout is frozen at are joined once for all candidates, and the scan returns only the vectors these need."""
+    cards = rename_by_match(K.first_per_pair(K.decided(holdout)), players(trained))
+    priced = K.both_prices(cards, K.price_table(odds)).filter(F.col("_price").isNotNull() | F.col("_opp_price").isNotNull())
+    known = materialize(priced)
+    frozen = materialize(frozen_last(trained, known))
+    flagged = flag_frozen(flag_bets(trained, odds, lookback), frozen)
+    carry = ["result", "_bet", "_price", "_opp_price", "_own", "_opp"]
+    vectors = materialize(rate_vectors(flagged, candidates, carry=carry, emit={"pre": "_bet", "opp_pre": "_bet", **FROZEN}))
+    base = F.array_repeat(F.lit(S.BASE_RATING), len(candidates))
+    faced = with_frozen(known, frozen, vectors).withColumns({c: F.coalesce(c, base) for c in ("rating", "opp_rating")})
+    return flagged_bets(vectors), K.vector_bets(faced)
+
+
 def evaluate_roi(contests: DataFrame, odds: DataFrame, candidates: list[dict], lookback: int | None = None, decay: bool = False, moves: bool = False) -> DataFrame:
     """ROI and number of bets of each candidate; no bets give an ROI of zero."""
     bets = candidate_bets(contests, odds, candidates, lookback, decay, moves)

@@ -66,9 +66,9 @@ def param_robustness(t):
     c = materialize(t.orders_contests())
     train = materialize(train_part(c))
     odds = t.odds(c)
-    rated = materialize(R.rate(train, ROBUST, carry=["result", "is_draw"]))
-    tr = M.roi_summary(K.bet_records(rated, train, odds, Z.KEYS, 90), Z.KEYS).select("candidate_id", F.col("roi").alias("train_roi"))
-    oos = O.oos_roi(O.oos_bets(rated, train, t.holdout(c, HOLD_DAYS), odds, ROBUST)).select("candidate_id", F.col("roi").alias("oos_roi"), F.col("bets").alias("oos_bets"))
+    inside, outside = Z.train_and_holdout_bets(train, t.holdout(c, HOLD_DAYS), odds, ROBUST, 90)
+    tr = M.roi_summary(inside, Z.KEYS).select("candidate_id", F.col("roi").alias("train_roi"))
+    oos = O.oos_roi(outside).select("candidate_id", F.col("roi").alias("oos_roi"), F.col("bets").alias("oos_bets"))
     g = tr.join(oos, "candidate_id", "left").na.fill(0)
     g = g.withColumns({"searched": (F.col("candidate_id") == 0).cast("int"), "roi_drop": F.col("train_roi") - F.col("oos_roi")})
     others = F.when(F.col("searched") == 0, F.col("roi_drop"))

@@ -6,7 +6,9 @@ from helpers import contest_rows, contests
 from boutline.operators import bets as K
 from boutline.operators import history as H
 from boutline.operators import oos as O
+from boutline.operators import ratings as R
 from boutline.operators import splits as X
+from boutline.operators import sweep as Z
 from boutline.sources import contests as C
 from pyspark.sql import functions as F
 
@@ -126,6 +128,23 @@ def test_expanding_splits_join_contests_not_candidates(spark):
     assert min(i for i, line in enumerate(plan) if "Generate" in line) < min(i for i, line in enumerate(plan) if "Join" in line)
 
 
+def test_training_and_holdout_bets_share_one_scan(spark):
+    """The bets are those of a scan per candidate whose rows are joined, and no join stands above the rows per candidate."""
+    c = contests(spark, contest_rows(90))
+    cut = c.agg(F.date_sub(F.max("day"), 30)).first()[0]
+    train, hold = c.filter(F.col("day") <= F.lit(cut)), c.filter(F.col("day") > F.lit(cut)).withColumn("player", F.when(F.col("seq") % 4 == 0, F.upper("player")).otherwise(F.col("player")))
+    side = F.col("seq") % 3
+    o = c.filter(side < 2).select(F.col("seq").alias("odds_seq"), "day", F.when(side == 0, F.col("player")).otherwise(F.col("opponent")).alias("player"), F.when(side == 0, F.col("opponent")).otherwise(F.col("player")).alias("opponent"), (-120.0 - F.col("seq")).alias("american"))
+    candidates = [{"k": 32.0}, {"k": 200.0, "w_ko": 1.9}]
+    inside, outside = Z.train_and_holdout_bets(train, hold, o, candidates, 300)
+    rated = R.rate(train, candidates, carry=["result", "is_draw"])
+    key = lambda df: sorted((r["candidate_id"], r["seq"], r["bet_on"], r["bet_won"], r["american"], round(r["diff"], 9), round(r["profit"], 9)) for r in df.collect())
+    assert key(outside) == key(O.oos_bets(rated, train, hold, o, candidates)) and key(outside)
+    assert key(inside) == key(K.bet_records(rated, train, o, ["candidate_id"], 300)) and key(inside)
+    plan = outside._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert min(i for i, line in enumerate(plan) if "Generate" in line) < min(i for i, line in enumerate(plan) if "Join" in line)
+
+
 def test_cleaning(spark):
     raw = spark.createDataFrame([("2024-01-05T10:00:00Z", "A", "B", " 1", "0", "0"), ("bad", "C", "D", "n/a", None, "1")], "DATE string, player string, opponent string, result string, win string, loss string")
     rows = C.clean_contests(raw).orderBy("player").collect()
