@@ -202,7 +202,7 @@ dt AS (SELECT b.seq, b.day, b.bet_on, b.bet_against, b.bet_won, b.american, b.pr
 
 
 def _event_tables(t):
-    c, rated = rated_events(t, carry=[*CARRY, *FLAGS, "round"])
+    c, rated = rated_events(t, carry=[*CARRY, *FLAGS, "round"], emit=None)
     rated = materialize(rated)
     odds = t.odds(c)
     bets = materialize(K.bet_records(rated, c, odds, dedup="late", fallback="both"))

@@ -8,6 +8,7 @@ import pytest
 from helpers import contest_rows, contests
 from pyspark.sql import functions as F
 
+from boutline.operators import history as H
 from boutline.operators import oos as O
 from boutline.operators import ratings as R
 from boutline.operators import scan
@@ -124,3 +125,38 @@ def test_candidate_bets_equal_bet_records(spark, lookback):
     # nothing is joined per candidate: the rows are unfolded after the last join
     plan = mine._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan.split("MapInArrow")[0]
+
+
+def _copies(spark, n):
+    rows = contest_rows(40, players=6, seed=11)
+    return contests(spark, [(r[0] + len(rows) * i, r[1], r[2], f"{r[3]}_{i}", f"{r[4]}_{i}", *r[5:]) for i in range(n) for r in rows])
+
+
+def test_bins_are_dealt_evenly_and_arrays_are_never_null(spark):
+    # nulls in an array column make Spark's Arrow writer quadratic in a batch, and hashed bins gave some tasks a multiple of others
+    c = _copies(spark, 64)
+    scanned = R.vector_scan(c, CANDS, decay=True)
+    who = scanned.rows.select(F.explode(F.array("player", "opponent")).alias("who")).distinct()
+    state = who.filter(F.col("who").contains("_1")).withColumn("vector", F.array(*[F.lit(1500.0)] * len(CANDS)))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for given in (None, state):
+        rows = scanned.dealt(scanned.rows, given, who.withColumn("_next", F.lit(1))).withColumn("_task", F.spark_partition_id())
+        seen = rows.select("_task", "_bin", *[F.col(x).isNull().cast("int").alias(x) for x in ("_r", "_fa", "_fb", "_ba", "_bb")]).toPandas()
+        assert seen[["_r", "_fa", "_fb", "_ba", "_bb"]].to_numpy().sum() == 0
+        per_task = seen.groupby("_task")["_bin"].nunique()
+        assert (seen.groupby("_bin")["_task"].nunique() == 1).all() and seen["_bin"].nunique() == 64
+        assert len(per_task) == min(tasks, 64) and per_task.max() == -(-64 // tasks)
+
+
+@pytest.mark.parametrize("block_rows", [10_000, 100])
+def test_only_the_outputs_asked_for_are_rated(spark, block_rows):
+    c = _copies(spark, 8)
+    every = R.rate(c, CANDS, block_rows=block_rows)
+    for names in (["pre", "opp_pre"], ["post", "opp_post"]):
+        some = R.rate(c, CANDS, block_rows=block_rows, emit=dict.fromkeys(names))
+        assert not {"pre", "opp_pre", "post", "opp_post"} - set(names) & set(some.columns)
+        by = ["candidate_id", "seq", *names]
+        assert sorted(map(tuple, some.select(*by).collect())) == sorted(map(tuple, every.select(*by).collect()))
+    hist = H.history(some, ["candidate_id"])
+    want = H.history(every, ["candidate_id"]).drop("pre")
+    assert sorted(map(tuple, hist.collect())) == sorted(map(tuple, want.collect()))
