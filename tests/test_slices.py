@@ -174,3 +174,24 @@ def test_careers_equal_a_walk_through_the_contests(spark):
             past.setdefault(players[side], []).append(
                 {"won": won, "finished": won * finish, "sig": own[side][0], "minutes": seq % 5 + 1, "other_sig": own[1 - side][0], "other_att": own[1 - side][1]}
             )
+
+
+def test_without_hot_keys_one_window_is_enough(spark):
+    rng = random.Random(4)
+    rows = [(f"p{rng.randrange(400)}", DAY + dt.timedelta(days=rng.randrange(200)), i, rng.choice([-1.0, 0.5, 2.0, None])) for i in range(4000)]
+    df, hot = frame(spark, rows), frame(spark, hot_rows())
+    assert P.uncrowded(df, ["who"]) and not P.uncrowded(hot, ["who"]) and not P.uncrowded(df, ["who"], 5) and not P.uncrowded(df, [])
+    spec = {"s": ("sum", F.col("profit")), "n": ("count", F.lit(1)), "m": ("max", F.col("profit")), "l": ("min", F.col("profit"))}
+    order = ["day", "seq"]
+
+    def both(table):
+        out = P.running(table, ["who"], P.month_slice("day"), order, spec, inclusive=False)
+        return P.last_values(out, ["who"], P.month_slice("day"), order, F.col("profit"), 3)
+
+    whole = both(df)
+    assert "Join" not in whole._jdf.queryExecution().executedPlan().toString()
+    # the same table with the few rows of one player that make it hot: the sliced form must agree on all others
+    mixed = df.unionByName(frame(spark, [("hot", DAY, 10_000 + i, 1.0) for i in range(1500)]))
+    assert "Join" in both(mixed)._jdf.queryExecution().executedPlan().toString()
+    want = sorted(map(str, both(mixed).filter("who <> 'hot'").collect()))
+    assert sorted(map(str, whole.collect())) == want and len(want) == 4000
