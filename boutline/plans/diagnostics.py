@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from ..functions import scalar as S
 from ..operators import diagnostics as D
+from ..operators import ratings as R
 from ..session import materialize
 from . import query
 from . import sqltext as T
-from .betting import CARRY, RATED_OC, _rounded, rated_orders
-from .metrics import FLAGS, _BOUTS_SQL
+from .betting import BEFORE, CAND, CARRY, RATED_OC, _rounded
+from .metrics import _BOUTS_SQL
 
 LOOKBACK = 1460
 
@@ -41,7 +42,8 @@ RECORDS = _records_sql()
 
 
 def records(t, lookback=None):
-    c, rated = rated_orders(t, carry=[*CARRY, *FLAGS])
+    c = materialize(t.orders_contests())
+    rated = R.rate(c.withColumn("method", S.method_label("Other")), CAND, carry=[*CARRY, "method"], emit=BEFORE)
     return D.records(rated, c, t.odds(c), lookback)
 
 

@@ -160,3 +160,15 @@ def test_only_the_outputs_asked_for_are_rated(spark, block_rows):
     hist = H.history(some, ["candidate_id"])
     want = H.history(every, ["candidate_id"]).drop("pre")
     assert sorted(map(tuple, hist.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_diagnostic_records_carry_one_label_through_the_scan(spark, monkeypatch):
+    from boutline.plans import diagnostics as PD
+    from boutline.sources.tables import Tables
+
+    carried = []
+    rate = R.rate
+    monkeypatch.setattr(R, "rate", lambda *a, **k: carried.append(k["carry"]) or rate(*a, **k))
+    rows = PD.records(Tables(spark, "/root/testdata/sf0.001"))
+    assert carried == [["result", "is_draw", "played_at", "method"]]
+    assert {r["method"] for r in rows.select("method").distinct().collect()} <= {"KO/TKO", "Submission", "Unanimous Decision", "Split Decision", "Majority Decision", "Other"}
