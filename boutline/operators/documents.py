@@ -14,14 +14,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fitness as FIT
+from ..functions import scalar as S
 from ..session import materialize
-from ..sources.contests import FLAGS
 from ..sources.sinks import finite
 from . import bets as K
 from . import consistency as C
 from . import metrics as M
-from .ratings import bout_counts, rate
-from .sweep import KEYS, train_val_side
+from .oos import FROZEN, compare_frozen, flag_frozen, frozen_at, oos_accuracy
+from .ratings import bout_counts, rate_vectors
+from .scan import unfold
+from .sweep import KEYS, flagged_bets, train_val_side
 
 FEW_BETS = 30
 
@@ -44,6 +46,32 @@ def _window_rois(bets: DataFrame, contests: DataFrame, lookback: int, validation
     return {s: M.roi_summary(sided.filter(F.col("side") == s), KEYS).select(*KEYS, F.col("roi").alias("roi_percent"), F.col("bets").alias("num_bets")) for s in ("train", "val")}
 
 
+def _counted_vectors(contests: DataFrame, odds: DataFrame, candidates: list[dict], decay: bool, moves: bool, frozen: DataFrame | None = None) -> DataFrame:
+    """Contests that are predicted, with what the metrics need of them and the vectors ``pre`` and ``opp_pre``; ``_bet`` as in ``flag_bets``. History,
+    repeated pairs, prices and bout counts depend on the contest alone and are joined once per contest; rows per candidate are never written. With
+    ``frozen`` also the vectors of ``FROZEN``."""
+    thin = contests.select("seq", "day", "player", "opponent", "result", "is_draw")
+    pair = W.partitionBy(F.least("player", "opponent"), F.greatest("player", "opponent"), "day").orderBy("seq")
+    open_ = K.with_prior_history(K.decided(thin).withColumn("_nth", F.row_number().over(pair)), contests)
+    bet = (F.col("_nth") == 1) & (F.col("_price").isNotNull() | F.col("_opp_price").isNotNull())
+    flags = K.both_prices(open_, K.price_table(odds)).select("seq", F.lit(True).alias("_counted"), bet.alias("_bet"), "_price", "_opp_price")
+    flags = flags.join(bout_counts(thin).select("seq", "bouts", "opp_bouts"), "seq")
+    flagged = contests.drop("played_at", "win", "loss").withColumn("method", S.method_label_by_ones()).join(flags, "seq", "left")
+    flagged = flagged.na.fill(False, ["_counted", "_bet"])
+    flagged = materialize(flagged if frozen is None else flag_frozen(flagged, frozen))
+    carry = ["result", "method", "bouts", "opp_bouts", "_bet", "_price", "_opp_price"]
+    emit = {"pre": "_counted", "opp_pre": "_counted"}
+    flags = ["_counted", *(FROZEN.values() if frozen is not None else ())]
+    emit |= FROZEN if frozen is not None else {}
+    return materialize(rate_vectors(flagged, candidates, decay, moves, [*carry, *flags], emit=emit, store=False).drop(*flags))
+
+
+def _scored(vectors: DataFrame) -> DataFrame:
+    """``scored`` of every candidate on ``_counted_vectors``."""
+    rows = unfold(vectors.drop(*FROZEN), carry=["result", "method", "bouts", "opp_bouts"]).filter(F.col("pre") != F.col("opp_pre"))
+    return rows.withColumns({"prob": S.expected_score("pre", "opp_pre", S.RATING_SCALE), "diff": F.col("pre") - F.col("opp_pre")})
+
+
 def run_documents(
     contests: DataFrame,
     odds: DataFrame,
@@ -56,18 +84,26 @@ def run_documents(
     validation: float = 0.5,
     decay: bool = False,
     moves: bool = False,
+    holdout: DataFrame | None = None,
+    holdout_days: int | None = None,
 ) -> DataFrame:
     """(candidate_id, config, document, summary...) for every configuration (``{"name", "params"}``), evaluated by one scan.
 
-    ``oos`` holds out-of-sample columns by candidate, ``evolution`` rows of (candidate_id, generation, ...); both may be absent. ``best_fitness``
+    ``oos`` holds out-of-sample columns by candidate; with ``holdout`` it is the accuracy on that table, of ratings frozen ``holdout_days`` before the
+    last day, from the same scan (a rating never depends on later contests). ``evolution`` has rows of (candidate_id, generation, ...); both may be absent. ``best_fitness``
     weighs by ``weights``; without any it is the ROI.
     """
     spark = contests.sparkSession
-    rated = materialize(rate(contests, [c["params"] for c in configs], decay=decay, moves=moves, carry=["result", "is_draw", "played_at", *FLAGS]))
-    bets = materialize(K.bet_records(rated, contests, odds, KEYS))
-    bouts = bout_counts(contests.select("seq", "day", "player", "opponent")).select("seq", "bouts", "opp_bouts")
-    scored = materialize(K.scored(rated, contests).join(bouts, "seq"))
-    buckets = materialize(C.by_bucket(scored, C.dimensions(), KEYS))
+    frozen = None
+    if holdout is not None:
+        known = materialize(K.decided(holdout).select("seq", "day", "player", "opponent", "result"))
+        train = contests.filter(F.col("day") <= contests.agg(F.date_sub(F.max("day"), holdout_days or 0)).scalar())
+        frozen = materialize(frozen_at(train, known))
+    vectors = _counted_vectors(contests, odds, [c["params"] for c in configs], decay, moves, frozen)
+    if holdout is not None:
+        oos = oos_accuracy(compare_frozen(known, frozen, vectors, len(configs))).select(*KEYS, "n", "accuracy")
+    bets, scored = flagged_bets(vectors), _scored(vectors)
+    buckets = materialize(C.by_bucket(scored, {**C.dimensions(), "method": F.col("method")}, KEYS))
     about = [(i, c["name"], {k: float(v) for k, v in c["params"].items() if not isinstance(v, str)}) for i, c in enumerate(configs)]
     windows = _window_rois(bets, contests, lookback, validation)
     roi = M.roi_extended(bets, KEYS).withColumn("roi", F.try_divide(F.col("profit"), F.col("wagered")) * 100.0)
@@ -79,7 +115,7 @@ def run_documents(
         "line": M.calibration_line(scored, KEYS).select(*KEYS, "slope", "intercept"),
         "auc": M.auc(scored, KEYS).select(*KEYS, "auc"),
         "cons": C.overall(C.spread(buckets, KEYS), KEYS),
-        "fall": M.max_drawdown(bets, KEYS).select(*KEYS, "max_drawdown"),
+        "fall": M.deepest_drawdown(bets, KEYS),
         **windows,
     }
     many = {

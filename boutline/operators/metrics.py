@@ -243,6 +243,23 @@ def drawdown_series(bets: DataFrame, keys: list[str] = ()) -> DataFrame:
     return joined.withColumns({"value": value, "peak": peak}).select(*keys, "day", "seq", "value", "peak", (F.col("peak") - F.col("value")).alias("drawdown"))
 
 
+def deepest_drawdown(bets: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """``max_drawdown`` of ``max_drawdown`` alone. No series is written: a slice is summed up by its total, its highest and lowest value and its own
+    deepest fall, and a fall over slices is from the highest value before a slice to the lowest in it."""
+    keys = list(keys)
+    rows = sliced(bets.select(*keys, "day", "seq", "profit"), keys, day_slice("day"), place("day", "seq"))
+    w = W.partitionBy(*keys, "_slice").orderBy("day", "seq").rowsBetween(W.unboundedPreceding, 0)
+    local = rows.withColumn("_local", F.sum("profit").over(w)).withColumn("_top", F.max("_local").over(w))
+    parts = local.groupBy(*keys, "_slice").agg(
+        F.sum("profit").alias("_sum"), F.max("_local").alias("_high"), F.min("_local").alias("_low"), F.max(F.col("_top") - F.col("_local")).alias("_fall")
+    )
+    # one row per slice
+    before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    carried = parts.withColumn("_carry", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)))
+    carried = carried.withColumn("_peak", F.max(F.col("_carry") + F.col("_high")).over(before))
+    return carried.groupBy(*keys).agg(F.round(F.max(F.greatest("_fall", F.col("_peak") - F.col("_carry") - F.col("_low"))), 9).alias("max_drawdown"))
+
+
 def max_drawdown(bets: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Largest drawdown, its share of the peak at the first time it is reached, and the longest stretch below a peak."""
     keys = list(keys)

@@ -66,7 +66,7 @@ def evaluate_accuracy(contests: DataFrame, candidates: list[dict], cutoff: Colum
         known = materialize(K.decided(holdout).select("seq", "day", "player", "opponent", "result"))
         frozen = materialize(frozen_at(contests, known))
         flagged, carry, emit = flag_frozen(flagged, frozen), [*carry, "_own", "_opp"], {**emit, **FROZEN}
-    vectors = materialize(rate_vectors(flagged, candidates, carry=carry, emit=emit))
+    vectors = materialize(rate_vectors(flagged, candidates, carry=carry, emit=emit, store=False))
     out = contests.sparkSession.range(len(candidates)).select(F.col("id").cast("int").alias("candidate_id")).join(compare_counted(vectors), KEYS, "left")
     out = out.select(*KEYS, F.coalesce("later_accuracy", F.lit(0.0)).alias("fitness"), "accuracy")
     if holdout is None:
@@ -130,7 +130,7 @@ def train_and_holdout_bets(trained: DataFrame, holdout: DataFrame, odds: DataFra
     frozen = materialize(frozen_last(trained, known))
     flagged = flag_frozen(flag_bets(trained, odds, lookback), frozen)
     carry = ["result", "_bet", "_price", "_opp_price", "_own", "_opp"]
-    vectors = materialize(rate_vectors(flagged, candidates, carry=carry, emit={"pre": "_bet", "opp_pre": "_bet", **FROZEN}))
+    vectors = materialize(rate_vectors(flagged, candidates, carry=carry, emit={"pre": "_bet", "opp_pre": "_bet", **FROZEN}, store=False))
     base = F.array_repeat(F.lit(S.BASE_RATING), len(candidates))
     faced = with_frozen(known, frozen, vectors).withColumns({c: F.coalesce(c, base) for c in ("rating", "opp_rating")})
     return flagged_bets(vectors), K.vector_bets(faced)

@@ -276,10 +276,8 @@ def _run_oracle() -> str:
 def run_documents(t):
     """Documents of four configurations and the master file, written, read back and listed as one row per number in them."""
     c = materialize(t.orders_contests())
-    train = train_part(c)
-    oos = O.oos_accuracy(O.oos_grid(train, t.holdout(c, HOLD_DAYS), CANDS, match=False)).select("candidate_id", "n", "accuracy")
     run = {"source": "orders"}
-    docs = materialize(D.run_documents(c, t.odds(c), RUN_CONFIGS, oos, run=run, weights=_WEIGHTS))
+    docs = materialize(D.run_documents(c, t.odds(c), RUN_CONFIGS, run=run, weights=_WEIGHTS, holdout=t.holdout(c, HOLD_DAYS), holdout_days=HOLD_DAYS))
     folder = f"{shared_dir(t.spark).rstrip('/')}/boutline-run-{uuid.uuid4().hex}"
     sinks.write_run(folder, docs, D.master_document(docs, run))
     back, master = sinks.read_run(t.spark, folder)

@@ -59,3 +59,33 @@ def test_players_are_connected_over_the_whole_history(spark, monkeypatch, rows):
     for members in groups.values():
         assert {named[h]["_part"] for h in members} == {min(members)}
     assert sum(r["n"] for r in named.values()) == 2 * len(pairs)
+
+
+def test_documents_join_nothing_per_candidate(spark, monkeypatch):
+    from boutline.operators import bets as K
+    from boutline.operators import documents as D
+    from boutline.operators import metrics as M
+    from boutline.operators import oos as O
+    from boutline.operators import sweep as Z
+
+    c = contests(spark, contest_rows(150, players=5, seed=9, per_day=6))
+    a = c.filter("seq % 5 <> 0").select((F.col("seq") * 2).alias("odds_seq"), "day", "player", "opponent", (F.col("seq") * 7.0 - 300).alias("american"))
+    b = c.filter("seq % 3 <> 0").select((F.col("seq") * 2 + 1).alias("odds_seq"), "day", F.col("opponent").alias("player"), F.col("player").alias("opponent"), (300 - F.col("seq") * 7.0).alias("american"))
+    odds, cands = a.unionByName(b), [{"k": 32.0}, {"k": 90.0, "w_ko": 1.1}]
+    # per candidate, as it was
+    rated = R.rate(c, cands, carry=["result", "is_draw"])
+    bets, names = K.bet_records(rated, c, odds, Z.KEYS), ["candidate_id", "seq", "bet_won", "profit", "prob"]
+    hold = K.decided(c.filter("seq > 120"))
+    frozen = O.frozen_at(c.filter("seq <= 100"), hold)
+    vectors = D._counted_vectors(c, odds, cands, False, False, frozen)
+    assert vectors.count() < c.count() and "candidate_id" not in vectors.columns
+    got = sorted(map(tuple, Z.flagged_bets(vectors).select(*names).collect()))
+    assert got == sorted(map(tuple, bets.select(*names).collect())) and len(got) > 20
+    names = ["candidate_id", "seq", "result", "prob", "diff", "bouts", "opp_bouts"]
+    want = K.scored(rated, c).join(R.bout_counts(c).select("seq", "bouts", "opp_bouts"), "seq").select(*names)
+    assert sorted(map(tuple, D._scored(vectors).select(*names).collect())) == sorted(map(tuple, want.collect()))
+    outside = O.oos_accuracy(O.compare_frozen(hold, frozen, vectors, len(cands)))
+    assert sorted(map(tuple, outside.collect())) == sorted(map(tuple, O.oos_accuracy(O.oos_grid(c.filter("seq <= 100"), hold, cands, match=False)).collect()))
+    # falls over slices of days and of crowded days
+    want = {r[0]: r[1] for r in M.max_drawdown(bets, Z.KEYS).select("candidate_id", "max_drawdown").collect()}
+    assert {r[0]: round(r[1], 6) for r in M.deepest_drawdown(bets, Z.KEYS).collect()} == {k: round(v, 6) for k, v in want.items()}
