@@ -89,3 +89,27 @@ def test_documents_join_nothing_per_candidate(spark, monkeypatch):
     # falls over slices of days and of crowded days
     want = {r[0]: r[1] for r in M.max_drawdown(bets, Z.KEYS).select("candidate_id", "max_drawdown").collect()}
     assert {r[0]: round(r[1], 6) for r in M.deepest_drawdown(bets, Z.KEYS).collect()} == {k: round(v, 6) for k, v in want.items()}
+
+
+def test_forests_keep_the_nodes_of_rows(spark, monkeypatch):
+    import random
+
+    from pyspark.ml.classification import RandomForestClassifier
+
+    from boutline.operators import models as ML
+
+    rng = random.Random(3)
+    rows = [(i, float(i % 3 > 0), *[rng.gauss(i % 3, 1.0) for _ in ML.FEATURES]) for i in range(200)]
+    table = spark.createDataFrame(rows, "seq long, result double, " + ", ".join(f"{f} double" for f in ML.FEATURES))
+    fits = []
+    fit = RandomForestClassifier.fit
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, *a: fits.append((self.getNumTrees(), self.getSeed(), self.getCacheNodeIds())) or fit(self, *a))
+    got = {}
+    for most in (10**9, 500):
+        monkeypatch.setattr(ML, "NODE_IDS", most)
+        got[most] = {r["seq"]: r["prob"] for r in ML.ensemble(table, table.filter("seq < 60"), trees=5, rounds=2).collect()}
+    # every tree is fitted once, and no fit keeps more numbers than it may
+    assert fits == [(5, 42, True), (3, 42, True), (2, 43, True)]
+    assert all(len(g) == 60 and all(0.0 <= p <= 1.0 for p in g.values()) for g in got.values())
+    assert all(abs(got[500][s] - p) < 0.34 for s, p in got[10**9].items())
+    assert sum(ML.forest_sizes(26_000_000, 100)) == 100
